@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import langid, media, packing, tokenfile
 from .common import table
 from .tokens import default_tokenizer
 
@@ -18,8 +19,27 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer(), capacity=2048, end_id=1)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to files with Elias-Fano boundaries and read back from them."""
+    return tokenfile.token_files(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=2)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    held_out = F.coalesce(langid.fold(F.col("doc_id")) == 2, F.lit(False))
+    prototypes = langid.train(docs.filter(~held_out))
+    found = langid.identify(docs.select("doc_id", "text"), prototypes)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as 8-bit media, read back, sniffed and measured."""
+    return media.store_and_read(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_packing": op4_packing}
+    return {"op4_packing": op4_packing, "op5_token_files": op5_token_files, "op8_language_id": op8_language_id, "op10_media": op10_media}
 
 
 def oracle_sql() -> dict[str, str]:

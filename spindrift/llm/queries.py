@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, packing, tokenfile
+from . import decontam, jaccard, langid, media, packing, tokenfile
 from .common import table
 from .tokens import default_tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document: five-word shingles, similarity of 0.8 or more."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of at most 2048 ids by multiway differencing."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer(), capacity=2048, end_id=1)
@@ -24,6 +29,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=2)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, as it is or with other numbers, names and units."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -39,7 +49,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_packing": op4_packing, "op5_token_files": op5_token_files, "op8_language_id": op8_language_id, "op10_media": op10_media}
+    return {"op3_jaccard": op3_jaccard, "op4_packing": op4_packing, "op5_token_files": op5_token_files, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op10_media": op10_media}
 
 
 def oracle_sql() -> dict[str, str]:

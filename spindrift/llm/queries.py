@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, media, packing, tokenfile
+from . import chat, decontam, htmltext, jaccard, langid, licenses, media, packing, sharding, tokenfile
 from .common import table
 from .tokens import default_tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, stated or inherited from the nearest directory above it."""
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a reply tree, its best branch formatted and read back."""
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document: five-word shingles, similarity of 0.8 or more."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
@@ -29,6 +39,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=2)
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, as it is or with other numbers, names and units."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -43,14 +58,39 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.place_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as 8-bit media, read back, sniffed and measured."""
     return media.store_and_read(table(spark, sf_dir, "documents"))
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+classes AS (SELECT min(doc_id) AS rep, list_sort(s) AS s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), len(s)),
+items AS (SELECT rep, n, unnest(s) AS g FROM classes),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM items a JOIN items b ON a.g = b.g AND a.rep < b.rep AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, root) AS (SELECT rep, rep FROM classes UNION SELECT e.b, r.root FROM reach r JOIN both e ON e.a = r.node),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, CAST(coalesce(r.root, d.doc_id) AS BIGINT) AS component_id
+FROM sets d LEFT JOIN classes c ON c.s = list_sort(d.s) LEFT JOIN roots r ON r.node = c.rep
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_jaccard": op3_jaccard, "op4_packing": op4_packing, "op5_token_files": op5_token_files, "op7_decontamination": op7_decontamination, "op8_language_id": op8_language_id, "op10_media": op10_media}
+    found = (op1_licenses, op2_chat, op3_jaccard, op4_packing, op5_token_files, op6_html, op7_decontamination, op8_language_id, op9_sharding, op10_media)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_licenses": licenses.ORACLE_SQL, "op2_chat": chat.ORACLE_SQL, "op3_jaccard": JACCARD_SQL, "op9_sharding": sharding.ORACLE_SQL}

@@ -79,8 +79,8 @@ items AS (SELECT rep, n, unnest(s) AS g FROM classes),
 links AS (
   SELECT a.rep AS a, b.rep AS b FROM items a JOIN items b ON a.g = b.g AND a.rep < b.rep AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
   GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(node, root) AS (SELECT rep, rep FROM classes UNION SELECT e.b, r.root FROM reach r JOIN both e ON e.a = r.node),
+undirected AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, root) AS (SELECT rep, rep FROM classes UNION SELECT e.b, r.root FROM reach r JOIN undirected e ON e.a = r.node),
 roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
 SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, CAST(coalesce(r.root, d.doc_id) AS BIGINT) AS component_id
 FROM sets d LEFT JOIN classes c ON c.s = list_sort(d.s) LEFT JOIN roots r ON r.node = c.rep

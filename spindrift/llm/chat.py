@@ -56,12 +56,14 @@ def paths(messages: DataFrame) -> DataFrame:
     leaves = up.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti").select("tree", F.col("node").alias("leaf"))
     up = materialize(up, "op2-paths")
     for _ in range(ROUNDS):
-        if up.filter("top is not null").isEmpty():
+        open_paths = up.filter("top is not null")
+        if open_paths.isEmpty():
             break
         above = up.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("top").alias("next"), F.col("path").alias("head"))
-        far = up.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("top") == F.col("n")), "left")
-        far = far.select("tree", "node", F.col("next").alias("top"), F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", "path")).alias("path"))
-        after = materialize(far.filter(F.size(F.array_distinct("path")) == F.size("path")), "op2-paths")
+        far = open_paths.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("top") == F.col("n")))
+        far = far.select("tree", "node", F.col("next").alias("top"), F.concat("head", "path").alias("path"))
+        # paths that have reached their root are done; one that meets a node again is on a cycle
+        after = materialize(up.filter("top is null").unionByName(far.filter(F.size(F.array_distinct("path")) == F.size("path"))), "op2-paths")
         delete_path(spark, materialized_paths(up))
         up = after
     found = up.filter("top is null").select(F.col("tree").alias("t"), "node", "path")

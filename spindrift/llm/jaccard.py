@@ -10,10 +10,11 @@ Two sets are linked when 100 * |x & y| >= PERCENT * |x | y|. No link is lost, no
     them fills more than H(b) buckets (pigeonhole), so every set posts the hash of each of its buckets, and only sets
     that share a posting are compared. There are a few levels of buckets, and a set posts up to the first level at
     which it fills enough of them: its rarer shingles alone (those that very many documents hold are left out; dropping
-    them from both sets cannot raise their difference), then all of them, then finer buckets, at last each shingle.
+    them from both sets cannot raise their difference), in finer and finer buckets, at last one by one, then the same
+    with all its shingles.
 3.  Postings travel as sorted binary blocks by hash range; a range's groups give candidate pairs: all pairs of up
     to SMALL sets, else each with the smallest. Members of larger groups that the links found so far do not yet bring
-    into one component are compared across components in a second round.
+    into one component are compared across components in a second round, in tiles of bounded size, by their bitmaps.
 4.  A candidate's sizes and the bit count of its two bitmaps' difference bound the overlap from above; pairs that
     pass are settled by exact intersection of the sorted shingle arrays.
 5.  Components by alternating large-star and small-star rounds over the links.
@@ -41,8 +42,12 @@ BITS = 1024
 #: Groups up to this size give all their pairs at once.
 SMALL = 8
 #: A shingle in more than this share of the documents is left out of buckets; at most HEAVY_MAX of them are (a speed-up: any such set gives the same links).
-HEAVY_SHARE = 0.005
-HEAVY_MAX = 200_000
+HEAVY_SHARE = 0.0005
+HEAVY_MAX = 400_000
+#: Shingles that are counted together when frequent ones are looked for.
+COUNT_WINDOW = 4_000_000
+#: Members of a group in a block of a tile, about.
+TILE = 2048
 #: Postings that a task holds before it sends them, and that a range of hashes holds about.
 FLUSH = 4_000_000
 RANGE = 500_000
@@ -67,12 +72,25 @@ def difference_bound(low: np.ndarray, percent: int) -> np.ndarray:
 
 
 def set_profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """For each document (kind 0): doc_id, n, key of its shingle set, bitmap; for each frequent shingle of a slice (kind 1): its hash as key, n documents."""
+    """For each document (kind 0): doc_id, n, key of its shingle set, bitmap; for each frequent shingle of a window of documents (kind 1): its hash as key, n documents."""
+
+    names = ["kind", "doc_id", "n", "key", "bitmap"]
+
+    def frequent(held: list[np.ndarray], n: int) -> pa.RecordBatch:
+        common, times = np.unique(np.concatenate(held), return_counts=True)
+        often = times >= max(3, HEAVY_SHARE * n)
+        common, times = common[often].view(np.int64), times[often]
+        none = len(common)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(none), pa.int32()), pa.nulls(none, pa.int64()), pa.array(times, pa.int64()), pa.array(common, pa.int64()), pa.nulls(none, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = rows = 0
         for part in slices(batches, "text", TEXT_SLICE):
             flat, counts = shingle_sets(part.column("text"), words)
             n = len(counts)
+            held.append(flat)
+            size, rows = size + len(flat), rows + n
             doc = np.repeat(np.arange(n), counts)
             bits = np.bincount(doc * BITS + (flat & U(BITS - 1)).astype(np.int64), minlength=n * BITS).reshape(n, BITS) & 1
             maps = np.packbits(bits.astype(np.uint8), axis=1)
@@ -81,20 +99,21 @@ def set_profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
             if len(filled):
                 sums[filled] = np.add.reduceat(mixed, np.concatenate(([0], np.cumsum(counts)))[filled])
             keys = mix(sums + counts.astype(np.uint64)).view(np.int64)
-            common, times = np.unique(flat, return_counts=True)
-            often = times >= max(4, HEAVY_SHARE * n)
-            common, times = common[often].view(np.int64), times[often]
-            more = len(common)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.repeat([0, 1], [n, more]), pa.int32()),
-                    pa.concat_arrays([part.column("doc_id").cast(pa.int64()), pa.nulls(more, pa.int64())]),
-                    pa.array(np.concatenate([counts, times]), pa.int64()),
-                    pa.array(np.concatenate([keys, common]), pa.int64()),
-                    pa.array([m.tobytes() for m in maps] + [None] * more, pa.binary()),
+                    pa.array(np.zeros(n), pa.int32()),
+                    part.column("doc_id").cast(pa.int64()),
+                    pa.array(counts, pa.int64()),
+                    pa.array(keys, pa.int64()),
+                    pa.array([m.tobytes() for m in maps], pa.binary()),
                 ],
-                names=["kind", "doc_id", "n", "key", "bitmap"],
+                names=names,
             )
+            if size >= COUNT_WINDOW:
+                yield frequent(held, rows)
+                held, size, rows = [], 0, 0
+        if held:
+            yield frequent(held, rows)
 
     return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, key long, bitmap binary")
 
@@ -112,23 +131,30 @@ def _buckets(flat: np.ndarray, doc: np.ndarray, wide: np.ndarray) -> tuple[np.nd
 
 
 def postings(flat: np.ndarray, counts: np.ndarray, heavy: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and owner (number of the set) of every posting of the given sets."""
+    """Hash and owner (twice the number of the set, and 1 more where it is a guest from the band below) of every posting of the given sets."""
     low = bands(percent, max(2, 2 * int(counts.max(initial=1))))
     most = difference_bound(low, percent)
     doc = np.repeat(np.arange(len(counts)), counts)
-    rare = ~np.isin(flat, heavy, assume_unique=False) if len(heavy) else np.ones(len(flat), dtype=bool)
+    rare = np.ones(len(flat), dtype=bool)
+    if len(heavy):
+        sieve = np.zeros(1 << 22, dtype=bool)
+        sieve[heavy >> U(42)] = True
+        maybe = np.flatnonzero(sieve[flat >> U(42)])
+        at = np.searchsorted(heavy, flat[maybe])
+        at[at == len(heavy)] = 0
+        rare[maybe] = heavy[at] != flat[maybe]
     mixed = mix(flat)
     band = np.searchsorted(low, np.maximum(counts, 1), side="right") - 1
     hashes, owners = [], []
 
-    def post(tile: np.ndarray, keep: np.ndarray, level: int, wide: np.ndarray) -> np.ndarray:
+    def post(tile: np.ndarray, keep: np.ndarray, level: int, wide: np.ndarray | None) -> np.ndarray:
         """Posts the kept elements of each set in its tile; returns the sets' filled buckets."""
         f, d = flat[keep], doc[keep]
-        first, owner, bucket = _buckets(f, d, wide[d]) if level < 3 else (np.arange(len(f)), d, np.zeros(len(f), dtype=np.uint64))
+        first, owner, bucket = _buckets(f, d, wide[d]) if wide is not None else (np.arange(len(f)), d, np.zeros(len(f), dtype=np.uint64))
         if len(first):
             total = np.add.reduceat(mixed[keep], first)
-            hashes.append(mix(total + mix(tile[owner].astype(np.uint64) * U(1 << 40) + bucket * U(4) + U(level))))
-            owners.append(owner)
+            hashes.append(mix(total + mix(tile[owner].astype(np.uint64) * U(1 << 40) + bucket * U(8) + U(level))))
+            owners.append(2 * owner + guest)
         return np.bincount(owner, minlength=len(counts))
 
     for guest in (False, True):
@@ -138,9 +164,9 @@ def postings(flat: np.ndarray, counts: np.ndarray, heavy: np.ndarray, percent: i
             left &= counts * 100 // percent >= low[tile]
         enough = most[tile]
         wide = enough + 1 + -(-3 * enough // 20)
-        for level in range(0 if len(heavy) else 1, 4):
-            keep = left[doc] & rare if level == 0 else left[doc]
-            left &= post(tile, keep, level, wide * 4 if level == 2 else wide) <= enough
+        for level in range(0 if len(heavy) else 3, 6):
+            keep = left[doc] & rare if level < 3 else left[doc]
+            left &= post(tile, keep, level, (wide, wide * 4, None)[level % 3]) <= enough
             if not left.any():
                 break
     if not hashes:
@@ -155,16 +181,15 @@ def _post_blocks(docs: DataFrame, heavy: np.ndarray, bits: int, words: int, perc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def send() -> pa.RecordBatch:
-            h, d = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            h, d, guest = (np.concatenate([x[k] for x in held]) for k in range(3))
             held.clear()
             order = np.argsort(h)
-            h, d = h[order], d[order]
             base = int(d.min())
-            d = (d - base).astype(np.uint64)
+            h, d = h[order], ((d - base).astype(np.uint64) << U(1) | guest.astype(np.uint64))[order]
             wide = 4 if int(d.max()) < 1 << 32 else 8
             d = d.astype(f"<u{wide}")
             edges = np.searchsorted(h >> U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -186,7 +211,7 @@ def _post_blocks(docs: DataFrame, heavy: np.ndarray, bits: int, words: int, perc
             flat, names, counts = flat[np.repeat(keep, counts)], names[keep], counts[keep]
             h, owner = postings(flat, counts, often, percent)
             if len(h):
-                held.append((h, names[owner]))
+                held.append((h, names[owner >> 1], owner & 1))
                 size += len(h)
             if size >= FLUSH:
                 yield send()
@@ -199,23 +224,26 @@ def _post_blocks(docs: DataFrame, heavy: np.ndarray, bits: int, words: int, perc
 
 def candidate_rows(table: pa.Table) -> pa.Table:
     """Of one range of hashes: pairs (kind 0: a < b) and members of larger groups (kind 1: group, doc)."""
-    hashes, docs = [], []
+    hashes, docs, roles = [], [], []
     for block in table.column("block").to_pylist():
         n, base, wide = struct.unpack_from("<QqQ", block)
         hashes.append(np.frombuffer(block, dtype="<u8", count=n, offset=24))
-        docs.append(np.frombuffer(block, dtype=f"<u{wide}", count=n, offset=24 + 8 * n).astype(np.int64) + base)
-    h, d = np.concatenate(hashes), np.concatenate(docs)
+        owner = np.frombuffer(block, dtype=f"<u{wide}", count=n, offset=24 + 8 * n)
+        docs.append((owner >> 1).astype(np.int64) + base)
+        roles.append((owner & 1).astype(bool))
+    h, d, guest = np.concatenate(hashes), np.concatenate(docs), np.concatenate(roles)
     order = np.argsort(h)
-    h, d = h[order], d[order]
+    h, d, guest = h[order], d[order], guest[order]
     group = np.zeros(len(h), dtype=np.int64)
     group[1:] = np.cumsum(h[1:] != h[:-1])
     size = np.bincount(group)
-    keep = size[group] > 1
-    h, d, group = h[keep], d[keep], group[keep]
+    # guests meet each other as hosts of their own tile
+    keep = (size[group] > 1) & (np.bincount(group, weights=~guest, minlength=len(size)) > 0)[group]
+    h, d, guest, group = h[keep], d[keep], guest[keep], group[keep]
     size = size[group]
     a, b = [], []
     for k in range(1, SMALL):
-        near = (group[k:] == group[:-k]) & (size[k:] <= SMALL)
+        near = (group[k:] == group[:-k]) & (size[k:] <= SMALL) & ~(guest[k:] & guest[:-k])
         a.append(d[:-k][near])
         b.append(d[k:][near])
     large = size > SMALL
@@ -259,6 +287,35 @@ def _bitmap_bound(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     return allowed.select("a", "b", "n_a", "n_b", "bits_a", "bits_b", shared.cast("long").alias("shared")).mapInArrow(run, "a long, b long")
 
 
+def across_components(table: pa.Table, percent: int) -> pa.Table:
+    """Of one tile of a group (doc, component, n, bitmap, block): pairs of different components, by block, that sizes and bitmaps allow."""
+    doc, component, n, block = (np.asarray(table.column(c)) for c in ("doc", "component", "n", "block"))
+    bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), dtype=np.uint64).reshape(len(doc), -1)
+    first, last = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
+    _, kind, size = np.unique(component, return_inverse=True, return_counts=True)
+    others = np.flatnonzero(kind != np.argmax(size))  # every pair across components has one of these
+    out = []
+    for x in others.tolist():
+        y = np.flatnonzero((component != component[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent) & ((block == last) if block[x] == first else (block == first)))
+        total = n[y] + n[x]
+        apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
+        y = y[apart <= total - 2 * -(-percent * total // (100 + percent))]
+        out.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], axis=1))
+    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
+def _second_round(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components of the groups (g, doc, component), by tiles of two blocks of a group."""
+    blocks = members.groupBy("g").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    rows = members.join(blocks, "g").join(nodes.select(F.col("rep").alias("doc"), "n", "bitmap"), "doc")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.select("g", "doc", "component", "n", "bitmap", "block", other.alias("other"))
+    rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "component", "n", "bitmap", "block")
+    return rows.groupBy("g", "i", "j").applyInArrow(lambda tile: across_components(tile, percent), "a long, b long").distinct()
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """doc, set (sorted hashes as bytes) of the wanted documents; the texts of few others are shingled with them."""
     spark = docs.sparkSession
@@ -356,13 +413,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     def by_rep(df: DataFrame, column: str) -> DataFrame:
         return df.join(reps.select(F.col("doc").alias(column), F.col("rep").alias("r")), column).drop(column).withColumnRenamed("r", column)
 
-    def settle(pairs: DataFrame) -> DataFrame:
-        possible = materialize(_bitmap_bound(pairs, nodes, percent), "op3-possible")
-        return materialize(_exact(possible, docs, words, percent), "op3-links")
+    def settle(possible: DataFrame) -> DataFrame:
+        return materialize(_exact(materialize(possible, "op3-possible"), docs, words, percent), "op3-links")
 
     pairs = by_rep(by_rep(found.filter("kind = 0").select("a", "b"), "a"), "b").filter("a <> b")
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "op3-pairs")
-    links = settle(pairs)
+    links = settle(_bitmap_bound(pairs, nodes, percent))
     labels = components(links, "op3-components")
 
     members = by_rep(found.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("doc")), "doc").distinct()
@@ -370,9 +426,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     open_groups = members.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("g")
     members = materialize(members.join(open_groups, "g", "left_semi"), "op3-members")
     if not members.isEmpty():
-        other = members.select("g", F.col("doc").alias("b"), F.col("component").alias("component_b"))
-        across = members.withColumnRenamed("doc", "a").join(other, "g").filter("component < component_b")
-        across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        across = _second_round(members, nodes, percent).join(pairs, ["a", "b"], "left_anti")
         more = settle(across)
         if not more.isEmpty():
             labels = components(links.union(more), "op3-components")

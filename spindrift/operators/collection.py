@@ -70,7 +70,7 @@ def invalid_rows(docs: DataFrame, schema: Schema) -> DataFrame:
 def latest(log: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
     """Last writer wins: one row per key, the one of the highest order."""
     columns = [c for c in log.columns if c not in (key, order)]
-    best = log.groupBy(key).agg(F.max(F.struct(order, *columns)).alias("m"))
+    best = log.groupBy(key).agg(F.max_by(F.struct(order, *columns), order).alias("m"))  # maps have no order, so by seq alone
     return best.select(key, *[F.col(f"m.{c}").alias(c) for c in (order, *columns)])
 
 

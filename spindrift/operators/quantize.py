@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as v
 
@@ -23,7 +24,7 @@ def _lits(values) -> Column:
 # -- half floats: mantissas are cut off, subnormal halves are zero, overflow is infinite --------------------------------
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def fp16_encode(vectors: pd.Series) -> pd.Series:
     def one(a) -> list[int]:
         bits = np.asarray(a, dtype=np.float32).view(np.uint32).astype(np.int64)
@@ -36,7 +37,7 @@ def fp16_encode(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda a: None if a is None else one(a))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def fp16_decode(codes: pd.Series) -> pd.Series:
     def one(a) -> list[float]:
         halves = np.asarray(a, dtype=np.uint16)
@@ -94,7 +95,15 @@ def binary_encode(vector: str | Column, thresholds: list[float]) -> Column:
 
 def binary_decode(words: Column, dim: int) -> Column:
     """1 for a set bit, -1 for another."""
-    return F.flatten(F.transform(words, lambda w, i: F.transform(F.sequence(F.lit(0), F.least(F.lit(61), F.lit(dim - 1) - i * 62)), lambda k: F.when(F.expr("1") == F.try_mod(F.floor(w / F.pow(F.lit(2.0), k)).cast("long"), F.lit(2)), F.lit(1.0)).otherwise(F.lit(-1.0)))))
+    parts = []
+    for n, at in enumerate(range(0, dim, 62)):
+        places = F.sequence(F.lit(0), F.lit(min(62, dim - at) - 1))
+        parts.append(F.transform(places, _sign(F.get(words, n))))
+    return F.concat(*parts)
+
+
+def _sign(word: Column):
+    return lambda k: F.when(F.call_function("shiftright", word, k).bitwiseAND(F.lit(1)) == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
 def binary_search(df: DataFrame, query: list[float], thresholds: list[float], k: int, rescore: int = 0, id_col: str = "id", vector: str = "embedding") -> DataFrame:
@@ -188,12 +197,12 @@ def info(dim: int, rows: int, bytes_per_vector: int) -> dict[str, float]:
 _KINDS = {"float32": 0, "float16": 1, "uint8": 2, "sparse": 3}
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def blob_encode(vectors: pd.Series) -> pd.Series:
     """float32 vectors as one little-endian blob: kind, dimension, values."""
     return vectors.map(lambda a: None if a is None else struct.pack("<BI", _KINDS["float32"], len(a)) + np.asarray(a, dtype="<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def blob_decode(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4", offset=5).tolist())

@@ -90,20 +90,28 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     base = marked.select("id", (F.coalesce("s", F.lit(0.0)) / F.lit(float(total))).alias("t"))
     links = valid_edges(edges.select("src", "dst"), ids).groupBy("src", "dst").agg(F.count("*").alias("times"))
     out = links.groupBy("src").agg(F.sum("times").alias("out"))
-    links = cut(links.join(out, "src").select("src", "dst", (F.col("times") / F.col("out")).alias("share")))
+    # links and ranks are kept dealt by the same key, so a round shuffles the partial sums of in-links and nothing else
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = cut(links.join(out, "src").select("src", "dst", (F.col("times") / F.col("out")).alias("share"))).repartition(parts, "src").persist()
     base = cut(base.join(out.select(F.col("src").alias("id"), "out"), "id", "left").select("id", "t", F.col("out").isNull().alias("dangling")))
-    ranks = base.select("id", "t", "dangling", F.col("t").alias("rank"))
+    ranks = base.select("id", "t", "dangling", F.col("t").alias("rank"), F.lit(None).cast("double").alias("before")).repartition(parts, "id").persist()
+    kept = [ranks]
     for i in range(rounds):
         lost = ranks.filter("dangling").agg(F.sum("rank")).first()[0] or 0.0
         sums = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        after = ranks.join(sums, "id", "left").select("id", "t", "dangling", (F.lit(1 - damping) * F.col("t") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("t") * F.lit(float(lost)))).alias("rank"), F.col("rank").alias("before"))
-        if i % cut_every == cut_every - 1:
-            after = cut(after)
-            if (after.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0) < tolerance:
-                ranks = after
-                break
-        ranks = after.drop("before")
-    return ranks.select("id", "rank")
+        moved = F.lit(1 - damping) * F.col("t") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("t") * F.lit(float(lost)))
+        ranks = ranks.join(sums, "id", "left").select("id", "t", "dangling", moved.alias("rank"), F.col("rank").alias("before"))
+        # rounds are kept in the executors; a lost part is computed anew from the last checkpoint
+        ranks = (cut(ranks).repartition(parts, "id") if i % cut_every == cut_every - 1 else ranks).persist()
+        kept.append(ranks)
+        if len(kept) > 2:
+            kept.pop(0).unpersist()
+        if i % cut_every == cut_every - 1 and (ranks.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0) < tolerance:
+            break
+    found = cut(ranks.select("id", "rank"))
+    for held in (links, *kept):
+        held.unpersist()
+    return found
 
 
 def document_scores(nodes: DataFrame, ranks: DataFrame, k: int) -> DataFrame:

@@ -12,7 +12,8 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,9 @@ from ..functions import vectors as v
 
 MAX_TOP_K = 1000
 #: Values (queries x dimensions) of a block of queries that is broadcast at once.
-QUERY_VALUES = 4_000_000
+QUERY_VALUES = 1_000_000
+#: Distances that a task holds at once.
+TILE_VALUES = 4_000_000
 
 
 def _k(k: int) -> int:
@@ -44,55 +47,67 @@ def knn(df: DataFrame, query: list[float], k: int, metric: str = "cosine", where
 
 
 def _distances(block: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of all rows (first axis) to all queries of a block, in double."""
-    dots = rows @ block.T
+    """Distances of all queries of a block (first axis) to all rows, in double, rounded as the single query's are."""
+    dots = block @ rows.T
     if metric == "dot":
-        return -dots
-    if metric in ("cosine", "cosine_normalized"):
-        if metric == "cosine_normalized":
-            return np.maximum(0.0, 1.0 - dots)
-        sizes = np.linalg.norm(rows, axis=1)[:, None] * np.linalg.norm(block, axis=1)[None, :]
-        return 1.0 - np.divide(dots, sizes, out=np.zeros_like(dots), where=sizes > 0)
-    squares = np.maximum(0.0, (rows * rows).sum(1)[:, None] + (block * block).sum(1)[None, :] - 2 * dots)
-    return squares if metric == "l2_squared" else np.sqrt(squares)
+        out = -dots
+    elif metric == "cosine_normalized":
+        out = np.maximum(0.0, 1.0 - dots)
+    elif metric == "cosine":
+        sizes = np.linalg.norm(block, axis=1)[:, None] * np.linalg.norm(rows, axis=1)[None, :]
+        out = 1.0 - np.divide(dots, sizes, out=np.zeros_like(dots), where=sizes > 0)
+    else:
+        squares = np.maximum(0.0, (block * block).sum(1)[:, None] + (rows * rows).sum(1)[None, :] - 2 * dots)
+        out = squares if metric == "l2_squared" else np.sqrt(squares)
+    return np.round(out, 6) + 0.0
+
+
+def _nearest(distances: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest of each line with their ids, ties by id. ids has a line for each line or one for all."""
+    ids = np.broadcast_to(ids, distances.shape)
+    if distances.shape[1] > 2 * k:
+        edge = np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
+        width = max(k, int((distances <= edge).sum(axis=1).max()))  # ties at the edge stay in
+        if width < distances.shape[1]:
+            at = np.argpartition(distances, width - 1, axis=1)[:, :width]
+            distances, ids = np.take_along_axis(distances, at, 1), np.take_along_axis(ids, at, 1)
+    order = np.lexsort((ids, distances), axis=-1)[:, :k]
+    return np.take_along_axis(distances, order, 1), np.take_along_axis(ids, order, 1)
 
 
 def knn_batch(queries: DataFrame, df: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id", query_vector: str = "query", id_col: str = "id", vector: str = "embedding") -> DataFrame:
-    """query_id, id, distance and rank of the k nearest rows of every query.
+    """query_id, id (both long), distance and rank of the k nearest rows of every query.
 
     Queries are streamed through the driver in blocks of QUERY_VALUES values, each broadcast and matched with all rows
-    by one matrix product per Arrow batch; a task sends at most k rows per query on.
+    by matrix products over Arrow batches, TILE_VALUES distances at a time; a task sends at most k rows per query on.
+    Rows with a null vector or one of another length don't take part.
     """
     _k(k)
     spark = df.sparkSession
-    kinds = dict(df.dtypes) | {query_id: dict(queries.dtypes)[query_id]}
-    schema = f"{query_id} {kinds[query_id]}, {id_col} {kinds[id_col]}, distance double"
+    schema = f"{query_id} long, {id_col} long, distance double"
 
     def against(ids: list, block: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast((ids, block))
+        shared = spark.sparkContext.broadcast((np.array(ids, dtype=np.int64), block))
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
-            best = [np.zeros((0, 2), dtype=object) for _ in names]
-            for frame in frames:
-                frame = frame[frame[vector].map(lambda x: x is not None and len(x) == matrix.shape[1])]
-                if not len(frame):
+            dim = matrix.shape[1]
+            best_d, best_i = np.zeros((len(names), 0)), np.zeros((len(names), 0), dtype=np.int64)
+            for batch in batches:
+                column = batch.column(vector)
+                batch = batch.filter(pc.equal(pc.fill_null(pc.list_value_length(column), -1), dim))
+                if not batch.num_rows:
                     continue
-                rows = np.stack(frame[vector].to_numpy()).astype(np.float64)
-                there = frame[id_col].to_numpy()
-                distances = np.round(_distances(matrix, rows, metric), 6) + 0.0
-                for q in range(len(names)):
-                    d = distances[:, q]
-                    near = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
-                    near = np.flatnonzero(d <= d[near].max())  # ties at the edge are settled by id
-                    both = np.concatenate([best[q], np.stack([d[near].astype(object), there[near].astype(object)], axis=1)])
-                    order = sorted(range(len(both)), key=lambda i: (both[i, 0], both[i, 1]))[:k]
-                    best[q] = both[order]
-            for q, name in enumerate(names):
-                if len(best[q]):
-                    yield pd.DataFrame({query_id: name, id_col: best[q][:, 1], "distance": best[q][:, 0].astype(np.float64)})
-
-        return df.select(id_col, vector).mapInPandas(run, schema)
+                rows = np.asarray(batch.column(vector).flatten(), dtype=np.float64).reshape(-1, dim)
+                there = np.asarray(batch.column(id_col).cast(pa.int64()))
+                step = max(1, TILE_VALUES // len(names))
+                for at in range(0, len(rows), step):
+                    d, i = _nearest(_distances(matrix, rows[at : at + step], metric), there[at : at + step], k)
+                    best_d, best_i = _nearest(np.concatenate([best_d, d], axis=1), np.concatenate([best_i, i], axis=1), k)
+            n = best_d.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], names=[query_id, id_col, "distance"])
+
+        return df.select(id_col, vector).mapInArrow(run, schema)
 
     parts, ids, held = [], [], []
     for row in queries.select(query_id, query_vector).toLocalIterator():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as v
 from ..operators import collection as cl
 from ..operators import feedback as fb
-from ..operators import graph, ivf, kg, quantize, search, stats
+from ..operators import distribution, graph, indexes, ivf, kg, migration, quantize, search, stats
 from ..session import table
 from ..sources import files
 from ..streaming import changes as ch
@@ -556,3 +556,63 @@ def note_parse(spark, d):
 @query(f"WITH {NOTES}, l AS (SELECT DISTINCT name AS source, unnest(linked) AS target FROM notes), b AS (SELECT target AS name, string_agg(source, ',' ORDER BY source) AS backlinks FROM l GROUP BY target) SELECT name, coalesce(backlinks, '') AS backlinks FROM notes LEFT JOIN b USING (name)")
 def note_backlinks(spark, d):
     return files.backlinks(_notes(spark, d)).select("name", F.array_join("backlinks", ",").alias("backlinks"))
+
+
+# -- distribution, strategies, migration --------------------------------------------------------------------------------
+
+FNV = "list_reduce(list_transform(string_split(k, ''), lambda c: unicode(c)::UHUGEINT), lambda h, c: ((xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT), 14695981039346656037::UHUGEINT)"
+
+
+@query(f"SELECT k AS collection, CAST({FNV} % 7 AS INT) AS shard FROM (SELECT DISTINCT event_type AS k FROM events)")
+def shard_routing(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_type").alias("collection"))
+    return distribution.route(rows, 7).distinct()
+
+
+def _sharded(spark, d) -> DataFrame:
+    e = _embeddings(spark, d).withColumn("collection", F.concat(F.lit("c"), F.col("label").cast("string")))
+    return distribution.route(e, 4)
+
+
+@query(f"""WITH {Q0}, s AS (SELECT 'c' || k AS collection, CAST({FNV.replace("string_split(k,", "string_split('c' || k,")} % 4 AS INT) AS shard FROM (SELECT DISTINCT label::VARCHAR AS k FROM embeddings)),
+r AS (SELECT vec_id, shard, round(list_inner_product(x, q), 6) + 0.0 AS score FROM e JOIN s ON s.collection = 'c' || e.label, q WHERE s.collection IN ('c1', 'c4', 'c7'))
+SELECT vec_id, shard, score FROM r ORDER BY score DESC, vec_id LIMIT 12""")
+def scatter_gather(spark, d):
+    e = _sharded(spark, d)
+    return distribution.scatter_gather(e, vector_of(_embeddings(spark, d), 0), 12, ["c1", "c4", "c7"], 4, "vec_id")
+
+
+@query("SELECT 'c' || k AS collection, k % 4 AS source, k % 5 AS target FROM range(40) t(k) WHERE k % 4 <> k % 5")
+def rebalance_plan(spark, d):
+    m = lambda n: spark.range(40).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("collection"), (F.col("id") % n).alias("shard"))
+    return distribution.plan_moves(m(4), m(5))
+
+
+@query("SELECT count(*) AS rows, 0::BIGINT AS deleted, count(*) AS live, sum(len(embedding) * 4)::BIGINT AS bytes FROM embeddings")
+def index_sizes(spark, d):
+    return indexes.sizes(_embeddings(spark, d))
+
+
+@query("SELECT count(*) AS nodes, count(*) * 3 AS edges, 3::BIGINT AS least, 3.0::DOUBLE AS mean, 3::BIGINT AS most FROM embeddings")
+def knn_graph_degrees(spark, d):
+    return indexes.degrees(search.knn_graph(_embeddings(spark, d), 3, "l2", id_col="vec_id"))
+
+
+@query(f"WITH {Q0}, t AS (SELECT vec_id, row_number() OVER (ORDER BY round(1.0 - list_cosine_similarity(x, q), 6) + 0.0, vec_id) AS rank FROM e, q WHERE label <> 3) SELECT i AS index_type, vec_id, rank FROM t, (VALUES ('flat'), ('hnsw'), ('diskann')) v(i) WHERE rank <= 5")
+def index_strategies(spark, d):
+    e = _embeddings(spark, d)
+    parts = [indexes.create(n, e, "vec_id")(vector_of(e, 0), 5, F.col("label") != 3).select(F.lit(n).alias("index_type"), "vec_id", "rank") for n in ("flat", "hnsw", "diskann")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), q AS (SELECT x AS q FROM e WHERE vec_id = 0),
+s AS (SELECT vec_id, round(list_cosine_similarity(x, q), 6) + 0.0 AS score FROM e, q), t AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s) SELECT vec_id, score, rank FROM t WHERE rank <= 10""")
+def index_sparse(spark, d):
+    e = _embeddings(spark, d)
+    return indexes.create("sparse", e, "vec_id")(vector_of(e, 0), 10)
+
+
+@query()
+def migrate_documents(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", migration.hash_embedding(F.col("text"), 16).alias("embedding"), F.create_map(F.lit("lang"), "lang").alias("meta"))
+    return migration.to_collection(docs).select("id", F.size("embedding").alias("dim"), F.size("keywords.indices").alias("terms"), "metadata")

@@ -3,16 +3,19 @@
 Filter documents follow the operator form {"field": {"$op": value}}, {"field": value} (equality), {"$and": [...]},
 {"$or": [...]}, {"$not": {...}}, {"field": {"$geo_radius": {...}}} and {"field": {"$geo_bbox": {...}}}. Several keys in
 one document, and several operators on one field, all have to hold. Logic is two-valued: every leaf is false (or, for
-ne, nin and a negated exists, true) where its field is missing, before it is combined.
+ne, nin and a negated exists, true) where its field is missing, before it is combined. A leaf is a plain comparison that
+is null for a missing field; it is made two-valued where a negation stands above it or it is true by default. Elsewhere a
+filter drops null as it drops false, so comparisons of typed columns reach the Parquet scan as they are.
 
-Fields come from `Fields`: typed top-level columns (which Parquet pushes down where the comparison allows) or paths in
-a variant or JSON column.
+Fields come from `Fields`: typed top-level columns or paths in a variant or JSON column.
 """
 
 from __future__ import annotations
 
 import json
+import operator
 import re
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
@@ -27,7 +30,8 @@ NUMBER = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 class Field:
     """One metadata field in the forms that comparisons need."""
 
-    def __init__(self, text: Column, number: Column, present: Column, items: Column | None = None, lat: Column | None = None, lon: Column | None = None, is_text: Column | None = None):
+    def __init__(self, text: Column, number: Column, present: Column, items: Column | None = None, lat: Column | None = None, lon: Column | None = None, is_text: Column | None = None, native: Column | None = None):
+        self.native = native  # a numeric column as it is
         self.text, self.number, self.present, self.items, self.lat, self.lon = text, number, present, items, lat, lon
         self.is_text = F.lit(True) if is_text is None else is_text
 
@@ -84,7 +88,7 @@ class Fields:
             return Field(F.lit(None).cast("string"), F.lit(None).cast("double"), column.isNotNull(), None, column["lat"].cast("double"), column["lon"].cast("double"), F.lit(False))
         text = column.cast("string")
         if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-            return Field(text, column.cast("double"), column.isNotNull(), is_text=F.lit(False))
+            return Field(text, column.cast("double"), column.isNotNull(), is_text=F.lit(False), native=column)
         return Field(text, numeric(text) if kind == "string" else F.lit(None).cast("double"), column.isNotNull(), is_text=F.lit(kind == "string"))
 
 
@@ -108,43 +112,67 @@ def _sure(c: Column, missing: bool = False) -> Column:
     return F.coalesce(c, F.lit(missing))
 
 
+def _literal(number: float) -> Column:
+    return F.lit(int(number)) if number.is_integer() and abs(number) < 1 << 31 else F.lit(number)
+
+
 def equal(field: Field, value: Any) -> Column:
     """Equal as numbers if both are, else as text; null equals only a present null."""
     if value is None:
         return field.present & field.text.isNull()
     number = _as_number(value)
-    same = field.text == F.lit(_as_text(value))
-    return _sure(same) if number is None else _sure(field.number == F.lit(number)) | _sure(same)
+    if number is None:
+        return field.text == F.lit(_as_text(value))
+    if field.native is not None:
+        return field.native == _literal(number)
+    return (field.number == F.lit(number)) | (field.text == F.lit(_as_text(value)))
 
 
-def _ordered(field: Field, value: Any, above: bool) -> Column:
+def _ordered(field: Field, value: Any, order: Callable[[Column, Column], Column]) -> Column:
     number = _as_number(value)
-    order = (lambda x, y: x > y) if above else (lambda x, y: x < y)
     by_text = field.is_text & order(field.text, F.lit(_as_text(value))) if isinstance(value, str) else F.lit(False)
     if number is None:
-        return _sure(by_text)
-    return _sure(F.when(field.number.isNotNull(), order(field.number, F.lit(number))).otherwise(by_text))
+        return by_text
+    if field.native is not None:
+        return order(field.native, _literal(number))
+    return F.when(field.number.isNotNull(), order(field.number, F.lit(number))).otherwise(by_text)
 
 
 def greater(field: Field, value: Any) -> Column:
-    return _ordered(field, value, True)
+    return _ordered(field, value, operator.gt)
 
 
 def less(field: Field, value: Any) -> Column:
-    return _ordered(field, value, False)
+    return _ordered(field, value, operator.lt)
+
+
+def at_least(field: Field, value: Any) -> Column:
+    """Greater or equal; equality holds for values that have no order, too."""
+    return _ordered(field, value, operator.ge) if field.native is not None and _as_number(value) is not None else greater(field, value) | field.present & equal(field, value)
+
+
+def at_most(field: Field, value: Any) -> Column:
+    return _ordered(field, value, operator.le) if field.native is not None and _as_number(value) is not None else less(field, value) | field.present & equal(field, value)
 
 
 def among(field: Field, values: Any) -> Column:
-    return reduce(lambda a, b: a | b, [equal(field, v) for v in values], F.lit(False)) if isinstance(values, (list, tuple)) else F.lit(False)
+    if not isinstance(values, (list, tuple)) or not values:
+        return F.lit(False)
+    numbers = [_as_number(x) for x in values]
+    if field.native is not None and None not in numbers:
+        return field.native.isin([int(x) if x.is_integer() else x for x in numbers])
+    if all(isinstance(x, str) and n is None for x, n in zip(values, numbers, strict=True)):
+        return field.text.isin(list(values))
+    return reduce(operator.or_, [_sure(equal(field, x)) for x in values])
 
 
 def contains(field: Field, value: Any) -> Column:
     """Substring of a string, or an element of an array."""
-    inside = _sure(field.is_text & field.text.contains(_as_text(value))) if isinstance(value, str) else F.lit(False)
+    inside = field.is_text & field.text.contains(_as_text(value)) if isinstance(value, str) else F.lit(False)
     if field.items is None:
         return inside
     number, text = _as_number(value), _as_text(value)
-    element = _sure(F.exists(field.items, lambda x: _sure(x == F.lit(text)) | (_sure(numeric(x) == F.lit(number)) if number is not None else F.lit(False))))
+    element = F.exists(field.items, lambda x: _sure(x == F.lit(text)) | (_sure(numeric(x) == F.lit(number)) if number is not None else F.lit(False)))
     return F.when(field.is_text, inside).otherwise(element)
 
 
@@ -159,74 +187,74 @@ haversine_km = _haversine
 
 def geo_radius(field: Field, lat: float, lon: float, radius_km: float) -> Column:
     """Within a great-circle distance; false where there is no point."""
-    return F.lit(False) if field.lat is None else _sure(_haversine(field.lat, field.lon, lat, lon) <= F.lit(radius_km))
+    return F.lit(False) if field.lat is None else _haversine(field.lat, field.lon, lat, lon) <= F.lit(radius_km)
 
 
 def geo_bbox(field: Field, top_left: tuple[float, float], bottom_right: tuple[float, float]) -> Column:
     """Inside a box, edges included; boxes don't wrap at the date line."""
     if field.lat is None:
         return F.lit(False)
-    return _sure(field.lat.between(bottom_right[0], top_left[0]) & field.lon.between(top_left[1], bottom_right[1]))
+    return field.lat.between(bottom_right[0], top_left[0]) & field.lon.between(top_left[1], bottom_right[1])
 
 
 def _point(value: Any) -> tuple[float, float]:
     return (float(value["lat"]), float(value["lon"])) if isinstance(value, dict) else (float(value[0]), float(value[1]))
 
 
-def _leaf(field: Field, op: str, value: Any) -> Column:
+def _leaf(field: Field, op: str, value: Any) -> tuple[Column, bool]:
+    """A comparison, null where it doesn't apply, and what it counts as there."""
     match op.lstrip("$"):
         case "eq":
-            return equal(field, value)
+            return equal(field, value), False
         case "ne":
-            return ~equal(field, value)
+            return ~equal(field, value), True
         case "gt":
-            return greater(field, value)
+            return greater(field, value), False
         case "gte":
-            return greater(field, value) | field.present & equal(field, value)
+            return at_least(field, value), False
         case "lt":
-            return less(field, value)
+            return less(field, value), False
         case "lte":
-            return less(field, value) | field.present & equal(field, value)
+            return at_most(field, value), False
         case "in":
-            return among(field, value)
+            return among(field, value), False
         case "nin" | "not_in":
-            return ~among(field, value)
+            return ~among(field, value), True
         case "contains":
-            return contains(field, value)
+            return contains(field, value), False
         case "startswith" | "starts_with":
-            return _sure(field.is_text & field.text.startswith(value)) if isinstance(value, str) else F.lit(False)
+            return (field.is_text & field.text.startswith(value) if isinstance(value, str) else F.lit(False)), False
         case "endswith" | "ends_with":
-            return _sure(field.is_text & field.text.endswith(value)) if isinstance(value, str) else F.lit(False)
+            return (field.is_text & field.text.endswith(value) if isinstance(value, str) else F.lit(False)), False
         case "regex":
             re.compile(value)
-            return _sure(field.is_text & field.text.rlike(value))
+            return field.is_text & field.text.rlike(value), False
         case "exists":
-            return _sure(field.present) == F.lit(value) if isinstance(value, bool) else F.lit(False)
+            return (field.present == F.lit(value) if isinstance(value, bool) else F.lit(False)), False
         case "geo_radius":
             at = _point(value.get("center", value))
-            return geo_radius(field, *at, float(value.get("radius_km", value.get("radius"))))
+            return geo_radius(field, *at, float(value.get("radius_km", value.get("radius")))), False
         case "geo_bbox":
-            return geo_bbox(field, _point(value["top_left"]), _point(value["bottom_right"]))
+            return geo_bbox(field, _point(value["top_left"]), _point(value["bottom_right"])), False
     raise ValueError(f"unknown operator {op}")
 
 
-def compile_filter(document: dict | None, fields: Fields) -> Column:
-    """The predicate of a filter document; an empty one holds everywhere."""
-    if not document:
-        return F.lit(True)
+def compile_filter(document: dict | None, fields: Fields, negated: bool = False) -> Column:
+    """The predicate of a filter document; an empty one holds everywhere. Under a negation it is never null."""
     parts: list[Column] = []
-    for key, value in document.items():
+    for key, value in (document or {}).items():
         if key in ("$and", "and"):
-            parts.append(reduce(lambda a, b: a & b, [compile_filter(d, fields) for d in value], F.lit(True)))
+            parts.append(reduce(operator.and_, [compile_filter(d, fields, negated) for d in value], F.lit(True)))
         elif key in ("$or", "or"):
-            parts.append(reduce(lambda a, b: a | b, [compile_filter(d, fields) for d in value], F.lit(False)))
+            parts.append(reduce(operator.or_, [compile_filter(d, fields, negated) for d in value], F.lit(False)))
         elif key in ("$not", "not"):
-            parts.append(~compile_filter(value, fields))
-        elif isinstance(value, dict) and value and all(k.startswith("$") for k in value):
-            parts += [_leaf(fields[key], op, v) for op, v in value.items()]
+            parts.append(~compile_filter(value, fields, True))
         else:
-            parts.append(equal(fields[key], value))
-    return reduce(lambda a, b: a & b, parts)
+            several = isinstance(value, dict) and value and all(k.startswith("$") for k in value)
+            for op, x in value.items() if several else [("eq", value)]:
+                test, missing = _leaf(fields[key], op, x)
+                parts.append(_sure(test, missing) if negated or missing else test)
+    return reduce(operator.and_, parts) if parts else F.lit(True)
 
 
 def from_json(text: str | bytes, fields: Fields) -> Column:

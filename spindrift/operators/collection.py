@@ -109,13 +109,19 @@ def update_metadata(docs: DataFrame, changes: dict[str, str], where: Column | No
     return docs.withColumn(meta, F.when(where if where is not None else F.lit(True), F.map_concat(kept, added)).otherwise(F.col(meta)))
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
+    """df with each row's place (from 0) in the given order: ranges are sorted and numbered side by side, and moved by the sizes of those before."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # the id holds the partition above bit 33 and the row in it below
+    rows = parts.withColumns({"_p": F.shiftright("_at", 33), "_r": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at")
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"))
+    bases = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))  # a row per range
+    return rows.join(bases, "_p").withColumn(name, (F.col("_b") + F.col("_r")).cast("long")).drop("_p", "_r", "_b")
+
+
 def assign_ids(new: DataFrame, next_id: int, order: list[str]) -> DataFrame:
-    """Rows with consecutive ids from next_id in the given order: ranges are numbered by their sizes, not in one task."""
-    parts = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    rows = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = rows.groupBy("_p").agg(F.count("*").alias("n"))
-    bases = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_b"))  # a row per partition
-    return rows.join(bases, "_p").withColumn("id", (F.lit(next_id) + F.col("_b") + F.col("_r") - 1).cast("long")).drop("_p", "_r", "_b")
+    """Rows with consecutive ids from next_id in the given order."""
+    return numbered(new, order, "id").withColumn("id", F.col("id") + F.lit(next_id))
 
 
 class Manager:

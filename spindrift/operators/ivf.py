@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from . import quantize
+from .collection import numbered
 
 #: Rows of a table from which fitting is left to Spark ML's k-means.
 LLOYD_ROUNDS = 10
@@ -21,10 +22,8 @@ def initial_centroids(df: DataFrame, k: int, id_col: str = "id", vector: str = "
     """k rows evenly spaced in id order: the first of each of k equal parts."""
     n = df.count()
     step = max(1, n // k)
-    numbered = df.select(id_col, vector).orderBy(id_col)
-    # ids are enough to place the rows; zipWithIndex-style numbering is done on them alone
-    ids = df.select(id_col).withColumn("r", F.row_number().over(Window.orderBy(id_col)) - 1).filter((F.col("r") % step == 0) & (F.col("r") < k * step)).select(id_col)
-    rows = numbered.join(F.broadcast(ids), id_col).orderBy(id_col).limit(k).collect()  # k rows
+    places = numbered(df.select(id_col), [id_col], "_r").filter((F.col("_r") % step == 0) & (F.col("_r") < k * step)).select(id_col)
+    rows = df.select(id_col, vector).join(places, id_col, "left_semi").orderBy(id_col).limit(k).collect()  # k rows
     return [[float(x) for x in r[vector]] for r in rows]
 
 

@@ -7,9 +7,10 @@ documents. The stages call the operators of spindrift.llm with their production
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spindrift.llm import decontam, jaccard, langid, packing
-from spindrift.llm.common import materialize, table
+from spindrift.llm.common import few_files, materialize, table
 from spindrift.llm.tokens import default_tokenizer
 
 
@@ -22,9 +23,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component, the one of the smallest doc_id; rows without a doc_id stay."""
-    first = jaccard.jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    first = jaccard.jaccard_components(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    # ids are the build side, so that texts are shuffled once and never sorted, but for those of repeated ids
+    joined = docs.join(first.hint("shuffle_hash"), "doc_id")
+    kept = joined.filter("_rows = 1").unionByName(joined.filter("_rows > 1").dropDuplicates(["doc_id"]))
+    return few_files(kept.select(*docs.columns).unionByName(docs.filter("doc_id is null")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

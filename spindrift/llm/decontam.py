@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import bound_batches, forget_others, slices, text_bytes
 from .shingles import U, mix, token_hashes, windows
 
 WINDOW = 8
@@ -199,6 +199,7 @@ def matches(index: Index, texts: pa.Array) -> list[dict[int, tuple[int, bool]]]:
 
 def _blocks(bench: DataFrame, window: int) -> Iterator[list[tuple[int | None, str | None]]]:
     """Items in blocks of bounded size, by streaming the benchmark table through the driver."""
+    bound_batches(bench.sparkSession)
     held, size = [], 0
     for r in bench.select("item_id", "text").toLocalIterator():
         held.append((r.item_id, r.text))
@@ -223,9 +224,10 @@ def contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, covera
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            forget_others("shingles")
             names = [x[0] for x in shared.value]
             index = Index([x[1] for x in shared.value], window)
-            for part in slices(batches, "text", 4 << 20):
+            for part in slices(batches, "text", 2 << 20):
                 rows = []
                 for doc, found in zip(part.column("doc_id").to_pylist(), matches(index, part.column("text")), strict=True):
                     rows += [(doc, names[i], n, round(n / int(index.count[i]), 6), not same) for i, (n, same) in sorted(found.items()) if n >= coverage * index.count[i]]
@@ -245,8 +247,9 @@ def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, coverage: flo
         shared = spark.sparkContext.broadcast([x[1] for x in block])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            forget_others("shingles")
             index = Index(shared.value, window)
-            for part in slices(batches, "text", 4 << 20):
+            for part in slices(batches, "text", 2 << 20):
                 keep = [not any(n >= coverage * index.count[i] for i, (n, _) in found.items()) for found in matches(index, part.column("text"))]
                 yield part.filter(pa.array(keep, pa.bool_()))
 

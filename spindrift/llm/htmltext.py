@@ -20,7 +20,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import bound_batches, slices
 
 #: A block is short below, and long from, so many code points.
 SHORT, LONG = 70, 200
@@ -40,10 +40,12 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|adsense|banner|breadcrumb|breadcrumbs|byline-share|comment|comments|commentlist|consent|cookie|cookies|disqus|disclaimer|footer|gdpr|header|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|notification|outbrain|overlay|pager|pagination|paywall|popup|promo|promoted|recommended|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|skip-link|social|sponsor|sponsored|subscribe|taboola|toolbar|topbar|warning|widget|widgets)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|adsense|banner|breadcrumb|breadcrumbs|byline-share|comment|comments|commentlist|consent|cookie|cookies|disqus|disclaimer|gdpr|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|notification|outbrain|overlay|pager|pagination|paywall|popup|promo|promoted|recommended|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|skip-link|social|sponsor|sponsored|subscribe|taboola|toolbar|topbar|warning|widget|widgets)(?:$|[\s_-])"
     r"|sidebar|cookie|advert|newsletter|breadcrumb",
     re.IGNORECASE,
 )
+#: Names of page parts that are no boilerplate inside an article (its own header or footer).
+OUTER = re.compile(r"(?:^|[\s_-])(?:header|footer)(?:$|[\s_-])", re.IGNORECASE)
 STOPWORDS = set("""a about after all also an and any are as at be because been but by can could did do does for from had has have he her him his how i
 if in into is it its just like me more most my no not of on one only or other our out over said she so some such than that the their them then there
 these they this to up was we were what when which who will with would you your
@@ -68,13 +70,13 @@ class Block(NamedTuple):
     article: bool
 
 
-def _declared(tag: str, attributes: str) -> bool:
-    """Whether an element says of itself that it is boilerplate."""
+def _declared(tag: str, attributes: str, article: bool = False) -> bool:
+    """Whether an element (in an article) says of itself that it is boilerplate."""
     if tag in BOILERPLATE or tag in DROPPED:
         return True
     for m in _NAMES.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES or name in ("class", "id") and NAMED.search(value):
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES or name in ("class", "id") and (NAMED.search(value) or not article and OUTER.search(value)):
             return True
     return False
 
@@ -162,7 +164,7 @@ def blocks(page: str) -> list[Block]:
             dropped = any(x[0] in ("dialog", "template", "aside") for x in stack)
             article = True
         # the heading part of an article belongs to it; a header elsewhere doesn't
-        own = _declared(tag, m[3]) and tag not in ("body", "article", "main") or tag == "header" and not article
+        own = _declared(tag, m[3], article) and tag not in ("body", "article", "main") or tag == "header" and not article
         stack.append((tag, dropped or own, article))
     close()
     return out
@@ -226,4 +228,5 @@ def extract(pages: DataFrame) -> DataFrame:
             columns = [part.column("page_id").cast(pa.int64()), part.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
+    bound_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

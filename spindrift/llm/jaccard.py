@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_path, materialize, materialized_paths, slices
+from .common import bound_batches, delete_path, few_files, forget_others, materialize, materialized_paths, slices
 from .shingles import U, mix, shingle_sets
 
 WORDS = 5
@@ -49,11 +49,11 @@ COUNT_WINDOW = 4_000_000
 #: Members of a group in a block of a tile, about.
 TILE = 2048
 #: Postings that a task holds before it sends them, and that a range of hashes holds about.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 RANGE = 500_000
 #: Slots of the filter by which texts of candidates are picked (1 MB, whatever the input).
 SLOTS = (1 << 23) - 15
-TEXT_SLICE = 4 << 20
+TEXT_SLICE = 2 << 20
 
 
 def bands(percent: int, top: int) -> np.ndarray:
@@ -77,13 +77,18 @@ def set_profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
     names = ["kind", "doc_id", "n", "key", "bitmap"]
 
     def frequent(held: list[np.ndarray], n: int) -> pa.RecordBatch:
-        common, times = np.unique(np.concatenate(held), return_counts=True)
+        every = np.concatenate(held)
+        held.clear()
+        every.sort()
+        common = np.unique(every[2:][every[2:] == every[:-2]])  # those that occur three times
+        times = np.searchsorted(every, common, side="right") - np.searchsorted(every, common)
         often = times >= max(3, HEAVY_SHARE * n)
         common, times = common[often].view(np.int64), times[often]
         none = len(common)
         return pa.RecordBatch.from_arrays([pa.array(np.ones(none), pa.int32()), pa.nulls(none, pa.int64()), pa.array(times, pa.int64()), pa.array(common, pa.int64()), pa.nulls(none, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("shingles")
         held: list[np.ndarray] = []
         size = rows = 0
         for part in slices(batches, "text", TEXT_SLICE):
@@ -179,6 +184,7 @@ def _post_blocks(docs: DataFrame, heavy: np.ndarray, bits: int, words: int, perc
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("shingles")
         often = shared.value
         seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -201,7 +207,7 @@ def _post_blocks(docs: DataFrame, heavy: np.ndarray, bits: int, words: int, perc
             names = np.asarray(part.column("doc_id").cast(pa.int64()).fill_null(-1))
             starts = np.concatenate(([0], np.cumsum(counts)))
             keep = np.ones(len(counts), dtype=bool)
-            if len(seen) > 1_000_000:  # only a saving
+            if len(seen) > 200_000:  # only a saving
                 seen.clear()
             for i in range(len(counts)):
                 key = hash(flat[starts[i] : starts[i + 1]].tobytes())
@@ -338,12 +344,12 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([flat[b - n : b].tobytes() for b, n in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary())], names=["doc", "set"])
 
     found = docs.select("doc_id", "text").mapInArrow(run, "doc long, set binary")
-    return found.join(wanted, "doc", "left_semi")
+    return found.join(wanted.hint("shuffle_hash"), "doc", "left_semi")
 
 
 def _exact(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) that are linked, by intersection of their sorted shingle arrays."""
-    wanted = materialize(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct(), "op3-wanted")
+    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
     sets = _sets_of(docs, wanted, words)
     if docs.columns.count("doc_id") != 1:
         raise ValueError("docs needs one column doc_id")
@@ -363,7 +369,8 @@ def _exact(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
 
     left = sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+    # the few pairs are the build side of the first join, so that sets stream past them
+    return left.join(pairs.hint("shuffle_hash"), "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -394,6 +401,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     stay rows, and count as one node. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select("doc_id", "text")
     profiles = materialize(set_profiles(docs, words), "op3-profiles")
     every = profiles.filter("kind = 0")
@@ -433,4 +441,4 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     rows = every.join(nodes.select("key", "n", "rep"), ["key", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return few_files(rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import CACHES, bound_batches, forget_others, slices, text_bytes
 
 DIMENSIONS = 1024
 #: Letters in an n-gram.
@@ -23,8 +23,8 @@ GRAM = 3
 #: Symbols: 0 is what stands between words; letters of higher code points share symbols by remainder.
 SYMBOLS = 1024
 SEED = 20250131
-#: n-gram vectors that a worker remembers before it starts again (4 KB each).
-GRAM_CACHE = 24_000
+#: n-gram vectors that a worker remembers before it starts again (1 KB each).
+GRAM_CACHE = 32_000
 #: Distinct languages that training may return to the driver; more is an error, as prototypes are broadcast.
 MAX_LANGUAGES = 2_000
 #: A text whose best cosine is lower resembles no language.
@@ -51,19 +51,17 @@ class Profiles:
 
     def forget(self) -> None:
         self.row: dict[int, int] = {}
-        self.vectors = np.zeros((1024, DIMENSIONS), dtype=np.float32)
+        self.vectors = np.zeros((GRAM_CACHE, DIMENSIONS), dtype=np.int8)
 
     def rows(self, grams: np.ndarray) -> np.ndarray:
         """Rows of self.vectors for distinct n-gram codes."""
         if len(self.row) + len(grams) > GRAM_CACHE:
-            self.forget()
+            self.row.clear()
         known = self.row
         rows = [known.get(g, -1) for g in grams.tolist()]
         missing = [i for i, r in enumerate(rows) if r < 0]
         if missing:
             need = len(known) + len(missing)
-            if need > len(self.vectors):
-                self.vectors = np.concatenate([self.vectors, np.zeros((max(need, 2 * len(self.vectors)) - len(self.vectors), DIMENSIONS), np.float32)])
             codes = grams[missing]
             bound = np.ones((len(codes), DIMENSIONS), dtype=np.int8)
             for k in range(GRAM):
@@ -97,16 +95,18 @@ class Profiles:
                 gram += s[k : k + len(gram)] << (10 * k)
             codes, counts = np.unique(gram, return_counts=True)
             total = np.zeros(DIMENSIONS, dtype=np.float32)
-            for at in range(0, len(codes), 8192):  # bounded memory for any text
-                rows = self.rows(codes[at : at + 8192])
-                total += counts[at : at + 8192].astype(np.float32) @ self.vectors[rows]
+            for at in range(0, len(codes), 1024):  # bounded memory for any text
+                rows = self.rows(codes[at : at + 1024])
+                total += counts[at : at + 1024].astype(np.float32) @ self.vectors[rows].astype(np.float32)
             yield total
 
 
 _PROFILES: list[Profiles] = []
+CACHES["langid"] = _PROFILES.clear
 
 
 def profiles() -> Profiles:
+    forget_others("langid")
     if not _PROFILES:
         _PROFILES.append(Profiles())
     return _PROFILES[0]
@@ -122,7 +122,7 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         made = profiles()
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 2 << 20):
             for lang, bundle in zip(part.column("lang").to_pylist(), made.bundles(part.column("text")), strict=True):
                 if lang is not None and bundle is not None and (norm := float(np.linalg.norm(bundle))) > 0:
                     sums[lang] = sums.get(lang, 0.0) + bundle.astype(np.float64) / norm
@@ -135,6 +135,7 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
                 sums[lang] = sums.get(lang, 0.0) + np.frombuffer(part)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "part": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
 
+    bound_batches(docs.sparkSession)
     schema = "lang string, part binary"
     parts = docs.select("lang", "text").filter("lang is not null and text is not null").mapInArrow(run, schema)
     # sums of task sums: a salted round keeps what one task reads small
@@ -157,13 +158,14 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], names: tuple[st
     langs = sorted(prototypes)
     unit = np.array([prototypes[x] / (np.linalg.norm(prototypes[x]) or 1.0) for x in langs], dtype=np.float32).reshape(len(langs), DIMENSIONS)
     spark = docs.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast((langs, unit))
     docs = docs.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, matrix = shared.value
         made = profiles()
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 2 << 20):
             best, score = [], []
             for bundle in made.bundles(part.column("text")):
                 norm = float(np.linalg.norm(bundle)) if bundle is not None else 0.0

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import materialize, slices
+from .common import bound_batches, materialize, slices
 
 #: Bytes of payload in a row of an image; payloads are padded to a multiple.
 ROW = 192
@@ -323,6 +323,7 @@ def to_media(docs: DataFrame) -> DataFrame:
             columns = [part.column("doc_id").cast(pa.int64()), pa.array([x[0] for x in made], pa.int64()), pa.array(["image/jpeg"] * n, pa.string()), pa.array([store(x[1]) for x in made], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "declared", "media"])
 
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import bound_batches, slices
 from .tokens import encoder
 
 #: Rests that are packed together.
@@ -142,4 +142,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
         settle()
         yield flush()
 
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .common import text_bytes
+from .common import CACHES, text_bytes
 
 U = np.uint64
 _RNG = np.random.default_rng(7151)
@@ -24,6 +24,7 @@ PLACES = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
 #: Bytes that are summed at once; bounds memory.
 BLOCK = 1 << 20
 _POWERS: list[np.ndarray] = []
+CACHES["shingles"] = _POWERS.clear
 
 
 def mix(x: np.ndarray) -> np.ndarray:

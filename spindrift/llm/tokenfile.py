@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import delete_path, materialize, scratch_path, slices
+from .common import bound_batches, delete_path, materialize, scratch_path, slices
 from .tokens import encoder
 
 MAGIC = b"EFTOKEN1"
@@ -139,6 +139,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     docs needs doc_id and text; other columns are ignored. A null or empty text is the end id alone; repeated rows are
     written as often as they occur; an empty table writes no block.
     """
+    bound_batches(docs.sparkSession)
     if files is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         files = max(1, -(-size // FILE_BYTES))

@@ -17,8 +17,10 @@ from array import array
 
 import numpy as np
 
-#: Chunks that a worker remembers before it starts again; bounds its memory at some 150 MB.
-CACHE_ENTRIES = 600_000
+from .common import CACHES, forget_others
+
+#: Chunks that a worker remembers before it starts again; bounds its memory at some 100 MB.
+CACHE_ENTRIES = 400_000
 #: Longer chunks are encoded but not remembered.
 CACHE_CHARS = 64
 #: Closing punctuation that the pre-tokeniser keeps together and apart from letters; the apostrophe starts suffixes and is left out.
@@ -58,7 +60,8 @@ class ChunkEncoder(dict):
         if "<" in chunk:  # may hold a special token
             return None
         word = chunk.rstrip(CLOSING)
-        if word and len(word) < len(chunk) and word[-1].isalpha():
+        # (other letters may end in a mark, once normalised, that joins what follows)
+        if word and len(word) < len(chunk) and word[-1].isalpha() and word[-1] < "\u0250" and word[-1] != "\u0130":
             return self[word] + self[chunk[len(word) :]]
         # Latin letters up to U+024F change case one by one and are already composed
         if max(chunk) < "\u0250" and "\u0130" not in chunk and (lower := chunk.lower()) != chunk:
@@ -86,10 +89,12 @@ class ChunkEncoder(dict):
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
+CACHES["tokens"] = _ENCODERS.clear
 
 
 def encoder(path: str) -> ChunkEncoder:
     """The process's encoder for a tokenizer file; its path is valid on every executor."""
+    forget_others("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]

@@ -307,6 +307,11 @@ def access(tenant: str, collections: list[str] | None = None, admin: bool = Fals
 
 
 def parse_time(text: Column) -> Column:
-    """A timestamp in one of four layouts: RFC 3339, date, date and time, RFC 1123."""
-    layouts = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "EEE, dd MMM yyyy HH:mm:ss zzz"]
-    return F.coalesce(F.when(text.contains("T"), F.try_to_timestamp(text)), *[F.try_to_timestamp(text, F.lit(x)) for x in layouts[:2]])
+    """A timestamp in one of four layouts: RFC 3339, date, date and time, RFC 1123; null for other texts."""
+    mail = F.regexp_extract(text, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
+    return F.coalesce(
+        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), F.try_to_timestamp(text)),
+        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))),
+        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))),
+        F.when(mail != "", F.try_to_timestamp(mail, F.lit("dd MMM yyyy HH:mm:ss"))),
+    )

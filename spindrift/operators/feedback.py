@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions import vectors as v
 
 # The weight of each signal.
 DELTAS = {"thumbs_up": 0.1, "click": 0.1, "thumbs_down": -0.15, "requery": -0.15, "dwell": 0.03, "ignore": -0.015}
 POSITIVE, NEGATIVE = 0.1, 0.15
+IMPLICIT = {"click": 0.5, "dwell": 0.3, "ignore": -0.1, "requery": -0.5}
 DWELL_MS = 5000
 LOW, HIGH = 0.1, 3.0
 CONFIDENT, LIMIT = 0.3, 0.5
@@ -47,6 +49,36 @@ def implicit_kind(signal: Column, duration_ms: Column) -> Column:
     return F.when(signal == "dwell", F.when(duration_ms >= DWELL_MS, "dwell").otherwise("ignore")).when(signal.isin("click", "ignore", "requery"), signal)
 
 
+def explicit(ratings: DataFrame) -> DataFrame:
+    """Feedback of ratings (id, interaction_id, rating, clicked_ids, rejected_ids, ts): its type and sentiment by the rating."""
+    r = F.col("rating")
+    return ratings.select("id", "interaction_id", rating_kind(r).alias("type"), rating_sentiment(r).cast("double").alias("sentiment"), "clicked_ids", "rejected_ids", "ts")
+
+
+def implicit(signals: DataFrame) -> DataFrame:
+    """Feedback of signals (id, interaction_id, signal, duration_ms, target_ids, ts); unknown signals are left out."""
+    kind = implicit_kind(F.col("signal"), F.col("duration_ms"))
+    known = F.create_map(*[F.lit(x) for pair in IMPLICIT.items() for x in pair])
+    rows = signals.withColumn("type", kind).filter("type is not null")
+    return rows.select("id", "interaction_id", "type", F.try_element_at(known, F.col("type")).cast("double").alias("sentiment"), F.col("target_ids").alias("clicked_ids"), F.array().cast("array<string>").alias("rejected_ids"), "ts")
+
+
+def natural(texts: DataFrame, score: Column | None = None) -> DataFrame:
+    """Feedback of texts (id, interaction_id, text, ts) by rule-based sentiment, or by a score of the caller's (a model)."""
+    none = F.array().cast("array<string>")
+    return texts.select("id", "interaction_id", F.lit("natural").alias("type"), (score if score is not None else tx.sentiment(F.col("text"))).cast("double").alias("sentiment"), none.alias("clicked_ids"), none.alias("rejected_ids"), "ts")
+
+
+def record_and_boost(results: DataFrame, all_boosts: DataFrame, query: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Boosted results and the interaction (one row) that records them as they were shown."""
+    h = F.substring(F.sha2(F.lit(query).cast("binary"), 256), 1, 16)
+    key = results.sparkSession.range(1).select(h).first()[0]
+    boosted = apply(results, all_boosts, key)
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"])
+    made = boosted.agg(shown.alias("result_ids")).select(F.substring(F.sha2(F.concat(F.lit(query), now.cast("string")).cast("binary"), 256), 1, 12).alias("id"), F.lit(query).alias("query"), F.lit(key).alias("query_hash"), "result_ids", now.alias("ts"))
+    return boosted, made
+
+
 def deltas(interactions: DataFrame, feedback: DataFrame) -> DataFrame:
     """target_id, query_hash, ts, feedback_id and delta of every change; the global key gets half. Feedback on no interaction is left out."""
     rows = feedback.join(interactions.select(F.col("id").alias("interaction_id"), "query_hash", "result_ids"), "interaction_id")

@@ -91,3 +91,11 @@ def search_jaccard(postings: DataFrame, query: dict[int, float], k: int, id_col:
 
 def delete(postings: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return postings.join(ids.select(id_col), id_col, "left_anti")
+
+
+def add(postings: DataFrame, new: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Postings with those of new documents; a document that is there already is an error."""
+    again = new.select(id_col).join(postings.select(id_col), id_col, "left_semi").limit(1).collect()
+    if again:
+        raise ValueError(f"document {again[0][0]} exists")
+    return postings.unionByName(new)

@@ -149,6 +149,13 @@ def orphans(docs: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
     return docs.join(files.select(key), key, "left_anti")
 
 
+def sync_plan(docs: DataFrame, found: DataFrame, key: str = "path") -> DataFrame:
+    """path and action (`add`, `update` or `delete`) that bring docs (path, modified) up to the files found (path, modified)."""
+    both = docs.select(key, F.col("modified").alias("had")).join(found.select(key, F.col("modified").alias("has")), key, "full_outer")
+    action = F.when(F.col("had").isNull(), "add").when(F.col("has").isNull(), "delete").when(F.col("has") > F.col("had"), "update")
+    return both.select(key, action.alias("action")).filter("action is not null")
+
+
 # -- snapshots, exports, logs -------------------------------------------------------------------------------------------
 
 
@@ -199,6 +206,14 @@ def read_log(spark: SparkSession, path: str, from_seq: int = 0) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).option("mode", "DROPMALFORMED").json(path).filter(F.col("seq") >= from_seq).orderBy("seq")
 
 
+def since(log: DataFrame, seq: int) -> DataFrame:
+    """Entries after a sequence number; an error if some of them have been trimmed already."""
+    first = log.agg(F.min("seq")).first()[0]
+    if first is not None and first > seq + 1:
+        raise ValueError(f"the log begins at {first}; a follower at {seq} needs a snapshot")
+    return log.filter(F.col("seq") > seq).orderBy("seq")
+
+
 def log_stats(log: DataFrame) -> DataFrame:
     """One row: first and last sequence number and the number of operations of each kind."""
     return log.agg(F.min("seq").alias("first"), F.max("seq").alias("last"), F.count("*").alias("entries"), *[F.count_if(F.col("op") == x).alias(x) for x in ("insert", "upsert", "delete")])

@@ -290,3 +290,59 @@ def test_metric_registry(spark):
     v.register_distance("manhattan", lambda a, b: F.aggregate(F.zip_with(v.vec(a), v.vec(b), lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x))
     df = spark.createDataFrame([(1, [1.0, 2.0])], "id long, embedding array<double>")
     assert search.knn(df, [0.0, 0.0], 1, "manhattan").first().distance == 3.0
+
+
+def test_feedback_sources(spark):
+    ts = F.lit("2024-01-01").cast("timestamp")
+    ratings = spark.createDataFrame([("a", "i", 5), ("b", "i", 3), ("c", "i", 1)], "id string, interaction_id string, rating int").withColumns({"clicked_ids": F.array(F.lit("x")), "rejected_ids": F.array(F.lit("y")), "ts": ts})
+    assert {r.id: (r.type, r.sentiment) for r in fb.explicit(ratings).collect()} == {"a": ("thumbs_up", 1.0), "b": ("explicit", 0.0), "c": ("thumbs_down", -1.0)}
+    signals = spark.createDataFrame([("a", "i", "dwell", 9000), ("b", "i", "dwell", 1), ("c", "i", "wave", 0)], "id string, interaction_id string, signal string, duration_ms int").withColumns({"target_ids": F.array(F.lit("x")), "ts": ts})
+    assert {r.id: (r.type, r.sentiment > 0) for r in fb.implicit(signals).collect()} == {"a": ("dwell", True), "b": ("ignore", False)}
+    texts = spark.createDataFrame([("a", "i", "great, thanks"), ("b", "i", None)], "id string, interaction_id string, text string").withColumn("ts", ts)
+    assert {r.id: round(r.sentiment, 6) for r in fb.natural(texts).collect()} == {"a": 0.6, "b": 0.0}
+    interactions = spark.createDataFrame([("i", "q", ["x", "y"])], "id string, query_hash string, result_ids array<string>")
+    made = {(r.target_id, r.query_hash): r.boost for r in fb.boosts(fb.deltas(interactions, fb.explicit(ratings))).collect()}
+    assert made == {("x", "q"): 1.1, ("x", ""): 1.05, ("y", "q"): 0.85, ("y", ""): 0.925}
+    boosted, shown = fb.record_and_boost(spark.createDataFrame([("x", 1.0), ("y", 2.0)], "id string, score double"), fb.boosts(fb.deltas(interactions, fb.explicit(ratings))), "cats", ts)
+    assert [r.id for r in boosted.orderBy("rank").collect()] == ["y", "x"] and shown.first().result_ids == ["y", "x"]
+
+
+def test_parse_time(spark):
+    texts = ["2024-02-03T04:05:06Z", "2024-02-03", "2024-02-03 04:05:06", "Sat, 03 Feb 2024 04:05:06 GMT", "soon", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fl.parse_time(F.col("t")).cast("string").alias("at"))
+    assert {r.i: r.at for r in rows.collect()} == {0: "2024-02-03 04:05:06", 1: "2024-02-03 00:00:00", 2: "2024-02-03 04:05:06", 3: "2024-02-03 04:05:06", 4: None, 5: None}
+
+
+def test_sync_plan_and_log(spark):
+    day = lambda n: F.lit(f"2024-01-0{n}").cast("timestamp")
+    had = spark.createDataFrame([("a",), ("b",), ("c",)], "path string").withColumn("modified", day(1))
+    has = spark.createDataFrame([("a",), ("b",), ("d",)], "path string").withColumn("modified", F.when(F.col("path") == "a", day(1)).otherwise(day(2)))
+    assert {r.path: r.action for r in files.sync_plan(had, has).collect()} == {"b": "update", "c": "delete", "d": "add"}
+    log = spark.range(5, 9).select(F.col("id").alias("seq"))
+    assert [r.seq for r in files.since(log, 6).collect()] == [7, 8]
+    with pytest.raises(ValueError):
+        files.since(log, 2)
+
+
+def test_postings_are_added_once(spark):
+    p = spark.createDataFrame([(1, 5, 1.0)], "doc_id long, term int, tf double")
+    assert sparse.add(p, p.withColumn("doc_id", F.lit(2).cast("long"))).count() == 2
+    with pytest.raises(ValueError):
+        sparse.add(p, p)
+
+
+def test_sparse_codecs(spark):
+    df = spark.createDataFrame([([0.0, 2.0, 0.0, -1.0],)], "x array<double>").select(v.sparse_from_dense("x").alias("s"))
+    row = df.select(files.parse_sparse_json(files.sparse_json(F.col("s"))).alias("j"), v.sparse_to_dense(F.col("s")).alias("d"), v.sparse_valid(F.col("s")).alias("ok"), v.sparse_scale(F.col("s"), 2.0).alias("t"), v.sparse_normalize(F.col("s")).alias("n")).first()
+    assert (row.j.indices, row.j["values"], row.j.dim) == ([1, 3], [2.0, -1.0], 4) and row.d == [0.0, 2.0, 0.0, -1.0] and row.ok
+    assert row.t["values"] == [4.0, -2.0] and math.hypot(*row.n["values"]) == pytest.approx(1.0)
+    blob = spark.createDataFrame([([1.5, -2.0],)], "x array<float>").select(quantize.blob_decode(quantize.blob_encode("x")).alias("y")).first()
+    assert blob.y == [1.5, -2.0]
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "id long, embedding array<double>")
+    assert search.knn(none, [1.0], 3).count() == 0 and search.knn_batch(none.selectExpr("id as query_id", "embedding as query"), none, 3).count() == 0
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert search.lexical(docs, "word", 3).count() == 0 and search.bm25_scores(docs.union(spark.createDataFrame([(1, "word")], docs.schema)), "").count() == 0
+    assert cl.fold_changes(spark.createDataFrame([], "seq long, op string, id string, doc string")).count() == 0

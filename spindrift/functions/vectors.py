@@ -32,6 +32,11 @@ def dot(a: Vector, b: Vector) -> Column:
 
 
 def norm(a: Vector) -> Column:
+    if isinstance(a, (list, tuple)):  # a literal's is a constant: lambdas are not folded by the optimizer
+        total = 0.0
+        for x in a:
+            total += float(x) * float(x)
+        return F.lit(total**0.5)
     return F.sqrt(_total(F.transform(vec(a), lambda x: x * x)))
 
 

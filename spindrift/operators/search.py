@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import base64
 import json
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +35,18 @@ def _k(k: int) -> int:
     return k
 
 
-def knn(df: DataFrame, query: list[float], k: int, metric: str = "cosine", where: Column | None = None, id_col: str = "id", vector: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
+def knn(df: DataFrame, query: list[float], k: int, metric: str = "cosine", where: Column | None = None, id_col: str = "id", vector: str = "embedding", keep: tuple[str, ...] = (), strategy: str = "columns") -> DataFrame:
     """id, distance, score (1 / (1 + distance); the product itself for dot) and rank (from 1) of the k nearest rows that satisfy `where`, filtered before they are scored.
 
-    Rows with a null vector or one of another length don't take part.
+    Rows with a null vector or one of another length don't take part. `columns` scores in the JVM, row by row; `matmul`
+    (long ids) takes a matrix product per Arrow batch, which pays from some million rows times dimensions on.
     """
     rows = df.filter(where) if where is not None else df
+    if strategy == "matmul":
+        asked = df.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id long, query array<double>")
+        found = knn_batch(asked, rows, _k(k), metric, id_col=id_col, vector=vector).drop("query_id")
+        score = v.rounded(v.score_of(F.col("distance")) if metric != "dot" else -F.col("distance")).alias("score")
+        return (found.join(rows.select(id_col, *keep), id_col) if keep else found).select(id_col, *keep, "distance", score, "rank")
     rows = rows.filter(F.size(vector) == len(query))
     distance = v.rounded(v.DISTANCES[metric](vector, query))
     rows = rows.select(id_col, *keep, distance.alias("distance")).orderBy("distance", id_col).limit(_k(k))
@@ -152,19 +160,26 @@ def _is(term: str):
 def bm25_scores(docs: DataFrame, query: str, k1: float = 1.2, b: float = 0.75, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score) of every text that holds a term of the query; a query's terms count once each.
 
-    Each text is read once: its length and its counts of the few query terms are taken in the row, so no posting but
-    the matching ones leaves the scan.
+    A first pass counts documents, lengths and the query terms' frequencies; the second tokenises only texts in which a
+    term occurs as a substring. Both count in the row, so no posting leaves the scan.
     """
     spark = docs.sparkSession
     terms = sorted(set(spark.range(1).select(tx.tokenize(F.lit(query)).alias("t")).first().t))
     if not terms:
         return docs.select(id_col).limit(0).withColumn("score", F.lit(0.0))
-    wanted = F.array(*[F.lit(t) for t in terms])
-    rows = docs.select(id_col, tx.tokenize(F.col(text)).alias("tokens"))
-    rows = rows.select(id_col, F.size("tokens").alias("len"), *[F.size(F.filter("tokens", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)]) if len(terms) <= 16 else None
-    if rows is None:
-        return _bm25_by_postings(docs, wanted, k1, b, id_col, text)
-    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
+    if len(terms) > 16:
+        return _bm25_by_postings(docs, F.array(*[F.lit(t) for t in terms]), k1, b, id_col, text)
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """id, len and a count for each term; the one-element explode keeps filters on counts from being copied into the tokeniser."""
+        rows = rows.select(id_col, tx.tokenize(F.col(text)).alias("tokens"))
+        tf = F.struct(F.size("tokens").alias("len"), *[F.size(F.filter("tokens", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+        return rows.select(id_col, F.explode(F.array(tf)).alias("c")).select(id_col, "c.*")
+
+    stats = counted(docs).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
+    low = F.lower(text)
+    # (the case of other letters can depend on what stands next to them)
+    rows = counted(docs.filter(reduce(operator.or_, [low.contains(t) for t in terms])) if all(t.isascii() for t in terms) else docs)
     if not stats.n:
         return rows.select(id_col, F.lit(0.0).alias("score"))
 
@@ -173,9 +188,8 @@ def bm25_scores(docs: DataFrame, query: str, k1: float = 1.2, b: float = 0.75, i
         idf = F.log(F.lit((stats.n - df + 0.5) / (df + 0.5) + 1.0))
         return F.when(tf > 0, idf * tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("len") / F.lit(stats.avgdl or 1.0)))).otherwise(F.lit(0.0))
 
-    score = sum((part(i) for i in range(1, len(terms))), part(0))
-    hit = sum((F.col(f"tf{i}") for i in range(1, len(terms))), F.col("tf0")) > 0
-    return rows.filter(hit).select(id_col, score.alias("score"))
+    hit = reduce(operator.add, [F.col(f"tf{i}") for i in range(len(terms))]) > 0
+    return rows.filter(hit).select(id_col, reduce(operator.add, [part(i) for i in range(len(terms))]).alias("score"))
 
 
 def _bm25_by_postings(docs: DataFrame, wanted: Column, k1: float, b: float, id_col: str, text: str) -> DataFrame:

@@ -63,6 +63,12 @@ for _m in ("cosine", "l2", "dot", "l2_squared"):
     query(_knn_sql(_m), f"knn_{_m}")(_knn(_m))
 
 
+@query(_knn_sql("cosine", 10, "label = 4"))
+def knn_matmul(spark, d):
+    e = _embeddings(spark, d)
+    return search.knn(e, vector_of(e, 0), 10, "cosine", where=F.col("label") == 4, id_col="vec_id", strategy="matmul")
+
+
 @query(_knn_sql("cosine", 10, "label IN (1, 2, 3)"))
 def knn_filtered(spark, d):
     e = _embeddings(spark, d)

@@ -346,3 +346,31 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert search.lexical(docs, "word", 3).count() == 0 and search.bm25_scores(docs.union(spark.createDataFrame([(1, "word")], docs.schema)), "").count() == 0
     assert cl.fold_changes(spark.createDataFrame([], "seq long, op string, id string, doc string")).count() == 0
+
+
+@pytest.mark.parametrize("n", [3, 10, 200])
+def test_nearest_keeps_ties_by_id(n):
+    rng = np.random.default_rng(n)
+    d = rng.integers(0, 6, (5, n)).astype(float)
+    ids = rng.permutation(n)
+    got_d, got_i = search._nearest(d, ids, 4)
+    for q in range(5):
+        true = sorted(zip(d[q].tolist(), ids.tolist(), strict=True))[:4]
+        assert list(zip(got_d[q].tolist(), got_i[q].tolist(), strict=True)) == true
+
+
+def test_strategies_agree(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rng.normal(size=(300, 12)).tolist())], "id long, embedding array<double>")
+    q = rng.normal(size=12).tolist()
+    for metric in ("cosine", "l2", "dot", "l2_squared", "cosine_normalized"):
+        a, b = (sorted((r["rank"], r.id, r.distance) for r in search.knn(df, q, 7, metric, strategy=s).collect()) for s in ("columns", "matmul"))
+        assert a == b
+    from spindrift.operators import indexes
+
+    exact = [r.id for r in indexes.create("flat", df)(q, 10).collect()]
+    for name, params in (("ivf", {"nlist": 8, "nprobe": 8}), ("binary", {"rescore": 20}), ("ivf_binary", {"nlist": 8, "nprobe": 6, "rescore": 20}), ("pq", {"m": 6, "ksub": 64, "rounds": 4}), ("ivf_pq", {"nlist": 4, "nprobe": 4, "m": 6, "ksub": 32, "rounds": 2})):
+        found = {r.id for r in indexes.create(name, df, **params)(q, 30 if "pq" in name else 10).collect()}
+        assert len(found & set(exact)) >= 7, name
+    with pytest.raises(ValueError):
+        indexes.create("tree", df)

@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # ids are the build side, so that texts are shuffled once and never sorted, but for those of repeated ids
     joined = docs.join(first.hint("shuffle_hash"), "doc_id")
     kept = joined.filter("_rows = 1").unionByName(joined.filter("_rows > 1").dropDuplicates(["doc_id"]))
-    return few_files(kept.select(*docs.columns).unionByName(docs.filter("doc_id is null")))
+    return few_files(kept.select(*docs.columns).unionByName(docs.filter("doc_id is null")), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

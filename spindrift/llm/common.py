@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN_DIR: dict[str, str] = {}
 #: Bytes of an Arrow batch between the JVM and Python: batches of long texts hold fewer rows.
 BATCH_BYTES = 4 << 20
+#: Bytes of input for which a table derived from it gets a file of its own.
+FILE_BYTES = 32 << 20
 #: What a Python worker remembers between tasks, by operator: how to forget it.
 CACHES: dict[str, Callable[[], None]] = {}
 
@@ -52,16 +54,22 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """df in at most twice as many partitions as there are cores: every core stays busy, and no write leaves many small files."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+def file_count(like: DataFrame) -> int:
+    """Files for a table that grows as `like` does: one for each FILE_BYTES of its estimated size, and two for each core at least."""
+    size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(2 * like.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES)), 1 << 20)  # a plan of unknown size counts as huge
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+def few_files(df: DataFrame, like: DataFrame) -> DataFrame:
+    """df in file_count(like) partitions at most, so that no write leaves many small files."""
+    return df.coalesce(file_count(like))
+
+
+def materialize(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
+    """Write df as a table (of at most `files` files) in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    few_files(df).write.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

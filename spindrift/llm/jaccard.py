@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, delete_path, few_files, forget_others, materialize, materialized_paths, slices
+from .common import bound_batches, delete_path, file_count, forget_others, materialize, materialized_paths, slices
 from .shingles import U, mix, shingle_sets
 
 WORDS = 5
@@ -373,10 +373,10 @@ def _exact(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     return left.join(pairs.hint("shuffle_hash"), "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, tag: str = "components") -> DataFrame:
+def components(edges: DataFrame, tag: str = "components", files: int | None = None) -> DataFrame:
     """node, component (smallest node reachable) of every node that an edge (a, b) names, by large-star and small-star rounds."""
     spark = edges.sparkSession
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
+    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag, files)
     state = None
     while True:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -388,7 +388,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        after = materialize(small.filter("u <> v").distinct(), tag)
+        after = materialize(small.filter("u <> v").distinct(), tag, files)
         delete_path(spark, materialized_paths(now))
         now = after
 
@@ -402,43 +402,44 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """
     spark = docs.sparkSession
     bound_batches(spark)
+    files = file_count(docs)
     docs = docs.select("doc_id", "text")
-    profiles = materialize(set_profiles(docs, words), "op3-profiles")
+    profiles = materialize(set_profiles(docs, words), "op3-profiles", files)
     every = profiles.filter("kind = 0")
     total = every.agg(F.count("*").alias("docs"), F.sum("n").alias("n")).first()
     often = profiles.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(8.0, HEAVY_SHARE * total.docs))
     heavy = np.sort(np.array([r.key for r in often.orderBy(F.desc("n"), "key").limit(HEAVY_MAX).collect()], dtype=np.int64).view(np.uint64))
     nodes = every.filter("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("bitmap").alias("bitmap"))
-    nodes = materialize(nodes, "op3-nodes")
+    nodes = materialize(nodes, "op3-nodes", files)
     reps = every.filter("n > 0 and doc_id is not null").join(nodes.select("key", "n", "rep"), ["key", "n"]).select(F.col("doc_id").alias("doc"), "rep").distinct()
-    reps = materialize(reps, "op3-reps")
+    reps = materialize(reps, "op3-reps", files)
 
     bits = max(4, (int(0.6 * (total.n or 0)) // RANGE).bit_length())
     blocks = _post_blocks(docs, heavy, bits, words, percent)
     found = blocks.groupBy("range").applyInArrow(candidate_rows, "kind int, a long, b long").distinct()
-    found = materialize(found, "op3-found")
+    found = materialize(found, "op3-found", files)
 
     def by_rep(df: DataFrame, column: str) -> DataFrame:
         return df.join(reps.select(F.col("doc").alias(column), F.col("rep").alias("r")), column).drop(column).withColumnRenamed("r", column)
 
     def settle(possible: DataFrame) -> DataFrame:
-        return materialize(_exact(materialize(possible, "op3-possible"), docs, words, percent), "op3-links")
+        return materialize(_exact(materialize(possible, "op3-possible", files), docs, words, percent), "op3-links", files)
 
     pairs = by_rep(by_rep(found.filter("kind = 0").select("a", "b"), "a"), "b").filter("a <> b")
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "op3-pairs")
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "op3-pairs", files)
     links = settle(_bitmap_bound(pairs, nodes, percent))
-    labels = components(links, "op3-components")
+    labels = components(links, "op3-components", files)
 
     members = by_rep(found.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("doc")), "doc").distinct()
     members = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("g", "doc", F.coalesce("component", "doc").alias("component"))
     open_groups = members.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("g")
-    members = materialize(members.join(open_groups, "g", "left_semi"), "op3-members")
+    members = materialize(members.join(open_groups, "g", "left_semi"), "op3-members", files)
     if not members.isEmpty():
         across = _second_round(members, nodes, percent).join(pairs, ["a", "b"], "left_anti")
         more = settle(across)
         if not more.isEmpty():
-            labels = components(links.union(more), "op3-components")
+            labels = components(links.union(more), "op3-components", files)
 
     rows = every.join(nodes.select("key", "n", "rep"), ["key", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return few_files(rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).coalesce(files)

@@ -20,7 +20,10 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-"))
-    return df.checkpoint()
+    held = df.persist()  # a checkpoint runs its plan twice
+    done = held.checkpoint()
+    held.unpersist()
+    return done
 
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
@@ -73,13 +76,14 @@ def seeds(nodes: DataFrame, terms: list[str]) -> DataFrame:
     return nodes.filter(hit).select("id").distinct()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, seeds: DataFrame | None = None, tolerance: float = 1e-6, cut_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, seeds: DataFrame | None = None, tolerance: float = 1e-6, cut_every: int = 3) -> DataFrame:
     """id, rank: (1 - d) t + d (what in-links bring + t * what dangling nodes hold), parallel edges counted.
 
     The teleport t is uniform, or over the seeds (personalised). Stops early once no rank moves by the tolerance.
-    Ranks of one round are joined with out-links by id; sums are combined on the map side before the shuffle.
+    Ranks of one round are joined with out-links by id; sums are combined on the map side before the shuffle. A round
+    names the one before twice, so plans double until they are cut.
     """
-    ids = cut(nodes.select("id").distinct())
+    ids = nodes.select("id").distinct().persist()
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
@@ -102,16 +106,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
         moved = F.lit(1 - damping) * F.col("t") + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("t") * F.lit(float(lost)))
         ranks = ranks.join(sums, "id", "left").select("id", "t", "dangling", moved.alias("rank"), F.col("rank").alias("before"))
         # rounds are kept in the executors; a lost part is computed anew from the last checkpoint
-        ranks = (cut(ranks).repartition(parts, "id") if i % cut_every == cut_every - 1 else ranks).persist()
+        solid = cut(ranks) if i % cut_every == cut_every - 1 or i == rounds - 1 else None
+        ranks = (ranks if solid is None else solid.repartition(parts, "id")).persist()
         kept.append(ranks)
         if len(kept) > 2:
             kept.pop(0).unpersist()
         if i % cut_every == cut_every - 1 and (ranks.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0.0) < tolerance:
             break
-    found = cut(ranks.select("id", "rank"))
-    for held in (links, *kept):
+    for held in (ids, links, *kept):
         held.unpersist()
-    return found
+    return (solid if rounds else base.withColumn("rank", F.col("t"))).select("id", "rank")
 
 
 def document_scores(nodes: DataFrame, ranks: DataFrame, k: int) -> DataFrame:

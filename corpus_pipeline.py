@@ -14,19 +14,33 @@ from spindrift.llm.common import few_files, materialize, table
 from spindrift.llm.tokens import default_tokenizer
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language: those without a letter, or unlike every language (no positive cosine), go."""
+    """Documents of a known language: those without a letter, or unlike every language (no positive cosine), go.
+
+    Where no row has a lang, nothing is known of languages and only documents without a letter go.
+    """
     prototypes = langid.train(docs)
-    found = langid.identify(docs, prototypes, ("_lang_pred", "_score"))
-    return found.filter("_lang_pred <> 'und' and _score > 0").select(*docs.columns)
+    if not prototypes:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    pred, score = unused(docs, "_lang_pred"), unused(docs, "_score")
+    found = langid.identify(docs, prototypes, (pred, score))
+    return found.filter((F.col(pred) != "und") & (F.col(score) > 0)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component, the one of the smallest doc_id; rows without a doc_id stay."""
-    first = jaccard.jaccard_components(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    rows = unused(docs, "_rows")
+    first = jaccard.jaccard_components(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias(rows))
     # ids are the build side, so that texts are shuffled once and never sorted, but for those of repeated ids
     joined = docs.join(first.hint("shuffle_hash"), "doc_id")
-    kept = joined.filter("_rows = 1").unionByName(joined.filter("_rows > 1").dropDuplicates(["doc_id"]))
+    kept = joined.filter(F.col(rows) == 1).unionByName(joined.filter(F.col(rows) > 1).dropDuplicates(["doc_id"]))
     return few_files(kept.select(*docs.columns).unionByName(docs.filter("doc_id is null")), docs)
 
 

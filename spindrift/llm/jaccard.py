@@ -394,7 +394,7 @@ def components(edges: DataFrame, tag: str = "components", files: int | None = No
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document, and component_size in documents.
+    """doc_id, n_shingles and component_id of every document.
 
     docs needs doc_id and text; other columns are ignored. A null or empty text, or one of white space, has no shingle
     and is a component of its own. A null doc_id links with nothing and has a null component. Rows that repeat a doc_id

@@ -536,7 +536,9 @@ def test_pipeline(spark):
 def test_pipeline_stages_take_awkward_rows(spark):
     import corpus_pipeline as cp
 
-    docs = documents(spark, AWKWARD)
+    docs = documents(spark, AWKWARD).withColumns({"_rows": F.lit("clash"), "_score": F.lit("clash"), "_LANG_PRED": F.lit("clash")})
+    letters = sorted(i for i, t in AWKWARD if i is not None and any(c.isalpha() for c in t or ""))
+    assert sorted(r.doc_id for r in cp.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), DATA).filter("doc_id is not null").collect()) == letters
     for k, (_, stage) in enumerate(cp.STAGES):
         for d in (docs, docs.limit(0)):
             out = stage(spark, d, DATA)

@@ -185,16 +185,21 @@ def _haversine(lat: Column, lon: Column, at_lat: float, at_lon: float) -> Column
 haversine_km = _haversine
 
 
+def _at_point(field: Field, test: Callable[[Column], Column]) -> Column:
+    """A test of a point that is taken from the metadata once, however often the test names it."""
+    return F.get(F.transform(F.array(F.struct(field.lat.alias("lat"), field.lon.alias("lon"))), test), 0)
+
+
 def geo_radius(field: Field, lat: float, lon: float, radius_km: float) -> Column:
     """Within a great-circle distance; false where there is no point."""
-    return F.lit(False) if field.lat is None else _haversine(field.lat, field.lon, lat, lon) <= F.lit(radius_km)
+    return F.lit(False) if field.lat is None else _at_point(field, lambda p: _haversine(p["lat"], p["lon"], lat, lon) <= F.lit(radius_km))
 
 
 def geo_bbox(field: Field, top_left: tuple[float, float], bottom_right: tuple[float, float]) -> Column:
     """Inside a box, edges included; boxes don't wrap at the date line."""
     if field.lat is None:
         return F.lit(False)
-    return field.lat.between(bottom_right[0], top_left[0]) & field.lon.between(top_left[1], bottom_right[1])
+    return _at_point(field, lambda p: p["lat"].between(bottom_right[0], top_left[0]) & p["lon"].between(top_left[1], bottom_right[1]))
 
 
 def _point(value: Any) -> tuple[float, float]:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Stop words and sentiment words.
 STOPWORDS = ["the", "a", "an", "in", "on", "for", "and", "or", "but", "of", "to", "is"]
@@ -35,8 +37,21 @@ def term_hash(term: Column) -> Column:
     return F.aggregate(points, F.lit(5381).cast("long"), lambda h, c: (h * 33 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+@F.pandas_udf(T.LongType())
+def term_hashes(terms: pd.Series) -> pd.Series:
+    """term_hash of many terms at once, a character place at a time over the whole batch."""
+    sizes = terms.str.len().fillna(-1).to_numpy(dtype=np.int64)
+    points = np.frombuffer("".join(t for t in terms if t is not None).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    starts = np.concatenate(([0], np.cumsum(np.maximum(sizes, 0))[:-1]))
+    h = np.full(len(terms), 5381, dtype=np.uint64)
+    for k in range(int(sizes.max(initial=0))):
+        on = sizes > k
+        h[on] = (h[on] * np.uint64(33) + points[starts[on] + k]) & np.uint64(0xFFFFFFFF)
+    return pd.Series(h.astype(np.int64)).where(sizes >= 0, None).astype("Int64")
+
+
 def term_bucket(term: Column, dim: int) -> Column:
-    return (term_hash(term) % F.lit(dim)).cast("int")
+    return (term_hashes(term) % F.lit(dim)).cast("int")
 
 
 def query_hash(query: Column) -> Column:

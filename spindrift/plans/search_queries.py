@@ -9,7 +9,7 @@ from ..functions import filters as fl
 from ..functions import text as tx
 from ..functions import vectors as v
 from ..operators import fusion, recommend, search, sparse
-from ..session import table
+from ..session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,10 @@ def vector_of(df: DataFrame, vec_id: int) -> list[float]:
     return [float(x) for x in df.filter(F.col("vec_id") == vec_id).first().embedding]
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"))
+
+
 def _embeddings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings")
 
@@ -146,7 +150,8 @@ def with_metadata(events: DataFrame) -> DataFrame:
       ',"brand":"b', user_id % 4, '"},"tags":["', event_type, '","', user_id % 5, '"],"flag":', if(user_id % 2 = 0, 'true', 'false'),
       if(user_id % 3 = 0, concat(',"extra":', if(user_id = 0, 'null', cast(user_id as string))), ''),
       ',"loc":[', cast(((event_id * 7) % 180 - 90) as string), ',', cast(((event_id * 13) % 360 - 180) as string), ']}'))"""
-    return events.select("event_id", F.expr(one).alias("m"))
+    # the one-element explode stands for a stored column: filters on it are not copied into the parser
+    return events.select("event_id", F.expr(f"explode(array({one}))").alias("m"))
 
 
 FILTERS: dict[str, tuple[dict, str]] = {
@@ -185,7 +190,7 @@ FILTERS: dict[str, tuple[dict, str]] = {
 
 def _filter(document: dict):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = with_metadata(table(spark, d, "events"))
+        rows = with_metadata(spread(table(spark, d, "events")))
         return rows.filter(fl.compile_filter(document, fl.Fields(variant="m"))).select("event_id")
 
     return run
@@ -224,7 +229,7 @@ TOKENS = f"tok AS (SELECT doc_id, unnest(string_split(lower(regexp_replace(coale
 
 @query(f"WITH {TOKENS} SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM toks GROUP BY term")
 def tokenize(spark, d):
-    return search.postings(table(spark, d, "documents")).groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("documents"))
+    return search.postings(_documents(spark, d)).groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("documents"))
 
 
 WORDS = "onthe thtion edshhe than"
@@ -236,7 +241,7 @@ raw AS (SELECT tf.doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.2 /
 
 @query(f"WITH {BM25} SELECT doc_id, round(s, 6) + 0.0 AS score FROM raw")
 def bm25_text(spark, d):
-    found = search.bm25_scores(table(spark, d, "documents"), WORDS)
+    found = search.bm25_scores(_documents(spark, d), WORDS)
     return found.select("doc_id", v.rounded(F.col("score")).alias("score"))
 
 
@@ -245,14 +250,14 @@ LEX = f"""{BM25}, lex AS (SELECT doc_id, score, row_number() OVER (ORDER BY scor
 
 @query(f"WITH {LEX} SELECT doc_id, score, rank FROM lex WHERE rank <= 20")
 def lexical_topk(spark, d):
-    return search.lexical(table(spark, d, "documents"), WORDS, 20)
+    return search.lexical(_documents(spark, d), WORDS, 20)
 
 
 @query(f"""WITH {BM25}, {Q0}, h AS (SELECT vec_id AS doc_id, round(0.5 * list_inner_product(x, q) + 0.5 * coalesce(s, 0.0), 6) + 0.0 AS score FROM e CROSS JOIN q LEFT JOIN raw ON raw.doc_id = e.vec_id),
 t AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM h) SELECT doc_id, score, rank FROM t WHERE rank <= 15""")
 def hybrid_alpha(spark, d):
     e = _embeddings(spark, d)
-    return search.hybrid_alpha(e.withColumnRenamed("vec_id", "doc_id"), table(spark, d, "documents"), vector_of(e, 0), WORDS, 15)
+    return search.hybrid_alpha(e.withColumnRenamed("vec_id", "doc_id"), _documents(spark, d), vector_of(e, 0), WORDS, 15)
 
 
 SENTIMENT = " + ".join([f"(CASE WHEN contains(t, '{w}') THEN 4 ELSE 0 END)" for w in tx.POSITIVE] + [f"(CASE WHEN contains(t, '{w.replace(chr(39), chr(39) * 2)}') THEN -5 ELSE 0 END)" for w in tx.NEGATIVE])
@@ -271,12 +276,12 @@ def text_hashes(spark, d):
 
 @query()
 def chunk_documents(spark, d):
-    return tx.chunk(table(spark, d, "documents"))
+    return tx.chunk(_documents(spark, d))
 
 
 @query()
 def chunk_for_embedding(spark, d):
-    return tx.chunk_for_embedding(table(spark, d, "documents"))
+    return tx.chunk_for_embedding(_documents(spark, d))
 
 
 HASHED = f"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS word FROM documents),
@@ -287,7 +292,7 @@ p AS (SELECT doc_id, term, sum(n)::DOUBLE AS tf FROM words JOIN codes USING (wor
 
 @query(f"WITH {HASHED} SELECT doc_id, term::INT AS term, tf FROM p")
 def hashed_postings(spark, d):
-    return sparse.hashed_postings(table(spark, d, "documents"), 1024)
+    return sparse.hashed_postings(_documents(spark, d), 1024)
 
 
 SPARSE_QUERY = {3: 1.0, 77: 2.0, 500: 0.5}
@@ -299,7 +304,8 @@ def _sparse_sql(body: str) -> str:
 
 
 def _posted(spark, d) -> DataFrame:
-    return sparse.hashed_postings(table(spark, d, "documents"), 1024)
+    """The postings as an index would hold them: made once, then searched."""
+    return sparse.hashed_postings(_documents(spark, d), 1024).persist()
 
 
 @query(_sparse_sql("SELECT doc_id, sum(qv * tf) AS s FROM p JOIN q USING (term) GROUP BY doc_id"))
@@ -372,7 +378,7 @@ lists AS (SELECT 'dense' AS list, doc_id, rank, score FROM dense WHERE rank <= 4
 def _lists(spark, d) -> tuple[DataFrame, DataFrame]:
     e = _embeddings(spark, d)
     dense = search.knn(e, vector_of(e, 0), 40, id_col="vec_id").withColumnRenamed("vec_id", "doc_id")
-    return dense, search.lexical(table(spark, d, "documents"), WORDS, 40)
+    return dense, search.lexical(_documents(spark, d), WORDS, 40)
 
 
 def _fused_sql(body: str, more: str = "") -> str:

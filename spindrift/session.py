@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC pins time predicates; adaptive execution sizes and splits shuffles at run time.
 SETTINGS = {
@@ -19,5 +19,14 @@ def session(app: str = "spindrift", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan dealt over all cores where its files have fewer splits than there are cores: for work that is heavier than a shuffle of its columns.
+
+    Large tables have more splits than that and are left as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

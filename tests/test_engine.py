@@ -374,3 +374,10 @@ def test_strategies_agree(spark):
         assert len(found & set(exact)) >= 7, name
     with pytest.raises(ValueError):
         indexes.create("tree", df)
+
+
+def test_term_hashes_agree(spark):
+    words = ["ab", "", "é", "日本", "x" * 50, None, "ab"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    rows = df.select("w", tx.term_hash(F.col("w")).alias("a"), tx.term_hashes("w").alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and len({r.a for r in rows}) == 6

@@ -31,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     pred, score = unused(docs, "_lang_pred"), unused(docs, "_score")
     found = langid.identify(docs, prototypes, (pred, score))
-    return found.filter((F.col(pred) != "und") & (F.col(score) > 0)).select(*docs.columns)
+    return few_files(found.filter((F.col(pred) != "und") & (F.col(score) > 0)).select(*docs.columns), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +46,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+    return few_files(decontam.clean(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents left, in sequences of at most 2048 ids."""
-    return packing.pack_documents(docs, default_tokenizer(), capacity=2048, end_id=1)
+    return few_files(packing.pack_documents(docs, default_tokenizer(), capacity=2048, end_id=1), docs)
 
 
 STAGES = [("language ID", language), ("near-duplicates", near_duplicates), ("decontamination", decontamination), ("packing", pack)]

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN_DIR: dict[str, str] = {}
 #: Bytes of an Arrow batch between the JVM and Python: batches of long texts hold fewer rows.
 BATCH_BYTES = 4 << 20
+#: Bytes of input below which no table derived from it gets one more file.
+LEAST_FILE = 32 << 20
 #: What a Python worker remembers between tasks, by operator: how to forget it.
 CACHES: dict[str, Callable[[], None]] = {}
 
@@ -53,11 +55,11 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 
 def file_count(like: DataFrame) -> int:
-    """Files for a table that grows as `like` does: one for each input split of its estimated size, and two for each core at least."""
+    """Files for a table that grows as `like` does: one for each input split (of LEAST_FILE at least) of its estimated size, and one for each core at least."""
     spark = like.sparkSession
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(max(2 * spark.sparkContext.defaultParallelism, -(-size // split)), 1 << 20)  # a plan of unknown size counts as huge
+    return min(max(spark.sparkContext.defaultParallelism, -(-size // max(split, LEAST_FILE))), 1 << 20)  # a plan of unknown size counts as huge
 
 
 def few_files(df: DataFrame, like: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, forget_others, slices, text_bytes
-from .shingles import U, mix, token_hashes, windows
+from .shingles import U, token_hashes, windows
 
 WINDOW = 8
 COVERAGE = 0.5

@@ -403,6 +403,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     spark = docs.sparkSession
     bound_batches(spark)
     files = file_count(docs)
+    few = max(2, files // 4)  # for tables of ids alone
     docs = docs.select("doc_id", "text")
     profiles = materialize(set_profiles(docs, words), "op3-profiles", files)
     every = profiles.filter("kind = 0")
@@ -412,7 +413,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     nodes = every.filter("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("bitmap").alias("bitmap"))
     nodes = materialize(nodes, "op3-nodes", files)
     reps = every.filter("n > 0 and doc_id is not null").join(nodes.select("key", "n", "rep"), ["key", "n"]).select(F.col("doc_id").alias("doc"), "rep").distinct()
-    reps = materialize(reps, "op3-reps", files)
+    reps = materialize(reps, "op3-reps", few)
 
     bits = max(4, (int(0.6 * (total.n or 0)) // RANGE).bit_length())
     blocks = _post_blocks(docs, heavy, bits, words, percent)
@@ -423,22 +424,22 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         return df.join(reps.select(F.col("doc").alias(column), F.col("rep").alias("r")), column).drop(column).withColumnRenamed("r", column)
 
     def settle(possible: DataFrame) -> DataFrame:
-        return materialize(_exact(materialize(possible, "op3-possible", files), docs, words, percent), "op3-links", files)
+        return materialize(_exact(materialize(possible, "op3-possible", few), docs, words, percent), "op3-links", few)
 
     pairs = by_rep(by_rep(found.filter("kind = 0").select("a", "b"), "a"), "b").filter("a <> b")
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "op3-pairs", files)
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "op3-pairs", few)
     links = settle(_bitmap_bound(pairs, nodes, percent))
-    labels = components(links, "op3-components", files)
+    labels = components(links, "op3-components", few)
 
     members = by_rep(found.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("doc")), "doc").distinct()
     members = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("g", "doc", F.coalesce("component", "doc").alias("component"))
     open_groups = members.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("g")
-    members = materialize(members.join(open_groups, "g", "left_semi"), "op3-members", files)
+    members = materialize(members.join(open_groups, "g", "left_semi"), "op3-members", few)
     if not members.isEmpty():
         across = _second_round(members, nodes, percent).join(pairs, ["a", "b"], "left_anti")
         more = settle(across)
         if not more.isEmpty():
-            labels = components(links.union(more), "op3-components", files)
+            labels = components(links.union(more), "op3-components", few)
 
     rows = every.join(nodes.select("key", "n", "rep"), ["key", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))

@@ -1,11 +1,16 @@
 """Benchmark decontamination by template canonicalisation.
 
 Benchmark items and documents are cut into lower-case tokens. In a template, numbers become a number slot, units behind
-numbers a unit slot, and capitalised words inside a sentence a name slot. Every window of WINDOW tokens is hashed twice,
-as plain tokens and as template, and looked up among the items' windows. A match of templates alone counts only if the
-slots agree: along one alignment, equal values of the item must meet equal values of the document and different values
-different ones, so a question asked again with other numbers and names is caught, while a chance mixture is not.
-A document is contaminated by an item when COVERAGE of the item's windows are found in it.
+numbers a unit slot, and capitalised words a name slot. A capitalised word that opens a sentence may be a name or not, so
+there are three templates: such words as slots, as slots unless they are function words, and as plain tokens. Every window
+of WINDOW tokens is hashed as plain tokens and as each template, and looked up among the items' windows.
+
+A window of at least LITERALS plain tokens (any plain token for items of which most windows have fewer) found by its
+template gives an alignment of item and document, along which all windows of the item are compared, those made of slots
+too. Templates count only if the aligned windows together have LITERALS plain tokens and their slots agree: equal values
+of the item must meet equal values of the document and different values different ones, so a question asked again with
+other numbers and names is caught, while a chance mixture is not. Items of fewer than LITERALS plain tokens are found
+only as they are. A document is contaminated by an item when COVERAGE of the item's windows are found in it.
 
 Items come in blocks of BLOCK_WINDOWS windows, each broadcast and looked up in one pass over the documents; a larger
 benchmark takes more passes, none of which shuffles a document.
@@ -23,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, forget_others, slices, text_bytes
+from .htmltext import STOPWORDS
 from .shingles import U, token_hashes, windows
 
 WINDOW = 8
 COVERAGE = 0.5
-#: Plain tokens that a template window needs.
+#: Plain tokens that windows found by templates need.
 LITERALS = 4
 #: Windows of benchmark items that are broadcast at once (24 bytes each).
 BLOCK_WINDOWS = 1_000_000
@@ -49,8 +55,9 @@ _STOP[[ord(c) for c in ".!?:;\n\""]] = True
 
 class Tokens(NamedTuple):
     plain: np.ndarray
-    template: np.ndarray
-    slot: np.ndarray
+    #: by the three readings of capitalised words
+    templates: list[np.ndarray]
+    slots: list[np.ndarray]
     bounds: np.ndarray
 
 
@@ -72,27 +79,31 @@ def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(opens), np.flatnonzero(closes) + 1
 
 
-def _unit_hashes() -> np.ndarray:
-    data, offsets = text_bytes(pa.array(UNITS))
+def _sorted_hashes(words: list[str]) -> np.ndarray:
+    data, offsets = text_bytes(pa.array(words))
     return np.sort(token_hashes(data, offsets[:-1], offsets[1:]))
 
 
-_UNIT_HASHES = _unit_hashes()
+_UNIT_HASHES, _FUNCTION_HASHES = _sorted_hashes(UNITS), _sorted_hashes(sorted(STOPWORDS))
+
+
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(known, hashes)
+    at[at == len(known)] = 0
+    return known[at] == hashes
 
 
 def tokens(texts: pa.Array) -> Tokens:
-    """Token hashes of texts, plain and as template, whether each is a slot, and where each text's tokens begin."""
+    """Token hashes of texts, plain and as templates, whether each is a slot, and where each text's tokens begin."""
     texts = pc.fill_null(texts, "")
     data, offsets = text_bytes(pc.utf8_lower(texts))
     starts, ends = _cut(data, offsets)
     plain = token_hashes(data, starts, ends)
     number = _DIGIT[data[starts]] if len(starts) else np.zeros(0, dtype=bool)
-    at = np.searchsorted(_UNIT_HASHES, plain)
-    at[at == len(_UNIT_HASHES)] = 0
-    unit = _UNIT_HASHES[at] == plain
+    unit = _among(plain, _UNIT_HASHES)
     unit[1:] &= number[:-1]
     unit[:1] = False
-    name = np.zeros(len(plain), dtype=bool)
+    names = [np.zeros(len(plain), dtype=bool)] * 3
     original, cased = text_bytes(texts)
     first, last = _cut(original, cased)
     if len(first) == len(starts) and len(first):
@@ -104,9 +115,9 @@ def tokens(texts: pa.Array) -> Tokens:
         inside = np.zeros(len(first), dtype=bool)
         inside[1:] = stops[first[1:]] == stops[last[:-1]]
         inside[np.searchsorted(first, cased[:-1][cased[:-1] < cased[1:]]).clip(max=len(first) - 1)] = False
-        name = capital & inside
-    template = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, plain)))
-    return Tokens(plain, template, number | unit | name, np.searchsorted(starts, offsets))
+        names = [capital, capital & (inside | ~_among(plain, _FUNCTION_HASHES)), capital & inside]
+    templates = [np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, plain))) for name in names]
+    return Tokens(plain, templates, [number | unit | name for name in names], np.searchsorted(starts, offsets))
 
 
 class Index:
@@ -114,22 +125,28 @@ class Index:
 
     def __init__(self, texts: list[str | None], window: int):
         made = tokens(pa.array(texts, pa.string()))
-        self.plain, self.template, self.slot, self.bounds = made
+        self.plain, self.templates, self.slots, self.bounds = made
         sizes = np.diff(self.bounds)
         #: windows of an item; an item shorter than a window is one window of its own length, one without tokens none
         self.count = np.where(sizes >= window, sizes - window + 1, (sizes > 0).astype(np.int64))
         self.window = window
         self.lengths = sorted({window} | set(sizes[(sizes > 0) & (sizes < window)].tolist()))
         self.tables = []
+        #: hashes of all windows by length and template
+        self.shapes = {}
         for length in self.lengths:
             fits = np.flatnonzero(sizes >= length if length == window else sizes == length)
-            for space, values in ((0, made.plain), (1, made.template)):
-                hashes = windows(values, length)
-                at = np.concatenate([np.arange(self.bounds[i], self.bounds[i] + self.count[i]) for i in fits] or [np.zeros(0, np.int64)]).astype(np.int64)
-                owner = np.repeat(fits, self.count[fits])
+            every = np.concatenate([np.arange(self.bounds[i], self.bounds[i] + self.count[i]) for i in fits] or [np.zeros(0, np.int64)]).astype(np.int64)
+            owners = np.repeat(fits, self.count[fits])
+            for space, values in enumerate((made.plain, *made.templates)):
+                hashes, at, owner = windows(values, length), every, owners
                 if space:
-                    literal = _literals(made.slot, length)[at] >= min(LITERALS, length)
-                    at, owner = at[literal], owner[literal]
+                    self.shapes[length, space] = hashes
+                    literals = _literals(made.slots[space - 1], length)[at]
+                    rich = literals >= min(LITERALS, length)
+                    dense = 2 * np.bincount(owner[rich], minlength=len(sizes)) < self.count
+                    rich |= dense[owner] & (literals > 0)
+                    at, owner = at[rich], owner[rich]
                 h = hashes[at]
                 order = np.argsort(h, kind="stable")
                 sieve = np.zeros(1 << 20, dtype=bool)
@@ -151,15 +168,39 @@ def _consistent(item: np.ndarray, doc: np.ndarray) -> bool:
     return True
 
 
+def _shaped(index: Index, made: Tokens, shapes: dict, text: int, item: int, shift: int, length: int, space: int, plain: set[int]) -> set[int]:
+    """Windows of an item, but for those in plain, that a template finds along an alignment; none where slots disagree."""
+    base, head = int(index.bounds[item]), int(made.bounds[text])
+    low, high = max(0, head - shift), min(int(index.count[item]), int(made.bounds[text + 1]) - shift - length + 1)
+    same = index.shapes[length, space][base + low : base + high] == shapes[length, space][shift + low : shift + high]
+    at = low + np.flatnonzero(same)
+    slot = index.slots[space - 1]
+    rich = _literals(slot[base : base + int(index.count[item]) + length - 1], length)[at] >= min(LITERALS, length)
+    # what windows of slots add may disagree, where the others alone do not
+    for chosen in (at, at[rich]):
+        places = set(chosen.tolist()) - plain
+        if not places:
+            continue
+        span = np.unique(np.concatenate([np.arange(p, p + length) for p in places | plain]))
+        there, here = base + span, shift + span
+        slots = slot[there] & made.slots[space - 1][here]
+        if np.count_nonzero(~slots) >= min(LITERALS, length) and _consistent(index.plain[there][slots], made.plain[here][slots]):
+            return places
+    return set()
+
+
 def matches(index: Index, texts: pa.Array) -> list[dict[int, tuple[int, bool]]]:
     """For each text, the windows found of each item (by number) and whether they are found as they are."""
     made = tokens(texts)
     found: list[dict[int, tuple[int, bool]]] = [{} for _ in range(len(texts))]
     hits = []
+    shapes = {}
     for length, space, hashes, owner, place, sieve in index.tables:
         if not len(hashes):
             continue
-        h = windows(made.template if space else made.plain, length)
+        h = windows(made.templates[space - 1] if space else made.plain, length)
+        if space:
+            shapes[length, space] = h
         at = np.flatnonzero(sieve[h >> U(44)])
         low, high = np.searchsorted(hashes, h[at]), np.searchsorted(hashes, h[at], side="right")
         times = high - low
@@ -181,14 +222,10 @@ def matches(index: Index, texts: pa.Array) -> list[dict[int, tuple[int, bool]]]:
             continue
         text, item, shift = rows[:3, a].tolist()
         plain = set(rows[3, a:b][rows[5, a:b] == 0].tolist())
-        shaped = set(rows[3, a:b][rows[5, a:b] == 1].tolist()) - plain
-        if shaped:
-            span = np.unique(np.concatenate([np.arange(p, p + int(rows[4, a])) for p in shaped | plain]))
-            there = index.bounds[item] + span
-            here = shift + span
-            slots = index.slot[there] & made.slot[here]
-            if not _consistent(index.plain[there][slots], made.plain[here][slots]):
-                shaped = set()
+        shaped: set[int] = set()
+        for space in set(rows[5, a:b].tolist()) - {0}:
+            also = _shaped(index, made, shapes, text, item, shift, int(rows[4, a]), space, plain)
+            shaped = also if len(also) > len(shaped) else shaped
         known, same = covered.get((text, item), (set(), True))
         covered[text, item] = (known | plain | shaped, same and not shaped)
     for (text, item), (places, same) in covered.items():

@@ -278,6 +278,22 @@ def test_decontamination_cases(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_names_that_open_sentences(spark):
+    """Names at the head of sentences, and items of which most windows are made of slots."""
+    item = "Tom has 5 apples. Ann has 3 pears. Tom gives Ann 2 apples. Ann eats 1 pear. How many fruits has Ann?"
+    dense = "Tom 5 kg Ann 3 kg Bob 2 kg Eve 9 kg sum of Tom 5 kg Bob 2 kg less Ann 3 kg and Eve 9 kg"
+    bench = spark.createDataFrame([(1, item), (2, dense)], "item_id long, text string")
+    cases = [
+        (1, "A quiz: Bob has 7 apples. Eve has 4 pears. Bob gives Eve 6 apples. Eve eats 2 pear. How many fruits has Eve?"),
+        (2, "A quiz: Bob has 7 apples. Eve has 4 pears. Carl gives Bob 6 apples. Eve eats 2 pear. How many fruits has Dan?"),
+        (3, "so: Jim 7 kg Pam 4 kg Kim 8 kg Lee 6 kg sum of Jim 7 kg Kim 8 kg less Pam 4 kg and Lee 6 kg"),
+        (4, "so: Jim 7 kg Pam 4 kg Kim 8 kg Lee 6 kg sum of Pam 1 kg Jim 2 kg less Kim 4 kg and Pam 6 kg"),
+        (5, "1 kg 2 kg 3 kg 4 kg 5 kg 6 kg 7 kg 8 kg 9 kg 10 kg"), (6, item), (7, item.replace("Tom", "Will")),
+    ]
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in decontam.contaminated(documents(spark, cases), bench).collect()}
+    assert got == {(1, 1): True, (3, 2): True, (6, 1): False, (7, 1): True}
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 10)
     own = ["ash", "birch", "cedar", "elm", "fir", "oak"]

@@ -206,14 +206,13 @@ def _post_blocks(docs: DataFrame, heavy: np.ndarray, bits: int, words: int, perc
             flat, counts = shingle_sets(part.column("text"), words)
             names = np.asarray(part.column("doc_id").cast(pa.int64()).fill_null(-1))
             starts = np.concatenate(([0], np.cumsum(counts)))
-            keep = np.ones(len(counts), dtype=bool)
+            keep = ~np.asarray(part.column("doc_id").is_null())  # rows without an id post nothing and hide no copy
             if len(seen) > 200_000:  # only a saving
                 seen.clear()
-            for i in range(len(counts)):
+            for i in np.flatnonzero(keep).tolist():
                 key = hash(flat[starts[i] : starts[i + 1]].tobytes())
                 keep[i] = key not in seen
                 seen.add(key)
-            keep &= ~np.asarray(part.column("doc_id").is_null())
             flat, names, counts = flat[np.repeat(keep, counts)], names[keep], counts[keep]
             h, owner = postings(flat, counts, often, percent)
             if len(h):

@@ -210,6 +210,13 @@ def test_jaccard_against_brute_force(spark):
     assert jaccard.jaccard_components(documents(spark, cases).limit(0)).count() == 0
 
 
+def test_copies_without_an_id_hide_no_link(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    docs = documents(spark, [(None, text), (1, text), (2, near)]).coalesce(1)
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs).filter("doc_id is not null").collect()) == [(1, 1), (2, 1)]
+
+
 @pytest.mark.parametrize("heavy", [False, True])
 def test_no_link_without_shared_posting(heavy):
     """Pigeonhole: linked sets share a posting, whichever shingles are left out of the buckets."""

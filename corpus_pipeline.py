@@ -22,7 +22,9 @@ def unused(docs: DataFrame, name: str) -> str:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language: those without a letter, or unlike every language (no positive cosine), go.
+    """Documents of a known language: those without a letter, or unlike every language, go.
+
+    Unlike is a best cosine below langid.REJECT_BELOW, or for texts too short to tell (below langid.CERTAIN letters) none above 0.
 
     Where no row has a lang, nothing is known of languages and only documents without a letter go.
     """
@@ -31,7 +33,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     pred, score = unused(docs, "_lang_pred"), unused(docs, "_score")
     found = langid.identify(docs, prototypes, (pred, score))
-    return few_files(found.filter((F.col(pred) != "und") & (F.col(score) > 0)).select(*docs.columns), docs)
+    short = F.length(F.regexp_replace("text", r"\P{L}+", "")) < langid.CERTAIN
+    known = (F.col(score) >= langid.REJECT_BELOW) | (F.col(score) > 0) & short
+    return few_files(found.filter((F.col(pred) != "und") & known).select(*docs.columns), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,8 +27,10 @@ SEED = 20250131
 GRAM_CACHE = 32_000
 #: Distinct languages that training may return to the driver; more is an error, as prototypes are broadcast.
 MAX_LANGUAGES = 2_000
-#: A text whose best cosine is lower resembles no language.
-REJECT_BELOW = 0.05
+#: A text of at least CERTAIN letters whose best cosine is lower resembles no language: four standard deviations (1 /
+#: sqrt(DIMENSIONS)) of the cosine to an unlike text. Shorter texts of a known language may score as low.
+REJECT_BELOW = 0.125
+CERTAIN = 60
 
 
 class Profiles:

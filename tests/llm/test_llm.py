@@ -556,6 +556,19 @@ def test_pipeline(spark):
     assert [n for n, _ in cp.STAGES] == ["language ID", "near-duplicates", "decontamination", "packing"]
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_pipeline_drops_unlearned_scripts(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    scripts = [(0x4E00, 0x9FFF), (0x430, 0x44F), (0x3B1, 0x3C9), (0x627, 0x64A), (0xAC00, 0xD7A3)]
+    made = ["".join(chr(rng.randint(a, b)) for _ in range(n)) for a, b in scripts for n in (80, 400) for _ in range(4)]
+    known = common.table(spark, DATA, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = known.unionByName(spark.createDataFrame([(-i, t, None, "s", len(t)) for i, t in enumerate(made, 1)], DOCS))
+    kept = [r.doc_id for r in cp.language(spark, docs, DATA).collect()]
+    assert not [i for i in kept if i < 0] and len(kept) == known.filter(r"text rlike '\\p{L}'").count()
+
+
 def test_pipeline_stages_take_awkward_rows(spark):
     import corpus_pipeline as cp
 

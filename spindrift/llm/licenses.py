@@ -104,11 +104,15 @@ def scan(files: DataFrame) -> DataFrame:
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """The scan of all documents, each filed under its source and the digits of its doc_id (doc 123 of src0 is src0/1/2/3)."""
+    """The scan of all documents, each filed under its source and the digits of its doc_id (doc 123 of src0 is src0/1/2/3).
+
+    Documents without a doc_id have no path and stay with origin `none`, as a null path names no file.
+    """
     digits = F.array_join(F.split(F.col("doc_id").cast("string"), ""), "/")
     files = docs.select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit("/"), digits).alias("path"), "text")
     named = files.select("doc_id", "path").distinct()
-    return named.join(scan(files.select("path", "text")), "path").select("doc_id", "path", "license", "score", "origin", "directory")
+    found = scan(files.select("path", "text")).withColumnRenamed("path", "_path")
+    return named.join(found, F.col("path").eqNullSafe(F.col("_path"))).select("doc_id", "path", "license", "score", "origin", "directory")
 
 
 ORACLE_SQL = rf"""

@@ -493,6 +493,12 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_of_documents_without_an_id(spark):
+    docs = documents(spark, [(None, "Released under the MIT License."), (12, "Released under the MIT License."), (13, "none")])
+    got = sorted(((r.doc_id, r.path, r.license, r.origin) for r in licenses.scan_documents(docs).collect()), key=repr)
+    assert got == [(12, "s/1/2", "MIT", "own"), (13, "s/1/3", "MIT", "inherited"), (None, None, None, "none")]
+
+
 def test_sharding_table():
     names = [f"s{i}" for i in range(10)]
     table = sharding.fill(names, 1009)

@@ -84,18 +84,26 @@ def _declared(tag: str, attributes: str, article: bool = False) -> bool:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order."""
     out: list[Block] = []
+    # of each block: declared elements open when its article began, and declared articles it is in
+    around: list[tuple[tuple[int, ...], tuple[int, ...]]] = []
     texts: list[str] = []
     linked: list[str] = []
-    # open elements that matter: name, dropped, article
-    stack: list[tuple[str, bool, bool]] = []
+    # open elements that matter: name, dropped, article, number, whether declared, elements around
+    stack: list[tuple[str, bool, bool, int, bool, tuple[tuple[int, ...], tuple[int, ...]]]] = []
+    nothing = ("", False, False, 0, False, ((), ()))
+    number = 0
+    # elements ended by their own tag, and by name the first that never was
+    ended: dict[int, str] = {}
+    loose: dict[str, int] = {}
     link = 0
 
     def close() -> None:
         text = " ".join(html.unescape("".join(texts)).split())
         if text:
             inside = len(" ".join(html.unescape("".join(linked)).split()))
-            tag, dropped, article = stack[-1] if stack else ("", False, False)
+            tag, dropped, article, _, _, outer = stack[-1] if stack else nothing
             out.append(Block(text, tag, min(1.0, inside / len(text)), dropped, article))
+            around.append(outer)
         texts.clear()
         linked.clear()
 
@@ -144,6 +152,9 @@ def blocks(page: str) -> list[Block]:
         if ends:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
+                    ended[stack[k][3]] = tag
+                    for x in stack[k + 1 :]:
+                        loose[x[0]] = min(x[3], loose.get(x[0], x[3]))
                     del stack[k:]
                     break
                 # an inner element can't end a section around it
@@ -156,17 +167,31 @@ def blocks(page: str) -> list[Block]:
         # what a start tag ends by itself
         if stack and stack[-1][0] in {"p", *HEADINGS} or stack and tag == stack[-1][0] and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
             stack.pop()
-        _, dropped, article = stack[-1] if stack else ("", False, False)
+        _, dropped, article, _, _, (before, within) = stack[-1] if stack else nothing
+        number += 1
         if tag == "body":
             stack.clear()
             dropped = article = False
+            before = within = ()
         if tag in ("article", "main") and not article:  # what is left open before the article doesn't reach into it
             dropped = any(x[0] in ("dialog", "template", "aside") for x in stack)
+            before = tuple(x[3] for x in stack if x[4])
             article = True
+        named = _declared(tag, m[3], article)
+        if tag in ("article", "main") and named:
+            within = (*within, number)
         # the heading part of an article belongs to it; a header elsewhere doesn't
-        own = _declared(tag, m[3], article) and tag not in ("body", "article", "main") or tag == "header" and not article
-        stack.append((tag, dropped or own, article))
+        own = named and tag not in ("body", "article", "main") or tag == "header" and not article
+        stack.append((tag, dropped or own, article, number, own, (before, within)))
     close()
+    for x in stack:
+        loose[x[0]] = min(x[3], loose.get(x[0], x[3]))
+    # an element encloses the article if its own end follows, which is no outer one's of the same name
+    real = {x for x, tag in ended.items() if loose.get(tag, x) >= x}
+    out = [b._replace(dropped=b.dropped or not real.isdisjoint(before)) for b, (before, _) in zip(out, around, strict=True)]
+    # an article that declares itself boilerplate is, where the page has article text beside it
+    if sum(len(b.text) for b, (_, within) in zip(out, around, strict=True) if b.article and not b.dropped and not within) >= SHORT:
+        out = [b._replace(dropped=b.dropped or bool(within)) for b, (_, within) in zip(out, around, strict=True)]
     return out
 
 

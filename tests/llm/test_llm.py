@@ -362,6 +362,20 @@ def test_marked_article():
     assert htmltext.main_text(page) == "Head &amp; more\n\nOne two three\n\nFour <5\n\nLast é"
 
 
+def test_articles_in_boilerplate():
+    long = "This is one of the paragraphs that we would like to keep in the text, and it is long enough to be judged by itself as it is."
+    teaser = "<article><p>Read what others have said about it</p></article>"
+    for part in (f"<section id=comments>{teaser}</section>", f"<div class=related><div>{teaser}</div></div>", f"<nav>{teaser}</nav>", f"<footer>{teaser}</footer>", f"<div class=sidebar>{teaser}</div>"):
+        assert htmltext.main_text(f"<body><main><p>{long}</main>{part}</body>") == long
+        assert htmltext.main_text(f"<body><p>{long}</p>{part}</body>") == long
+    comment = "<article class=comment><p>So true</p></article>"
+    assert htmltext.main_text(f"<article><p>{long}</p>{comment}</article>{comment}") == long
+    # a class of the only article, elements left open
+    assert htmltext.main_text(f"<article class='post share'><p>{long}</p></article>") == long
+    assert htmltext.main_text(f"<body><div id=menu><a href=x>Home</a><article><p>{long}</p></article></body>") == long
+    assert htmltext.main_text(f"<body><div id=page><div id=menu><a href=x>Home</a><article><p>{long}</p></article></div></body>") == long
+
+
 def test_unmarked_page():
     long = "This is one of the paragraphs that we would like to keep in the text, and it is long enough to be judged by itself as it is."
     page = f"<body><div id=menu><a href=x>Home</a></div><div><h2>The title</h2><p>{long}</p><p>Short one.</p><p>{long}</p></div><div class=sidebar>{long}</div><p><a href=y>a link that is long enough to be a block of its own, really it is</a></p></body>"

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import delete_path, materialize, materialized_paths
+from .common import Scratch
 
 _TAIL = r"(/?s>|/?INST\])"
 #: Depth to which paths can be followed by this many doublings.
@@ -54,7 +54,8 @@ def paths(messages: DataFrame) -> DataFrame:
     up = nodes.join(known, has_parent, "left").select("tree", "node", F.col("n").alias("top"), F.array("node").alias("path"))
     inner = up.filter("top is not null").select(F.col("tree").alias("t"), F.col("top").alias("n")).distinct()
     leaves = up.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti").select("tree", F.col("node").alias("leaf"))
-    up = materialize(up, "op2-paths")
+    scratch = Scratch(spark)
+    up = scratch.table(up, "op2-paths")
     for _ in range(ROUNDS):
         open_paths = up.filter("top is not null")
         if open_paths.isEmpty():
@@ -63,8 +64,8 @@ def paths(messages: DataFrame) -> DataFrame:
         far = open_paths.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("top") == F.col("n")))
         far = far.select("tree", "node", F.col("next").alias("top"), F.concat("head", "path").alias("path"))
         # paths that have reached their root are done; one that meets a node again is on a cycle
-        after = materialize(up.filter("top is null").unionByName(far.filter(F.size(F.array_distinct("path")) == F.size("path"))), "op2-paths")
-        delete_path(spark, materialized_paths(up))
+        after = scratch.table(up.filter("top is null").unionByName(far.filter(F.size(F.array_distinct("path")) == F.size("path"))), "op2-paths")
+        scratch.drop(up)
         up = after
     found = up.filter("top is null").select(F.col("tree").alias("t"), "node", "path")
     return leaves.join(found, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("node"))).select("tree", "leaf", "path")

@@ -44,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN_DIR:
         _OWN_DIR[key] = "file://" + tempfile.mkdtemp(prefix="spindrift-")
@@ -67,10 +69,10 @@ def few_files(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.coalesce(file_count(like))
 
 
-def materialize(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, tag: str, files: int | None = None, path: str | None = None) -> DataFrame:
     """Write df as a table (of at most `files` files) in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = scratch_path(spark, tag)
+    path = path or scratch_path(spark, tag)
     (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -82,8 +84,30 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialized_paths(df: DataFrame) -> str:
-    return df.inputFiles()[0].rsplit("/", 1)[0]
+class Scratch:
+    """Tables of one run of an operator in the shared folder; all but the kept one are deleted when it is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def table(self, df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
+        """df as a table, see materialize."""
+        path = scratch_path(self.spark, tag)
+        found = materialize(df, tag, files, path)
+        self.tables.append((found, path))
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        for entry in [x for x in self.tables if any(x[0] is t for t in tables)]:
+            delete_path(self.spark, entry[1])
+            self.tables.remove(entry)
+
+    def keep(self, df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
+        """df as a table that outlives the run, the operator's result; everything else is deleted."""
+        found = materialize(df, tag, files)
+        self.drop(*[x[0] for x in self.tables])
+        return found
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,8 @@
 
 Two sets are linked when 100 * |x & y| >= PERCENT * |x | y|. No link is lost, no set of rows is compared all with all:
 
-1.  One pass over the texts gives each document the size of its shingle set, a fingerprint of the set and a parity
-    bitmap. Equal sets form a class, which takes part as one node from here on (its smallest doc_id).
+1.  One pass over the texts gives each document the size of its shingle set, a fingerprint of the set (its key) and a
+    parity bitmap. Equal sets form a class, which takes part as one node from here on, named by its key.
 2.  Sizes are cut into bands of the ratio that links allow, so that linked sets lie in the same band or in adjacent
     ones; tile b joins band b with itself and with band b - 1. Linked sets of tile b differ in at most H(b) shingles.
     Dealing each set's shingles into buckets by hash leaves at least one filled bucket alike in both wherever one of
@@ -12,19 +12,22 @@ Two sets are linked when 100 * |x & y| >= PERCENT * |x | y|. No link is lost, no
     which it fills enough of them: its rarer shingles alone (those that very many documents hold are left out; dropping
     them from both sets cannot raise their difference), in finer and finer buckets, at last one by one, then the same
     with all its shingles.
-3.  Postings travel as sorted binary blocks by hash range; a range's groups give candidate pairs: all pairs of up
-    to SMALL sets, else each with the smallest. Members of larger groups that the links found so far do not yet bring
-    into one component are compared across components in a second round, in tiles of bounded size, by their bitmaps.
+3.  Postings name their set by its key, so copies in other tasks add nothing. They travel as sorted binary blocks by
+    hash range and are read in chunks of a bounded size, whatever one hash holds. A group (the sets of one posting)
+    gives one row per member with the group's pivot, and, beyond two members, one row of membership, so that what is
+    made grows with the postings alone; groups of the same members are one group.
 4.  A candidate's sizes and the bit count of its two bitmaps' difference bound the overlap from above; pairs that
     pass are settled by exact intersection of the sorted shingle arrays.
-5.  Components by alternating large-star and small-star rounds over the links.
+5.  Members of a group that the links found so far do not yet bring into one component are compared in a second round:
+    those outside the group's largest component with all others, in tiles of a bounded size, by sizes and bitmaps
+    before a row is made.
+6.  Components by alternating large-star and small-star rounds over the links.
 
-Shingles are 64-bit hashes; two different ones agree with probability 2^-64.
+Shingles are 64-bit hashes; two different ones agree with probability 2^-64 (sets with 2^-63).
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, delete_path, file_count, forget_others, materialize, materialized_paths, slices
+from .common import Scratch, bound_batches, file_count, forget_others, slices
 from .shingles import U, mix, shingle_sets
 
 WORDS = 5
 PERCENT = 80
 #: Bits of a parity bitmap.
 BITS = 1024
-#: Groups up to this size give all their pairs at once.
-SMALL = 8
 #: A shingle in more than this share of the documents is left out of buckets; at most HEAVY_MAX of them are (a speed-up: any such set gives the same links).
 HEAVY_SHARE = 0.0005
 HEAVY_MAX = 400_000
@@ -48,9 +49,10 @@ HEAVY_MAX = 400_000
 COUNT_WINDOW = 4_000_000
 #: Members of a group in a block of a tile, about.
 TILE = 2048
-#: Postings that a task holds before it sends them, and that a range of hashes holds about.
+#: Postings that a task holds before it sends them, that a range of hashes holds about, and that are read at once.
 FLUSH = 2_000_000
-RANGE = 500_000
+RANGE = 2_000_000
+CHUNK = 4_000_000
 #: Slots of the filter by which texts of candidates are picked (1 MB, whatever the input).
 SLOTS = (1 << 23) - 15
 TEXT_SLICE = 2 << 20
@@ -71,6 +73,15 @@ def difference_bound(low: np.ndarray, percent: int) -> np.ndarray:
     return np.where(sums > 0, sums - 2 * shared, 0).max(axis=1)
 
 
+def set_keys(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Fingerprint of each set, an even number; 0 or any for empty sets."""
+    mixed, sums = mix(flat + U(0x51ED270B)), np.zeros(len(counts), dtype=np.uint64)
+    filled = np.flatnonzero(counts)
+    if len(filled):
+        sums[filled] = np.add.reduceat(mixed, np.concatenate(([0], np.cumsum(counts)))[filled])
+    return mix(sums + counts.astype(np.uint64)) & ~U(1)
+
+
 def set_profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """For each document (kind 0): doc_id, n, key of its shingle set, bitmap; for each frequent shingle of a window of documents (kind 1): its hash as key, n documents."""
 
@@ -99,11 +110,7 @@ def set_profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
             doc = np.repeat(np.arange(n), counts)
             bits = np.bincount(doc * BITS + (flat & U(BITS - 1)).astype(np.int64), minlength=n * BITS).reshape(n, BITS) & 1
             maps = np.packbits(bits.astype(np.uint8), axis=1)
-            mixed, sums = mix(flat + U(0x51ED270B)), np.zeros(n, dtype=np.uint64)
-            filled = np.flatnonzero(counts)
-            if len(filled):
-                sums[filled] = np.add.reduceat(mixed, np.concatenate(([0], np.cumsum(counts)))[filled])
-            keys = mix(sums + counts.astype(np.uint64)).view(np.int64)
+            keys = set_keys(flat, counts).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.zeros(n), pa.int32()),
@@ -180,43 +187,38 @@ def postings(flat: np.ndarray, counts: np.ndarray, heavy: np.ndarray, percent: i
 
 
 def _post_blocks(docs: DataFrame, heavy: np.ndarray, bits: int, words: int, percent: int) -> DataFrame:
-    """Rows (range, block of sorted postings); copies of a set within a task post once."""
+    """Rows (range, block of sorted postings); copies of a set within a task post once (a saving, as postings name the set)."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others("shingles")
         often = shared.value
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def send() -> pa.RecordBatch:
-            h, d, guest = (np.concatenate([x[k] for x in held]) for k in range(3))
+            h, owner = (np.concatenate([x[k] for x in held]) for k in range(2))
             held.clear()
             order = np.argsort(h)
-            base = int(d.min())
-            h, d = h[order], ((d - base).astype(np.uint64) << U(1) | guest.astype(np.uint64))[order]
-            wide = 4 if int(d.max()) < 1 << 32 else 8
-            d = d.astype(f"<u{wide}")
+            h, owner = h[order], owner[order]
             edges = np.searchsorted(h >> U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            blocks = {r: struct.pack("<QqQ", b - a, base, wide) + h[a:b].tobytes() + d[a:b].tobytes() for r, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a}
+            blocks = {r: pack_block(h[a:b] << U(bits), owner[a:b]) for r, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a}
             return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(list(blocks.values()), pa.binary())], names=["range", "block"])
 
         for part in slices(batches, "text", TEXT_SLICE):
             flat, counts = shingle_sets(part.column("text"), words)
-            names = np.asarray(part.column("doc_id").cast(pa.int64()).fill_null(-1))
-            starts = np.concatenate(([0], np.cumsum(counts)))
-            keep = ~np.asarray(part.column("doc_id").is_null())  # rows without an id post nothing and hide no copy
-            if len(seen) > 200_000:  # only a saving
+            keys = set_keys(flat, counts)
+            keep = ~np.asarray(part.column("doc_id").is_null()) & (counts > 0)  # rows without an id post nothing and hide no copy
+            if len(seen) > 200_000:
                 seen.clear()
             for i in np.flatnonzero(keep).tolist():
-                key = hash(flat[starts[i] : starts[i + 1]].tobytes())
-                keep[i] = key not in seen
+                keep[i] = (key := int(keys[i])) not in seen
                 seen.add(key)
-            flat, names, counts = flat[np.repeat(keep, counts)], names[keep], counts[keep]
+            flat, keys, counts = flat[np.repeat(keep, counts)], keys[keep], counts[keep]
             h, owner = postings(flat, counts, often, percent)
             if len(h):
-                held.append((h, names[owner >> 1], owner & 1))
+                held.append((h, keys[owner >> 1] | (owner & 1).astype(np.uint64)))
                 size += len(h)
             if size >= FLUSH:
                 yield send()
@@ -227,56 +229,112 @@ def _post_blocks(docs: DataFrame, heavy: np.ndarray, bits: int, words: int, perc
     return docs.select("doc_id", "text").mapInArrow(run, "range int, block binary")
 
 
-def candidate_rows(table: pa.Table) -> pa.Table:
-    """Of one range of hashes: pairs (kind 0: a < b) and members of larger groups (kind 1: group, doc)."""
-    hashes, docs, roles = [], [], []
-    for block in table.column("block").to_pylist():
-        n, base, wide = struct.unpack_from("<QqQ", block)
-        hashes.append(np.frombuffer(block, dtype="<u8", count=n, offset=24))
-        owner = np.frombuffer(block, dtype=f"<u{wide}", count=n, offset=24 + 8 * n)
-        docs.append((owner >> 1).astype(np.int64) + base)
-        roles.append((owner & 1).astype(bool))
-    h, d, guest = np.concatenate(hashes), np.concatenate(docs), np.concatenate(roles)
+def pack_block(tails: np.ndarray, owners: np.ndarray) -> bytes:
+    """A block of postings: the leading 48 bits of each hash's tail, and its owner (a key, odd for a guest of the tile)."""
+    kept = tails >> U(16)
+    return (kept >> U(32)).astype("<u2").tobytes() + kept.astype("<u4").tobytes() + owners.astype("<u8").tobytes()
+
+
+def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(block) // 14
+    high, low = np.frombuffer(block, "<u2", n), np.frombuffer(block, "<u4", n, 2 * n)
+    return high.astype(np.uint64) << U(32) | low, np.frombuffer(block, "<u8", n, 6 * n)
+
+
+def group_rows(h: np.ndarray, owner: np.ndarray, split: bool) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Pairs (pivot, other) and memberships (group, key) of the groups of equal h, and what later postings of h have to meet.
+
+    A group's pivot is its least host. Guests meet each other as hosts of their own tile, so a group of guests alone
+    gives nothing, and two members are settled by their pair. Where a range comes in several chunks (split), a group may
+    go on in the next one: any group of two gives its memberships, and one posting of each hash is held for what follows.
+    """
     order = np.argsort(h)
-    h, d, guest = h[order], d[order], guest[order]
-    group = np.zeros(len(h), dtype=np.int64)
-    group[1:] = np.cumsum(h[1:] != h[:-1])
-    size = np.bincount(group)
-    # guests meet each other as hosts of their own tile
-    keep = (size[group] > 1) & (np.bincount(group, weights=~guest, minlength=len(size)) > 0)[group]
-    h, d, guest, group = h[keep], d[keep], guest[keep], group[keep]
-    size = size[group]
-    a, b = [], []
-    for k in range(1, SMALL):
-        near = (group[k:] == group[:-k]) & (size[k:] <= SMALL) & ~(guest[k:] & guest[:-k])
-        a.append(d[:-k][near])
-        b.append(d[k:][near])
-    large = size > SMALL
-    h, d, group = h[large], d[large], group[large]
-    if len(d):
-        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        least = np.minimum.reduceat(d, first)
-        a.append(np.repeat(least, np.diff(np.append(first, len(d)))))
-        b.append(d)
-    x, y = np.concatenate(a), np.concatenate(b)
-    x, y = np.minimum(x, y), np.maximum(x, y)
-    pairs = np.unique(np.stack([x, y], axis=1)[x != y], axis=0)
-    n, m = len(pairs), len(d)
-    return pa.table(
-        {
-            "kind": pa.array(np.repeat([0, 1], [n, m]), pa.int32()),
-            "a": pa.array(np.concatenate([pairs[:, 0], h.view(np.int64)]), pa.int64()),
-            "b": pa.array(np.concatenate([pairs[:, 1], d]), pa.int64()),
-        }
-    )
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(h)))
+    alone = first[size == 1]
+    single = h[alone], owner[alone]
+    many = np.repeat(size > 1, size)
+    h, owner = h[many], owner[many]
+    # hosts first, then by key; equal postings of copies fall together
+    order = np.lexsort((owner, owner & U(1), h))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner = h[new], owner[new]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(h)))
+    pivot = owner[first]
+    held = np.concatenate([single[0], h[first]]), np.concatenate([single[1], pivot])
+    wanted = (size > 1) & (split | (pivot & U(1) == 0))
+    key, pivot = owner & ~U(1), pivot & ~U(1)
+    rows = np.repeat(wanted, size)
+    rows[first] = False
+    other, pivot_of = key[rows], np.repeat(pivot, size)[rows]
+    a, b = np.minimum(other, pivot_of), np.maximum(other, pivot_of)
+    order = np.lexsort((b, a))
+    pairs = np.stack([a[order], b[order]])
+    new = np.ones(pairs.shape[1], dtype=bool)
+    new[1:] = np.any(pairs[:, 1:] != pairs[:, :-1], axis=0)
+    pairs = pairs[:, new & (pairs[0] != pairs[1])]
+    wanted &= size > (1 if split else 2)
+    if split:
+        name = mix(h[first])
+    else:
+        name = mix(np.add.reduceat(mix(key), first) + size.astype(np.uint64)) if len(first) else h[:0]
+        once = np.zeros(len(first), dtype=bool)
+        chosen = np.flatnonzero(wanted)
+        once[chosen[np.unique(name[chosen], return_index=True)[1]]] = True
+        wanted &= once
+    rows = np.repeat(wanted, size)
+    return pairs, np.stack([np.repeat(name, size)[rows], key[rows]]), held
+
+
+def candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (range, block) in order of ranges: pairs (kind 0: a < b) and memberships (kind 1: group, key)."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    now, size, split = None, 0, False
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        pairs, members, later = group_rows(*(np.concatenate([x[k] for x in held]) for k in range(2)), split)
+        held[:] = [later]
+        made = np.concatenate([pairs, members], axis=1).view(np.int64)
+        kind = np.repeat([0, 1], [pairs.shape[1], members.shape[1]])
+        for at in range(0, len(kind), 250_000):
+            part = slice(at, at + 250_000)
+            yield pa.RecordBatch.from_arrays([pa.array(kind[part], pa.int32()), pa.array(made[0, part], pa.int64()), pa.array(made[1, part], pa.int64())], names=["kind", "a", "b"])
+
+    for batch in batches:
+        for number, block in zip(batch.column("range").to_pylist(), batch.column("block"), strict=True):
+            if number != now:
+                if held:
+                    yield from settle()
+                held.clear()
+                now, size, split = number, 0, False
+            held.append(unpack_block(block.as_py()))
+            size += len(held[-1][0])
+            if size > CHUNK:
+                split = True
+                yield from settle()
+                size = 0
+    if held:
+        yield from settle()
+
+
+def most_apart(total: np.ndarray, percent: int) -> np.ndarray:
+    """Most shingles in which linked sets of `total` shingles together differ."""
+    return total - 2 * -(-percent * total // (100 + percent))
 
 
 def _bitmap_bound(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and bitmaps allow a link."""
-    side = lambda x: nodes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}"))
+    """(a, b), smallest doc_ids in order, of the pairs of keys whose sizes and bitmaps allow a link."""
+    side = lambda x: nodes.select(F.col("key").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    total = F.col("n_a") + F.col("n_b")
-    shared = F.ceil(F.lit(percent) * total / F.lit(100.0 + percent) - 1e-9)
+    both = both.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -284,41 +342,63 @@ def _bitmap_bound(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
                 continue
             x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint64).reshape(part.num_rows, -1) for c in ("bits_a", "bits_b"))
             apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            n = np.asarray(part.column("n_a")) + np.asarray(part.column("n_b"))
-            keep = pa.array(apart <= n - 2 * np.asarray(part.column("shared")))
+            keep = pa.array(apart <= most_apart(np.asarray(part.column("total")), percent))
             yield part.select(["a", "b"]).filter(keep)
 
-    allowed = both.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
-    return allowed.select("a", "b", "n_a", "n_b", "bits_a", "bits_b", shared.cast("long").alias("shared")).mapInArrow(run, "a long, b long")
+    found = both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("total"), "bits_a", "bits_b")
+    return found.mapInArrow(run, "a long, b long")
 
 
 def across_components(table: pa.Table, percent: int) -> pa.Table:
-    """Of one tile of a group (doc, component, n, bitmap, block): pairs of different components, by block, that sizes and bitmaps allow."""
-    doc, component, n, block = (np.asarray(table.column(c)) for c in ("doc", "component", "n", "block"))
-    bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), dtype=np.uint64).reshape(len(doc), -1)
-    first, last = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
-    _, kind, size = np.unique(component, return_inverse=True, return_counts=True)
-    others = np.flatnonzero(kind != np.argmax(size))  # every pair across components has one of these
+    """Of one tile (left, doc, component, n, bitmap): pairs of different components that sizes and bitmaps allow, left rows with all others.
+
+    left is 0 for rows on the tile's left side alone, 1 for those on its right side alone, 2 for those on both.
+    """
+    left, doc, component, n = (np.asarray(table.column(c)) for c in ("left", "doc", "component", "n"))
+    raw = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), dtype=np.uint8).reshape(len(doc), -1)
+    right = np.flatnonzero(left > 0)
+    # bit counts of differences by a product of +-1 vectors, exact in single precision
+    signs = (np.unpackbits(raw, axis=1).astype(np.int8) * 2 - 1).astype(np.float32)
+    against, wide = signs[right].T, signs.shape[1]
     out = []
-    for x in others.tolist():
-        y = np.flatnonzero((component != component[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent) & ((block == last) if block[x] == first else (block == first)))
-        total = n[y] + n[x]
-        apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
-        y = y[apart <= total - 2 * -(-percent * total // (100 + percent))]
-        out.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], axis=1))
+    mine = np.flatnonzero(left != 1)
+    for at in range(0, len(mine), 256):
+        x = mine[at : at + 256]
+        apart = ((wide - signs[x] @ against) / 2).astype(np.int64)
+        total = n[x][:, None] + n[right][None, :]
+        fits = (component[x][:, None] != component[right][None, :]) & (apart <= most_apart(total, percent))
+        fits &= np.minimum(n[x][:, None], n[right][None, :]) * 100 >= np.maximum(n[x][:, None], n[right][None, :]) * percent
+        i, j = np.nonzero(fits)
+        out.append(np.stack([np.minimum(doc[x[i]], doc[right[j]]), np.maximum(doc[x[i]], doc[right[j]])], axis=1))
     pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
 def _second_round(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components of the groups (g, doc, component), by tiles of two blocks of a group."""
-    blocks = members.groupBy("g").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    rows = members.join(blocks, "g").join(nodes.select(F.col("rep").alias("doc"), "n", "bitmap"), "doc")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("g", "doc", "component", "n", "bitmap", "block", other.alias("other"))
-    rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "component", "n", "bitmap", "block")
-    return rows.groupBy("g", "i", "j").applyInArrow(lambda tile: across_components(tile, percent), "a long, b long").distinct()
+    """Pairs (a, b) across components of the groups (g, doc, component).
+
+    Rows of a group's largest component need not meet each other: the m others are dealt over blocks that meet one
+    another and the blocks of the large component, so a group of n rows makes some n * m / TILE rows of tiles.
+    """
+    counts = members.groupBy("g", "component").agg(F.count("*").alias("rows"))
+    groups = counts.groupBy("g").agg(F.max(F.struct("rows", "component")).alias("top"), F.sum("rows").alias("all"))
+    share = lambda rows: F.ceil(rows / TILE).cast("int")
+    groups = groups.select("g", F.col("top.component").alias("major"), share(F.col("top.rows")).alias("majors"), F.greatest(F.lit(1), share(F.col("all") - F.col("top.rows"))).alias("minors"))
+    rows = members.join(groups, "g")
+    rows = rows.withColumn("is_major", F.col("component") == F.col("major"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("minors"))).cast("int"))
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    tile = lambda i, j, left: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), left.cast("int").alias("left"))
+    block, minors = F.col("block"), F.col("minors")
+    # tile (i, j): block i of the others with block j of them, or from `minors` on with a block of the large component
+    as_major = F.transform(numbers(minors), lambda i: tile(i, minors + block, F.lit(1)))
+    as_minor = F.concat(
+        F.transform(numbers(minors), lambda j: tile(F.least(block, j), F.greatest(block, j), F.when(block == j, 2).when(block < j, 0).otherwise(1))),
+        F.transform(numbers(F.col("majors")), lambda k: tile(block, minors + k, F.lit(0))),
+    )
+    rows = rows.select("g", "doc", "component", F.explode(F.when(F.col("is_major"), as_major).otherwise(as_minor)).alias("t"))
+    rows = rows.select("g", "t.i", "t.j", "t.left", "doc", "component").join(nodes.select(F.col("rep").alias("doc"), "n", "bitmap"), "doc")
+    return rows.groupBy("g", "i", "j").applyInArrow(lambda part: across_components(part, percent), "a long, b long").distinct()
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -350,8 +430,6 @@ def _exact(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     """Pairs (a, b) that are linked, by intersection of their sorted shingle arrays."""
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
     sets = _sets_of(docs, wanted, words)
-    if docs.columns.count("doc_id") != 1:
-        raise ValueError("docs needs one column doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -368,14 +446,13 @@ def _exact(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
 
     left = sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b"))
-    # the few pairs are the build side of the first join, so that sets stream past them
-    return left.join(pairs.hint("shuffle_hash"), "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+    # merge joins spill, and a pivot of very many pairs is a skewed key that adaptive execution splits
+    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, tag: str = "components", files: int | None = None) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, tag: str = "components", files: int | None = None) -> DataFrame:
     """node, component (smallest node reachable) of every node that an edge (a, b) names, by large-star and small-star rounds."""
-    spark = edges.sparkSession
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag, files)
+    now = scratch.table(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag, files)
     state = None
     while True:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -387,8 +464,8 @@ def components(edges: DataFrame, tag: str = "components", files: int | None = No
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        after = materialize(small.filter("u <> v").distinct(), tag, files)
-        delete_path(spark, materialized_paths(now))
+        after = scratch.table(small.filter("u <> v").distinct(), tag, files)
+        scratch.drop(now)
         now = after
 
 
@@ -397,49 +474,46 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     docs needs doc_id and text; other columns are ignored. A null or empty text, or one of white space, has no shingle
     and is a component of its own. A null doc_id links with nothing and has a null component. Rows that repeat a doc_id
-    stay rows, and count as one node. An empty table gives an empty result.
+    stay rows, each with its own set. An empty table gives an empty result. The result is a table in the shared folder.
     """
     spark = docs.sparkSession
     bound_batches(spark)
+    if docs.columns.count("doc_id") != 1:
+        raise ValueError("docs needs one column doc_id")
+    scratch = Scratch(spark)
     files = file_count(docs)
     few = max(2, files // 4)  # for tables of ids alone
     docs = docs.select("doc_id", "text")
-    profiles = materialize(set_profiles(docs, words), "op3-profiles", files)
+    profiles = scratch.table(set_profiles(docs, words), "op3-profiles", files)
     every = profiles.filter("kind = 0")
-    total = every.agg(F.count("*").alias("docs"), F.sum("n").alias("n")).first()
+    total = every.agg(F.sum("n").alias("n"), F.count("*").alias("docs")).first()
     often = profiles.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(8.0, HEAVY_SHARE * total.docs))
     heavy = np.sort(np.array([r.key for r in often.orderBy(F.desc("n"), "key").limit(HEAVY_MAX).collect()], dtype=np.int64).view(np.uint64))
-    nodes = every.filter("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("bitmap").alias("bitmap"))
-    nodes = materialize(nodes, "op3-nodes", files)
-    reps = every.filter("n > 0 and doc_id is not null").join(nodes.select("key", "n", "rep"), ["key", "n"]).select(F.col("doc_id").alias("doc"), "rep").distinct()
-    reps = materialize(reps, "op3-reps", few)
+    known = every.filter("n > 0 and doc_id is not null")
+    nodes = scratch.table(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "op3-nodes", files)
 
     bits = max(4, (int(0.6 * (total.n or 0)) // RANGE).bit_length())
     blocks = _post_blocks(docs, heavy, bits, words, percent)
-    found = blocks.groupBy("range").applyInArrow(candidate_rows, "kind int, a long, b long").distinct()
-    found = materialize(found, "op3-found", files)
-
-    def by_rep(df: DataFrame, column: str) -> DataFrame:
-        return df.join(reps.select(F.col("doc").alias(column), F.col("rep").alias("r")), column).drop(column).withColumnRenamed("r", column)
+    found = blocks.repartition(1 << bits, "range").sortWithinPartitions("range").mapInArrow(candidate_rows, "kind int, a long, b long")
+    found = scratch.table(found.distinct(), "op3-found", files)
 
     def settle(possible: DataFrame) -> DataFrame:
-        return materialize(_exact(materialize(possible, "op3-possible", few), docs, words, percent), "op3-links", few)
+        return scratch.table(_exact(possible, docs, words, percent), "op3-links", few)
 
-    pairs = by_rep(by_rep(found.filter("kind = 0").select("a", "b"), "a"), "b").filter("a <> b")
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "op3-pairs", few)
-    links = settle(_bitmap_bound(pairs, nodes, percent))
-    labels = components(links, "op3-components", few)
+    possible = scratch.table(_bitmap_bound(found.filter("kind = 0").select("a", "b"), nodes, percent), "op3-possible", few)
+    links = settle(possible)
+    labels = components(links, scratch, "op3-components", few)
 
-    members = by_rep(found.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("doc")), "doc").distinct()
+    members = found.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("key")).join(nodes.select("key", F.col("rep").alias("doc")), "key")
     members = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("g", "doc", F.coalesce("component", "doc").alias("component"))
     open_groups = members.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("g")
-    members = materialize(members.join(open_groups, "g", "left_semi"), "op3-members", few)
+    members = scratch.table(members.join(open_groups, "g", "left_semi").distinct(), "op3-members", few)
     if not members.isEmpty():
-        across = _second_round(members, nodes, percent).join(pairs, ["a", "b"], "left_anti")
+        across = scratch.table(_second_round(members, nodes, percent).join(possible, ["a", "b"], "left_anti"), "op3-possible", few)
         more = settle(across)
         if not more.isEmpty():
-            labels = components(links.union(more), "op3-components", few)
+            labels = components(links.union(more), scratch, "op3-components", few)
 
-    rows = every.join(nodes.select("key", "n", "rep"), ["key", "n"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = every.join(nodes.select("key", "rep"), "key", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).coalesce(files)
+    return scratch.keep(rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")), "op3-rows", few)

@@ -210,6 +210,77 @@ def test_jaccard_against_brute_force(spark):
     assert jaccard.jaccard_components(documents(spark, cases).limit(0)).count() == 0
 
 
+def hashes(rng, n):
+    return rng.integers(0, 1 << 40, n, dtype=np.uint64)
+
+
+@pytest.mark.parametrize("chunk", [4_000_000, 50])
+def test_groups_keep_their_members_together(chunk, monkeypatch):
+    """Rows of a range: linear in the postings, and any two hosts of a posting share a pair or a group, however it is cut."""
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    rng = np.random.default_rng(4)
+    h = np.concatenate([hashes(rng, 200), *[np.repeat(hashes(rng, 1), n) for n in (2, 3, 8, 9, 40, 300)]])
+    owner = rng.integers(0, 1 << 62, len(h), dtype=np.uint64) * np.uint64(2) + (rng.random(len(h)) < 0.2).astype(np.uint64)
+    order = rng.permutation(len(h))
+    cuts = np.array_split(order, 9)
+    batch = pa.RecordBatch.from_pydict({"range": pa.array([3] * 9, pa.int32()), "block": [jaccard.pack_block(np.sort(h[c]) << np.uint64(24), owner[c][np.argsort(h[c])]) for c in cuts]})
+    rows = [r for b in jaccard.candidate_rows(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) <= 2 * len(h)
+    near = {(r["a"], r["b"]) for r in rows if r["kind"] == 0}
+    groups = collections.defaultdict(set)
+    for r in rows:
+        if r["kind"] == 1:
+            groups[r["b"]].add(r["a"])
+    key = (owner & ~np.uint64(1)).view(np.int64).tolist()
+    host = (owner & np.uint64(1) == 0).tolist()
+    for value in np.unique(h):
+        same = np.flatnonzero(h == value).tolist()
+        for i in same:
+            for j in same:
+                if i < j and (host[i] or host[j]):
+                    x, y = sorted((key[i], key[j]), key=lambda v: v % (1 << 64))
+                    assert (x, y) in near or groups[x] & groups[y]
+
+
+@pytest.mark.parametrize("copies", [2, 5, 8, 9, 40])
+def test_families_of_any_size_are_one_component(spark, copies):
+    rng = random.Random(copies)
+    cases = [*enumerate(family(rng, rng.choices([f"w{i}" for i in range(900)], k=200), copies, 0.01), 1)]
+    cases += [*enumerate(family(rng, rng.choices([f"v{i}" for i in range(900)], k=60), copies, 0.04), 1000)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(spark, cases)).collect()), key=repr)
+    assert got == brute_components(cases)
+
+
+def test_large_family_and_tiles(spark, monkeypatch):
+    """3,000 near copies around one text: every one lies within reach of the first, and tiles are cut small."""
+    monkeypatch.setattr(jaccard, "TILE", 64)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for k in range(2999):
+        w = list(base)
+        w[rng.randrange(120)] = f"n{k % 1500}"  # and exact copies
+        texts.append(" ".join(w))
+    found = jaccard.jaccard_components(documents(spark, [*enumerate(texts)]))
+    assert {r.component_id for r in found.collect()} == {0}
+
+
+def test_across_components_is_brute_force():
+    rng = np.random.default_rng(8)
+    n = rng.integers(20, 40, 120)
+    raw = rng.integers(0, 256, (120, 128), dtype=np.uint8) * (rng.random((120, 128)) < 0.02).astype(np.uint8)
+    left, component = rng.integers(0, 3, 120), rng.integers(0, 3, 120)
+    table = pa.table({"left": left, "doc": np.arange(120), "component": component, "n": n, "bitmap": pa.array([r.tobytes() for r in raw], pa.binary())})
+    want = set()
+    for i in range(120):
+        for j in range(120):
+            apart = int(np.bitwise_count(raw[i] ^ raw[j]).sum())
+            total = int(n[i] + n[j])
+            if left[i] != 1 and left[j] > 0 and component[i] != component[j] and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]) and apart <= total - 2 * -(-80 * total // 180):
+                want.add((min(i, j), max(i, j)))
+    assert {(r["a"], r["b"]) for r in jaccard.across_components(table, 80).to_pylist()} == want and want
+
+
 def test_copies_without_an_id_hide_no_link(spark):
     words = [f"w{i}" for i in range(60)]
     text, near = " ".join(words), " ".join([*words[:-1], "other"])
@@ -261,7 +332,7 @@ def test_shingle_hashes_follow_words():
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)]
-    got = dict(jaccard.components(spark.createDataFrame(chain, "a long, b long").dropna()).collect())
+    got = dict(jaccard.components(spark.createDataFrame(chain, "a long, b long").dropna(), common.Scratch(spark)).collect())
     assert {got[i] for i in range(41)} == {0} and got[101] == 100 and 7 in got
 
 

@@ -49,6 +49,8 @@ HEAVY_MAX = 400_000
 COUNT_WINDOW = 4_000_000
 #: Members of a group in a block of a tile, about.
 TILE = 2048
+#: Tiles of up to so many rows are compared many at once.
+SMALL_TILE = 24
 #: Postings that a task holds before it sends them, that a range of hashes holds about, and that are read at once.
 FLUSH = 2_000_000
 RANGE = 2_000_000
@@ -349,29 +351,72 @@ def _bitmap_bound(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     return found.mapInArrow(run, "a long, b long")
 
 
-def across_components(table: pa.Table, percent: int) -> pa.Table:
-    """Of one tile (left, doc, component, n, bitmap): pairs of different components that sizes and bitmaps allow, left rows with all others.
+def across_components(left: np.ndarray, doc: np.ndarray, component: np.ndarray, n: np.ndarray, raw: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Of one tile: pairs of different components that sizes and bitmaps (rows of bytes) allow, left rows with all others.
 
     left is 0 for rows on the tile's left side alone, 1 for those on its right side alone, 2 for those on both.
     """
-    left, doc, component, n = (np.asarray(table.column(c)) for c in ("left", "doc", "component", "n"))
-    raw = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), dtype=np.uint8).reshape(len(doc), -1)
     right = np.flatnonzero(left > 0)
     # bit counts of differences by a product of +-1 vectors, exact in single precision
     signs = (np.unpackbits(raw, axis=1).astype(np.int8) * 2 - 1).astype(np.float32)
     against, wide = signs[right].T, signs.shape[1]
-    out = []
     mine = np.flatnonzero(left != 1)
     for at in range(0, len(mine), 256):
         x = mine[at : at + 256]
-        apart = ((wide - signs[x] @ against) / 2).astype(np.int64)
-        total = n[x][:, None] + n[right][None, :]
-        fits = (component[x][:, None] != component[right][None, :]) & (apart <= most_apart(total, percent))
-        fits &= np.minimum(n[x][:, None], n[right][None, :]) * 100 >= np.maximum(n[x][:, None], n[right][None, :]) * percent
-        i, j = np.nonzero(fits)
-        out.append(np.stack([np.minimum(doc[x[i]], doc[right[j]]), np.maximum(doc[x[i]], doc[right[j]])], axis=1))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        i, j = np.nonzero(component[x][:, None] != component[right][None, :])
+        apart = ((wide - signs[x] @ against) / 2).astype(np.int64)[i, j]
+        i, j = x[i], right[j]
+        fits = (apart <= most_apart(n[i] + n[j], percent)) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+        yield np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])])[:, fits]
+
+
+def across_small(tile: np.ndarray, left: np.ndarray, doc: np.ndarray, component: np.ndarray, n: np.ndarray, raw: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """The same of many small tiles at once, by the distance of rows in a tile."""
+    words = np.ascontiguousarray(raw).view(np.uint64)
+    k = 1
+    while len(i := np.flatnonzero(tile[k:] == tile[:-k])):
+        j = i + k
+        i, j = (x[(component[i] != component[j]) & ((left[i] != left[j]) | (left[i] == 2)) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)] for x in (i, j))
+        fits = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64) <= most_apart(n[i] + n[j], percent)
+        yield np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])])[:, fits]
+        k += 1
+
+
+def tile_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of the tiles (g, i, j), whose rows follow one another."""
+    names = ["g", "i", "j", "left", "doc", "component", "n"]
+
+    def rows(batch: pa.RecordBatch) -> list[np.ndarray]:
+        raw = np.frombuffer(b"".join(batch.column("bitmap").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+        return [*(np.asarray(batch.column(c)).astype(np.int64) for c in names), raw]
+
+    def settle(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        tile = np.zeros(len(held[0]), dtype=np.int64)
+        tile[1:] = np.cumsum(np.any([x[1:] != x[:-1] for x in held[:3]], axis=0))
+        size = np.bincount(tile)
+        small = size[tile] <= SMALL_TILE
+        found = list(across_small(tile[small], *(x[small] for x in held[3:]), percent)) if small.any() else []
+        ends = np.cumsum(size)
+        for t in np.flatnonzero(size > SMALL_TILE).tolist():
+            found += across_components(*(x[ends[t] - size[t] : ends[t]] for x in held[3:]), percent)
+        for pairs in found:
+            if pairs.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+
+    open_rows: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = rows(batch)
+        last = open_rows[-1] if open_rows else now
+        others = np.flatnonzero(np.any([x != x[-1] for x in now[:3]], axis=0))
+        cut = int(others[-1]) + 1 if len(others) else 0
+        if cut or any(int(last[k][-1]) != int(now[k][0]) for k in range(3)):  # the tiles before the batch's last are whole
+            yield from settle([np.concatenate([x[k] for x in open_rows] + [now[k][:cut]]) for k in range(8)])
+            open_rows.clear()
+        open_rows.append([x[cut:] for x in now])
+    if open_rows:
+        yield from settle([np.concatenate([x[k] for x in open_rows]) for k in range(8)])
 
 
 def _second_round(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -398,7 +443,8 @@ def _second_round(members: DataFrame, nodes: DataFrame, percent: int) -> DataFra
     )
     rows = rows.select("g", "doc", "component", F.explode(F.when(F.col("is_major"), as_major).otherwise(as_minor)).alias("t"))
     rows = rows.select("g", "t.i", "t.j", "t.left", "doc", "component").join(nodes.select(F.col("rep").alias("doc"), "n", "bitmap"), "doc")
-    return rows.groupBy("g", "i", "j").applyInArrow(lambda part: across_components(part, percent), "a long, b long").distinct()
+    rows = rows.select("g", "i", "j", "left", "doc", "component", "n", "bitmap").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return rows.mapInArrow(lambda batches: tile_pairs(batches, percent), "a long, b long").distinct()
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:

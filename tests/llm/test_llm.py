@@ -265,20 +265,27 @@ def test_large_family_and_tiles(spark, monkeypatch):
     assert {r.component_id for r in found.collect()} == {0}
 
 
-def test_across_components_is_brute_force():
+@pytest.mark.parametrize("small", [0, 24, 1000])
+def test_tiles_are_brute_force(small, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL_TILE", small)
     rng = np.random.default_rng(8)
-    n = rng.integers(20, 40, 120)
-    raw = rng.integers(0, 256, (120, 128), dtype=np.uint8) * (rng.random((120, 128)) < 0.02).astype(np.uint8)
-    left, component = rng.integers(0, 3, 120), rng.integers(0, 3, 120)
-    table = pa.table({"left": left, "doc": np.arange(120), "component": component, "n": n, "bitmap": pa.array([r.tobytes() for r in raw], pa.binary())})
+    sizes = [1, 2, 60, 3, 3, 90, 30, 1]
+    tile = np.repeat(np.arange(len(sizes)), sizes)
+    m = len(tile)
+    n = rng.integers(20, 40, m)
+    raw = rng.integers(0, 256, (m, 128), dtype=np.uint8) * (rng.random((m, 128)) < 0.02).astype(np.uint8)
+    left, component = rng.integers(0, 3, m), rng.integers(0, 3, m)
+    rows = pa.RecordBatch.from_pydict({"g": tile // 4, "i": tile % 4, "j": tile % 2, "left": left, "doc": np.arange(m), "component": component, "n": n, "bitmap": pa.array([r.tobytes() for r in raw], pa.binary())})
     want = set()
-    for i in range(120):
-        for j in range(120):
+    for i in range(m):
+        for j in range(m):
             apart = int(np.bitwise_count(raw[i] ^ raw[j]).sum())
             total = int(n[i] + n[j])
-            if left[i] != 1 and left[j] > 0 and component[i] != component[j] and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]) and apart <= total - 2 * -(-80 * total // 180):
+            if tile[i] == tile[j] and left[i] != 1 and left[j] > 0 and component[i] != component[j] and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]) and apart <= total - 2 * -(-80 * total // 180):
                 want.add((min(i, j), max(i, j)))
-    assert {(r["a"], r["b"]) for r in jaccard.across_components(table, 80).to_pylist()} == want and want
+    for step in (7, 50, 1000):
+        batches = [rows.slice(at, step) for at in range(0, m, step)]
+        assert {(r["a"], r["b"]) for b in jaccard.tile_pairs(iter(batches), 80) for r in b.to_pylist()} == want and want
 
 
 def test_copies_without_an_id_hide_no_link(spark):

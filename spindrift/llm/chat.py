@@ -1,8 +1,10 @@
 r"""Chat formatting of reply trees.
 
-Messages form trees by their parent; pointer-doubling self-joins give every leaf its path from the root in as many
-rounds as the logarithm of the depth; a tree's branches are ranked by score and the best are formatted, each as one
-conversation:
+Messages form trees by their parent. Pointer-doubling self-joins give every message its root, depth and the sum of the
+scores above it in as many rounds as the logarithm of the depth; a tree's branches (leaves) are ranked by that sum. Only
+the chosen leaves' paths are then enumerated, by joins with the pointers of each round, so that no message ever holds a
+path and what is made grows with n log n. The texts take part in one join and one grouping. Each chosen path is
+formatted as one conversation:
 
     <s>[INST]role[/INST]text</s> for each turn, one turn after another
 
@@ -18,8 +20,6 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 _TAIL = r"(/?s>|/?INST\])"
-#: Depth to which paths can be followed by this many doublings.
-ROUNDS = 32
 
 
 def escape(text: Column) -> Column:
@@ -41,62 +41,89 @@ def threads(messages: DataFrame) -> DataFrame:
     return messages.select(F.col("conv_id").alias("tree"), node.alias("node"), "role", "text").select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text")
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """tree, leaf and path (nodes from the root) of every root-to-leaf path.
+def key_of(tree: Column) -> Column:
+    """The tree's name as text, one to one and never null, so that joins on it are plain equalities."""
+    return F.coalesce(F.concat(F.lit("="), tree.cast("string")), F.lit(""))
+
+
+def _climb(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """(t, node, score, depth) of every message under a root, sums over its path, and the pointers (t, node, top) of 1, 2, 4, ... steps up.
+
+    nodes has t, node, parent and value, one row each. Messages that never reach a root lie on or below a cycle; they
+    are told by the steps, which outnumber the messages of the largest tree, and are left out.
+    """
+    known = nodes.select(F.col("t").alias("t_"), F.col("node").alias("n_"))
+    start = nodes.join(known, (F.col("t") == F.col("t_")) & (F.col("parent") == F.col("n_")), "left")
+    now = scratch.table(start.select("t", "node", F.col("n_").alias("top"), F.col("value").alias("score"), F.lit(1).cast("long").alias("depth")), "op2-pointers")
+    largest = now.groupBy("t").count().agg(F.max("count")).first()[0] or 0
+    jumps, steps = [], 1
+    while steps <= largest and not now.filter("top is not null").isEmpty():
+        jumps.append(now.filter("top is not null").select("t", "node", "top"))
+        above = now.select(F.col("t").alias("t_"), F.col("node").alias("n_"), F.col("top").alias("next"), F.col("score").alias("more"), F.col("depth").alias("far"))
+        far = now.filter("top is not null").join(above, (F.col("t") == F.col("t_")) & (F.col("top") == F.col("n_")))
+        far = far.select("t", "node", F.col("next").alias("top"), (F.col("score") + F.col("more")).alias("score"), (F.col("depth") + F.col("far")).alias("depth"))
+        now = scratch.table(now.filter("top is null").unionByName(far), "op2-pointers")
+        steps *= 2
+    return now.filter("top is null").drop("top"), jumps
+
+
+def branches_of(messages: DataFrame, score: Column | None, branches: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(t, leaf, rank, score, n_turns) of the chosen leaves, and (t, leaf, node, up) of the messages on their paths, up steps above the leaf.
 
     A parent that is null or not in the tree makes a root. Messages on a cycle have no root and no path; a node given
-    twice counts once.
+    twice counts once, with its least parent and score.
     """
-    spark = messages.sparkSession
-    nodes = messages.select("tree", "node", "parent").groupBy("tree", "node").agg(F.min("parent").alias("parent"))
-    known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    has_parent = F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n"))
-    up = nodes.join(known, has_parent, "left").select("tree", "node", F.col("n").alias("top"), F.array("node").alias("path"))
-    inner = up.filter("top is not null").select(F.col("tree").alias("t"), F.col("top").alias("n")).distinct()
-    leaves = up.join(inner, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti").select("tree", F.col("node").alias("leaf"))
-    scratch = Scratch(spark)
-    up = scratch.table(up, "op2-paths")
-    for _ in range(ROUNDS):
-        open_paths = up.filter("top is not null")
-        if open_paths.isEmpty():
-            break
-        above = up.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("top").alias("next"), F.col("path").alias("head"))
-        far = open_paths.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("top") == F.col("n")))
-        far = far.select("tree", "node", F.col("next").alias("top"), F.concat("head", "path").alias("path"))
-        # paths that have reached their root are done; one that meets a node again is on a cycle
-        after = scratch.table(up.filter("top is null").unionByName(far.filter(F.size(F.array_distinct("path")) == F.size("path"))), "op2-paths")
-        scratch.drop(up)
-        up = after
-    found = up.filter("top is null").select(F.col("tree").alias("t"), "node", "path")
-    return leaves.join(found, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("node"))).select("tree", "leaf", "path")
+    value = F.coalesce(score.cast("double"), F.lit(0.0)) if score is not None else F.lit(0.0)
+    nodes = messages.select(key_of(F.col("tree")).alias("t"), "node", "parent", value.alias("value")).filter("node is not null")
+    nodes = nodes.groupBy("t", "node").agg(F.min("parent").alias("parent"), F.min("value").alias("value"))
+    nodes = scratch.table(nodes, "op2-nodes")
+    found, jumps = _climb(nodes, scratch)
+    inner = nodes.filter("parent is not null").select("t", F.col("parent").alias("node")).distinct()
+    leaves = found.join(inner, ["t", "node"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("score"), F.desc("depth"), "node"))
+    chosen = leaves.withColumn("rank", rank).filter(F.col("rank") <= branches)
+    chosen = scratch.table(chosen.select("t", F.col("node").alias("leaf"), "rank", "score", F.col("depth").alias("n_turns")), "op2-chosen")
+    steps = chosen.select("t", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for k, jump in enumerate(jumps):
+        further = steps.join(jump, ["t", "node"]).select("t", "leaf", F.col("top").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        after = scratch.table(steps.unionByName(further), "op2-steps")
+        if k:
+            scratch.drop(steps)
+        steps = after
+    return chosen, steps
+
+
+def paths(messages: DataFrame) -> DataFrame:
+    """tree, leaf and path (nodes from the root) of every root-to-leaf path (see branches_of for roots, cycles and repeats)."""
+    scratch = Scratch(messages.sparkSession)
+    _, steps = branches_of(messages, None, 1 << 30, scratch)
+    names = messages.select("tree", key_of(F.col("tree")).alias("t")).distinct()
+    path = F.transform(F.sort_array(F.collect_list(F.struct(-F.col("up"), F.col("node").alias("node")))), lambda x: x["node"])
+    return scratch.keep(steps.groupBy("t", "leaf").agg(path.alias("path")).join(names, "t").select("tree", "leaf", "path"), "op2-paths")
 
 
 def format_trees(messages: DataFrame, score: Column | None = None, branches: int = 1) -> DataFrame:
-    """tree, leaf, rank, score, n_turns, formatted and loss_spans (start and length in `formatted`, from 1, of each assistant text).
+    """tree, leaf, rank, score, n_turns, formatted and loss_spans (start, from 1, and length of each assistant text in the UTF-8 bytes of `formatted`).
 
-    messages needs tree, node, parent, role and text. A branch scores the sum of its messages' scores (none: 0, null: 0);
-    ties go to the longer, then to the leaf of the smallest number. Null roles and texts are empty. No message, no row.
+    messages needs tree, node, parent, role and text; other columns are ignored (but by `score`). A branch scores the
+    sum of its messages' scores (none: 0, null: 0); ties go to the longer, then to the leaf of the smallest number.
+    Null roles and texts are empty, a message without a node is none; of a node given twice the first role and text in
+    order stand. A null tree is a tree. No message, no row. The result is a table in the shared folder.
     """
-    value = F.coalesce(score.cast("double"), F.lit(0.0)) if score is not None else F.lit(0.0)
-    turns = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), value.alias("value"))
-    turns = turns.groupBy("t", "n").agg(F.min(F.struct("role", "text", "value")).alias("m"))
-    steps = paths(messages).select("tree", "leaf", F.posexplode("path").alias("place", "step"))
-    steps = steps.join(turns, F.col("tree").eqNullSafe(F.col("t")) & (F.col("step") == F.col("n"))).select("tree", "leaf", F.struct("place", "m").alias("turn"))
-    branch = steps.groupBy("tree", "leaf").agg(F.sum("turn.m.value").alias("score"), F.count("*").alias("n_turns"), F.sort_array(F.collect_list("turn")).alias("turns"))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("n_turns"), "leaf"))
-    branch = branch.withColumn("rank", rank).filter(F.col("rank") <= branches)
-    shown = F.transform("turns", lambda x: F.struct(F.concat(F.lit("<s>[INST]"), escape(x["m"]["role"]), F.lit("[/INST]")).alias("head"), escape(x["m"]["text"]).alias("body"), (x["m"]["role"] == "assistant").alias("loss")))
-    branch = branch.withColumn("shown", shown)
-    whole = F.array_join(F.transform("shown", lambda x: F.concat(x["head"], x["body"], F.lit("</s>"))), "")
-    empty = F.expr("named_struct('at', 1, 'spans', cast(array() as array<struct<start:int,length:int>>))")
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["head"])
-        span = F.struct(start.alias("start"), F.length(x["body"]).alias("length"))
-        return F.struct((start + F.length(x["body"]) + 4).alias("at"), F.when(x["loss"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
-
-    spans = F.aggregate("shown", empty, step)["spans"]
-    return branch.select("tree", "leaf", "rank", "score", "n_turns", whole.alias("formatted"), spans.alias("loss_spans"))
+    scratch = Scratch(messages.sparkSession)
+    chosen, steps = branches_of(messages, score, branches, scratch)
+    turns = messages.select(key_of(F.col("tree")).alias("t"), "tree", "node", F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("m"))
+    turns = steps.join(turns, ["t", "node"]).groupBy("t", "leaf", "node", "up").agg(F.min(F.struct("m", "tree")).alias("x"))
+    head = F.concat(F.lit("<s>[INST]"), escape(F.col("x.m.role")), F.lit("[/INST]"))
+    turns = turns.select("t", "leaf", (-F.col("up")).alias("place"), "x.tree", head.alias("head"), escape(F.col("x.m.text")).alias("body"), (F.col("x.m.role") == "assistant").alias("loss"))
+    before = Window.partitionBy("t", "leaf").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    length = F.octet_length("head") + F.octet_length("body") + 4
+    start = F.coalesce(F.sum(length.cast("long")).over(before), F.lit(0)) + F.octet_length("head") + 1
+    piece = F.struct("place", F.concat("head", "body", F.lit("</s>")).alias("piece"), F.when(F.col("loss"), F.struct(F.col("start"), F.octet_length("body").alias("length"))).alias("span"))
+    branch = turns.withColumn("start", start).groupBy("t", "leaf").agg(F.first("tree").alias("tree"), F.sort_array(F.collect_list(piece)).alias("pieces"))
+    spans = F.filter(F.transform("pieces", lambda x: x["span"]), lambda x: x.isNotNull())
+    branch = branch.select("t", "leaf", "tree", F.array_join(F.transform("pieces", lambda x: x["piece"]), "").alias("formatted"), spans.alias("loss_spans"))
+    return scratch.keep(branch.join(chosen, ["t", "leaf"]).select("tree", "leaf", "rank", "score", "n_turns", "formatted", "loss_spans"), "op2-formatted")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -104,7 +131,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
     pieces = F.filter(F.split("formatted", "</s>"), lambda x: x != "")
     part = lambda x, n: unescape(F.regexp_extract(x, r"(?s)^<s>\[INST\](.*?)\[/INST\](.*)$", n))
     turns = F.transform(pieces, lambda x: F.concat(part(x, 1), F.lit("\n"), part(x, 2), F.lit("\n")))
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"], s["length"]))), "")
+    # the bytes are bound once, so that each span is a slice
+    part_of = lambda b: F.transform("loss_spans", lambda s: unescape(F.substring(b, s["start"].cast("int"), s["length"].cast("int")).cast("string")))
+    loss = F.array_join(F.flatten(F.transform(F.array(F.col("formatted").cast("binary")), part_of)), "")
     return formatted.select(
         "tree",
         F.size(pieces).cast("long").alias("n_turns"),

@@ -540,7 +540,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     bits = max(4, (int(0.6 * (total.n or 0)) // RANGE).bit_length())
     blocks = _post_blocks(docs, heavy, bits, words, percent)
-    found = blocks.repartition(1 << bits, "range").sortWithinPartitions("range").mapInArrow(candidate_rows, "kind int, a long, b long")
+    found = blocks.repartitionById(1 << bits, "range").sortWithinPartitions("range").mapInArrow(candidate_rows, "kind int, a long, b long")
     found = scratch.table(found.distinct(), "op3-found", files)
 
     def settle(possible: DataFrame) -> DataFrame:

@@ -569,6 +569,48 @@ def test_deep_thread(spark):
     assert list(r.path) == list(range(300))
 
 
+def test_trees_with_awkward_rows(spark):
+    rows = [
+        (None, 1, None, "user", "a", 1.0), (None, 2, 1, "assistant", "é</s>", None), (5, None, 1, "user", "no node", 9.0), (5, 1, None, None, None, None), (5, 1, None, "user", "twice", 2.0),
+        (6, 1, 1, "user", "its own parent", 0.0), (7, 1, None, "user", "root", 0.0), (7, 2, 1, "assistant", "x", 1.0), (7, 3, 1, "assistant", "x", 1.0), (7, 4, 8, "user", "above a loop", 0.0), (7, 8, 9, "u", "", 0.0), (7, 9, 8, "u", "", 0.0),
+    ]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, s double").withColumns({"t": F.lit("clash"), "leaf": F.lit("clash"), "up": F.lit("clash"), "rank": F.lit("clash")})
+    got = {(r.tree, r["rank"]): r for r in chat.format_trees(df, F.col("s"), 9).collect()}
+    assert {k: (r.leaf, r.score, r.n_turns) for k, r in got.items()} == {(None, 1): (2, 1.0, 2), (5, 1): (1, 0.0, 1), (7, 1): (2, 1.0, 2), (7, 2): (3, 1.0, 2)}
+    r = got[None, 1]
+    assert r.formatted == "<s>[INST]user[/INST]a</s><s>[INST]assistant[/INST]é<\\/s></s>"
+    assert [r.formatted.encode()[s.start - 1 : s.start - 1 + s.length].decode() for s in r.loss_spans] == ["é<\\/s>"]
+    assert chat.format_trees(df.limit(0)).count() == 0 and chat.paths(df.limit(0)).count() == 0
+
+
+def test_random_trees_are_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(t, n, rng.randrange(n) if n else None, rng.choice(["user", "assistant"]), f"m{n}", float(rng.randrange(5))) for t in range(12) for n in range(rng.randint(1, 40))]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, s double")
+    by = {(r[0], r[1]): r for r in rows}
+    inner = {(r[0], r[2]) for r in rows}
+    want = collections.defaultdict(list)
+    for r in rows:
+        if (r[0], r[1]) not in inner:
+            path, at = [], r
+            while at:
+                path.insert(0, at)
+                at = by.get((r[0], at[2]))
+            want[r[0]].append((-sum(x[5] for x in path), -len(path), r[1], "".join(f"<s>[INST]{x[3]}[/INST]{x[4]}</s>" for x in path)))
+    best = {(t, k): (x[2], x[3]) for t, found in want.items() for k, x in enumerate(sorted(found)[:3], 1)}
+    assert {(r.tree, r["rank"]): (r.leaf, r.formatted) for r in chat.format_trees(df, F.col("s"), 3).collect()} == best
+
+
+def test_very_long_conversation(spark):
+    """50,000 turns: what is made grows with n log n, not with the square."""
+    n = 50_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text é "), F.col("id").cast("string")).alias("text"))
+    got = {r.conv_id: r for r in chat.format_conversations(df).collect()}[1]
+    turns = [("user" if i % 2 == 0 else "assistant", f"text é {i}") for i in range(n)]
+    loss = "".join(t for r, t in turns if r == "assistant")
+    assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == (n, digest(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 # -- licences and shards ------------------------------------------------------------------------------------------------
 
 
@@ -585,6 +627,47 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+GPL = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+
+int main() { return 0; }"""
+MPL = """# This Source Code Form is subject to the terms of the Mozilla Public
+# License, v. 2.0. If a copy of the MPL was not distributed with this
+# file, You can obtain one at http://mozilla.org/MPL/2.0/.
+
+import os"""
+MIT = """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation."""
+LONG_LINE = "this module reads the tables of a run and writes them out again as one file for each of the days. Released under the MIT License. It is used by all of the other parts"
+
+
+def test_headers_licence_files_and_notices_inside_lines(spark):
+    rows = [("p/gpl.c", GPL), ("p/mpl.py", MPL), ("q/LICENSE.txt", MIT), ("q/x/y", "nothing"), ("r/bsd", BSD), ("r/other", "nothing"), ("s/long", LONG_LINE), ("LICENSE", "Licensed under CC BY-NC 4.0."), ("top", "x"), ("p/none", "y")]
+    got = {r.path: (r.license, r.origin, r.directory) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {k: got[k][0] for k in ("p/gpl.c", "p/mpl.py", "q/LICENSE.txt", "r/bsd", "s/long")} == {"p/gpl.c": "GPL-3.0", "p/mpl.py": "MPL-2.0", "q/LICENSE.txt": "MIT", "r/bsd": "BSD-3-Clause", "s/long": "MIT"}
+    # files that are no licence files say nothing of their directory
+    assert got["q/x/y"] == ("MIT", "inherited", "q") and got["r/other"] == got["p/none"] == got["top"] == ("CC-BY-NC-4.0", "inherited", "")
+
+
 def test_licenses_of_documents_without_an_id(spark):
     docs = documents(spark, [(None, "Released under the MIT License."), (12, "Released under the MIT License."), (13, "none")])
     got = sorted(((r.doc_id, r.path, r.license, r.origin) for r in licenses.scan_documents(docs).collect()), key=repr)

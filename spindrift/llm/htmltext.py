@@ -4,10 +4,12 @@ A page is walked tag by tag into blocks: runs of text between block-level tags,
 words, its share of characters in links, and whether a container above it declares it boilerplate (navigation, header,
 footer, sidebar, notice, advert, form, comments, script, style) or article.
 
-Pass 1 classifies each block by itself. Declared boilerplate and blocks of links are bad. On a page that marks its
-article, the article's other blocks are good and the rest of the page is bad. Elsewhere long blocks rich in stop words
-are good, long ones poor in them bad, and short ones are left open. Pass 2 gives each open block the label of its
-nearest decided neighbours: good where both sides are good (or the only side), or a heading right above a good block.
+Pass 1 classifies each block by itself. Declared boilerplate and blocks of links are bad. Long blocks rich in stop words
+are good, long ones poor in them bad, and short ones are left open; short paragraphs in a row are judged together. Where
+a page marks its article, that counts as evidence: what lies outside is bad, and inside fewer stop words are needed.
+Where no block of a page has the stop words of a known language, length alone counts. Pass 2 gives each open block the
+label of its nearest decided neighbours (declared boilerplate is no neighbour): good where both sides are, or the only
+side, or for a heading what follows; an open block of a marked article is bad only between bad ones.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ RAW = set("script style textarea title noscript iframe xmp noembed noframes svg
 BOILERPLATE = set("nav aside footer form dialog menu".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+PROSE = {"p", "blockquote", "pre", "dd", *HEADINGS}
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|adsense|banner|breadcrumb|breadcrumbs|byline-share|comment|comments|commentlist|consent|cookie|cookies|disqus|disclaimer|gdpr|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|notification|outbrain|overlay|pager|pagination|paywall|popup|promo|promoted|recommended|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|skip-link|social|sponsor|sponsored|subscribe|taboola|toolbar|topbar|warning|widget|widgets)(?:$|[\s_-])"
@@ -90,6 +93,8 @@ def blocks(page: str) -> list[Block]:
     linked: list[str] = []
     # open elements that matter: name, dropped, article, number, whether declared, elements around
     stack: list[tuple[str, bool, bool, int, bool, tuple[tuple[int, ...], tuple[int, ...]]]] = []
+    # by name, where in the stack its open elements are; so that an end tag costs no look at the others
+    places: dict[str, list[int]] = {}
     nothing = ("", False, False, 0, False, ((), ()))
     number = 0
     # elements ended by their own tag, and by name the first that never was
@@ -97,6 +102,14 @@ def blocks(page: str) -> list[Block]:
     loose: dict[str, int] = {}
     link = 0
 
+    def push(element) -> None:
+        places.setdefault(element[0], []).append(len(stack))
+        stack.append(element)
+
+    def pop() -> tuple:
+        places[stack[-1][0]].pop()
+        return stack.pop()
+
     def close() -> None:
         text = " ".join(html.unescape("".join(texts)).split())
         if text:
@@ -131,7 +144,7 @@ def blocks(page: str) -> list[Block]:
             link = 0 if ends else 1
             if not ends and not _declared(tag, m[3]):
                 continue
-            if ends and not any(x[0] == "a" for x in stack):
+            if ends and not places.get("a"):
                 continue
         if tag in VOID and tag != "hr":
             if tag == "br":
@@ -144,33 +157,33 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in BLOCKS and tag not in DROPPED:
             marked = not ends and _declared(tag, m[3]) and not m[3].rstrip().endswith("/")
-            if marked or ends and any(x[0] == tag for x in stack):
+            if marked or ends and places.get(tag):
                 close()
             else:
                 continue
         close()
         if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    ended[stack[k][3]] = tag
-                    for x in stack[k + 1 :]:
-                        loose[x[0]] = min(x[3], loose.get(x[0], x[3]))
-                    del stack[k:]
-                    break
-                # an inner element can't end a section around it
-                if stack[k][0] in ("article", "main", "body") and tag not in ("body", "html", "main"):
-                    break
+            # an inner element can't end a section around it
+            section = max((places[x][-1] for x in ("article", "main", "body") if places.get(x)), default=-1)
+            if places.get(tag) and (tag in ("body", "html", "main") or places[tag][-1] >= section):
+                k = places[tag][-1]
+                ended[stack[k][3]] = tag
+                while len(stack) > k + 1:
+                    x = pop()
+                    loose[x[0]] = min(x[3], loose.get(x[0], x[3]))
+                pop()
             link = 0
             continue
         if tag in ("hr", "html") or m[3].rstrip().endswith("/"):
             continue
         # what a start tag ends by itself
         if stack and stack[-1][0] in {"p", *HEADINGS} or stack and tag == stack[-1][0] and tag in ("li", "dt", "dd", "td", "th", "tr", "option"):
-            stack.pop()
+            pop()
         _, dropped, article, _, _, (before, within) = stack[-1] if stack else nothing
         number += 1
         if tag == "body":
             stack.clear()
+            places.clear()
             dropped = article = False
             before = within = ()
         if tag in ("article", "main") and not article:  # what is left open before the article doesn't reach into it
@@ -182,7 +195,7 @@ def blocks(page: str) -> list[Block]:
             within = (*within, number)
         # the heading part of an article belongs to it; a header elsewhere doesn't
         own = named and tag not in ("body", "article", "main") or tag == "header" and not article
-        stack.append((tag, dropped or own, article, number, own, (before, within)))
+        push((tag, dropped or own, article, number, own, (before, within)))
     close()
     for x in stack:
         loose[x[0]] = min(x[3], loose.get(x[0], x[3]))
@@ -195,41 +208,72 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def classify(found: list[Block]) -> list[bool]:
-    """Which blocks are main text."""
+def density(text: str) -> float:
+    """Share of stop words."""
+    words = _WORDS.findall(text.lower())
+    return sum(w in STOPWORDS for w in words) / max(1, len(words))
+
+
+def first_pass(found: list[Block]) -> list[bool | None]:
+    """Good, bad or open: each block by itself, short paragraphs in a row together."""
     marked = any(b.article and not b.dropped for b in found)
+    shares = [0.0 if b.dropped else density(b.text) for b in found]
+    known = any(x >= POOR and len(b.text) >= SHORT for x, b in zip(shares, found, strict=True))
+
+    def judge(length: int, share: float, article: bool) -> bool | None:
+        if article:
+            return True if length >= LONG or length >= SHORT and share >= POOR else None
+        if length < SHORT:
+            return None
+        if not known:
+            return True if length >= LONG else None
+        if share >= RICH or share >= POOR and length >= LONG:
+            return True
+        return False if share < POOR and length >= LONG else None
+
     labels: list[bool | None] = []
-    for b in found:
-        if b.dropped:
-            labels.append(False)
-        elif marked:
-            labels.append(b.article and not (b.links > LINKS and b.tag in ("li", "td", "ul", "ol", "div", "article")))
-        elif b.links > LINKS:
+    for b, share in zip(found, shares, strict=True):
+        if b.dropped or marked and not b.article or b.links > LINKS and (not b.article or b.tag in ("li", "td", "ul", "ol", "div", "article")):
             labels.append(False)
         else:
-            words = _WORDS.findall(b.text.lower())
-            density = sum(w in STOPWORDS for w in words) / max(1, len(words))
-            if len(b.text) < SHORT:
-                labels.append(None)
-            elif density >= RICH or density >= POOR and len(b.text) >= LONG:
-                labels.append(True)
-            else:
-                labels.append(False if density < POOR else None)
+            labels.append(judge(len(b.text), share, b.article))
+    # short paragraphs in a row
+    run: list[int] = []
+    for i in range(len(found) + 1):
+        if i < len(found) and labels[i] is None and found[i].tag in PROSE:
+            run.append(i)
+            continue
+        if len(run) > 1:
+            text = " ".join(found[k].text for k in run)
+            if len(text) >= LONG and judge(len(text), density(text), found[run[0]].article):
+                for k in run:
+                    labels[k] = True
+        run = []
+    return labels
+
+
+def classify(found: list[Block]) -> list[bool]:
+    """Which blocks are main text."""
+    marked = any(b.article and not b.dropped for b in found)
+    labels = first_pass(found)
+    neighbour = [not b.dropped and (b.article or not marked) for b in found]
     before: list[bool | None] = []
     last: bool | None = None
-    for x in labels:
+    for x, counts in zip(labels, neighbour, strict=True):
         before.append(last)
-        last = last if x is None else x
+        last = x if counts and x is not None else last
     out, ahead = [False] * len(labels), None
     for i in range(len(labels) - 1, -1, -1):
         x = labels[i]
-        if x is not None:
-            ahead = x
-        elif found[i].tag in HEADINGS and ahead:
-            x = True
-        else:
+        if x is None:
             sides = [s for s in (before[i], ahead) if s is not None]
-            x = bool(sides) and all(sides)
+            if found[i].article:
+                x = len(sides) < 2 or any(sides)
+            else:
+                x = all(sides) if sides else found[i].tag in PROSE  # (a page of short paragraphs alone)
+                x = x or found[i].tag in HEADINGS and bool(ahead)
+        elif neighbour[i]:
+            ahead = x
         out[i] = bool(x)
     return out
 

@@ -477,6 +477,50 @@ def test_any_markup(page):
     assert isinstance(htmltext.main_text(page), str)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_html_pages_without_marks(spark):
+    """With <article> and <main> taken out, the two passes alone find the same text."""
+    import html
+
+    hit = made = wanted = 0
+    for r in common.table(spark, DATA, "pages").collect():
+        inside = re.search(r"<article>(.*)</article>", r.html, re.S)[1].replace("<br>", " ")
+        parts = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", inside)]
+        want = collections.Counter(x for x in parts if x)
+        got = collections.Counter(htmltext.main_text(re.sub(r"</?(article|main)[^>]*>", "", r.html)).split("\n\n"))
+        size = lambda c: sum(len(k) * n for k, n in c.items())
+        hit, made, wanted = hit + size(got & want), made + size(got), wanted + size(want)
+    assert hit / made > 0.99 and hit / wanted > 0.97
+
+
+def test_html_pages_by_their_blocks():
+    rich = "It is one of the things that we had to do when all of this was over, and they said so to him. " * 3
+    menu = "".join(f"<li><a href=x>Item {i} of the menu</a></li>" for i in range(60))
+    # menus that don't say so, around and between the text
+    assert htmltext.main_text(f"<body><ul>{menu}</ul><h2>Title</h2><p>{rich}</p><p>Short.</p><p>{rich}</p><ul>{menu}</ul></body>") == f"Title\n\n{rich.strip()}\n\nShort.\n\n{rich.strip()}"
+    # nothing but short paragraphs
+    short = ["It was late.", "They went to the sea.", "He said no.", "We had to do it all the same."]
+    assert htmltext.main_text("<nav>Home</nav>" + "".join(f"<p>{x}</p>" for x in short)) == "\n\n".join(short)
+    # a long block poor in stop words is none
+    poor = "Model X200 Chrome Silver Fitting Bolt Nut Washer M8 Steel Kit Box Pack Offer Price Stock Order Ship Brand Size Colour Weight Grade Type Batch Serial Label Part Code Unit Set Lot Range Series"
+    assert htmltext.main_text(f"<p>{rich}</p><div>{poor} {poor}</div>") == rich.strip()
+    # in an article it is kept, and a short block between lists of links is not
+    assert htmltext.main_text(f"<article><p>{poor}</p></article>") == poor
+    assert htmltext.main_text(f"<article><p>{rich}</p><ul>{menu}</ul><div>More</div><ul>{menu}</ul></article>") == rich.strip()
+    # text in none of the languages goes by length
+    other = "wqoe rtyu iopa sdfg hjkl zxcv bnmq " * 9
+    assert htmltext.main_text(f"<nav>x</nav><p>{other}</p><div>tiny</div>") == f"{other.strip()}\n\ntiny"
+
+
+def test_html_nested_tags_are_linear():
+    import time
+
+    start = time.perf_counter()
+    for n in (100_000,):
+        assert htmltext.main_text("<div>" * n + "<p>hello there</p>" + "</span></p></div>" * n) == "hello there"
+    assert time.perf_counter() - start < 5
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", ""), (3, "u", "<article><p>" + "word " * 40_000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {r.page_id: (r.url, r.n_chars) for r in htmltext.extract(pages).collect()}

@@ -3,40 +3,43 @@
 Benchmark items and documents are cut into lower-case tokens. In a template, numbers become a number slot, units behind
 numbers a unit slot, and capitalised words a name slot. A capitalised word that opens a sentence may be a name or not, so
 there are three templates: such words as slots, as slots unless they are function words, and as plain tokens. Every window
-of WINDOW tokens is hashed as plain tokens and as each template, and looked up among the items' windows.
-
-A window of at least LITERALS plain tokens (any plain token for items of which most windows have fewer) found by its
-template gives an alignment of item and document, along which all windows of the item are compared, those made of slots
-too. Templates count only if the aligned windows together have LITERALS plain tokens and their slots agree: equal values
-of the item must meet equal values of the document and different values different ones, so a question asked again with
-other numbers and names is caught, while a chance mixture is not. Items of fewer than LITERALS plain tokens are found
-only as they are. A document is contaminated by an item when COVERAGE of the item's windows are found in it.
-
-Items come in blocks of BLOCK_WINDOWS windows, each broadcast and looked up in one pass over the documents; a larger
-benchmark takes more passes, none of which shuffles a document.
+of WINDOW tokens is hashed as plain tokens and as each template.
+
+The items' windows are a table. One pass over the documents passes their window hashes through a filter of bounded size
+and writes a row for each document that may hold one; its hashes are then joined with the table. Items of which COVERAGE
+of the windows are found as they are contaminate the document. The others that share a window of at least LITERALS plain
+tokens with it (any plain token for items of which most windows have fewer) are looked at pair by pair: such a window
+aligns item and document, and along each alignment, those of most windows first, all windows of the item are compared,
+those made of slots too. They count only if the aligned windows together have LITERALS plain tokens and their slots
+agree: equal values of the item must meet equal values of the document and different values different ones, so a
+question asked again with other numbers and names is caught, while a chance mixture is not. Items of fewer than LITERALS
+plain tokens are found only as they are.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, forget_others, slices, text_bytes
+from .common import Scratch, bound_batches, file_count, forget_others, slices, text_bytes
 from .htmltext import STOPWORDS
-from .shingles import U, token_hashes, windows
+from .shingles import U, mix, token_hashes, windows
 
 WINDOW = 8
 COVERAGE = 0.5
 #: Plain tokens that windows found by templates need.
 LITERALS = 4
-#: Windows of benchmark items that are broadcast at once (24 bytes each).
-BLOCK_WINDOWS = 1_000_000
+#: Bits of the filter for each window of the benchmark, its places in the filter, and the power of two of bits at most
+#: (32 MB, whatever the benchmark; a fuller filter lets more pass to the join, which is exact).
+FILTER_BITS, PROBES, FILTER_POWER = 64, 4, 28
 # Unit words and signs.
 UNITS = """mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers mg g kg t oz lb lbs
 gram grams kilogram kilograms pound pounds ounce ounces ton tons ml cl l liter liters litre litres gallon gallons s sec second seconds min minute
@@ -55,11 +58,31 @@ _STOP[[ord(c) for c in ".!?:;\n\""]] = True
 
 class Tokens(NamedTuple):
     plain: np.ndarray
-    #: by the three readings of capitalised words
-    templates: list[np.ndarray]
-    slots: list[np.ndarray]
+    #: of each token: 1 a number, 2 a unit, 4, 8, 16 a name by the three readings of capitalised words
+    flags: np.ndarray
+    #: where each text's tokens begin
     bounds: np.ndarray
 
+    def slots(self, reading: int) -> np.ndarray:
+        return (self.flags & (3 | 4 << reading)) > 0
+
+    def template(self, reading: int) -> np.ndarray:
+        flags = self.flags
+        return np.where(flags & 1, NUMBER, np.where(flags & 2, UNIT, np.where(flags & (4 << reading), NAME, self.plain)))
+
+    def space(self, space: int) -> np.ndarray:
+        """Tokens as they are (space 0) or by a template (1 to 3)."""
+        return self.template(space - 1) if space else self.plain
+
+    def to_bytes(self, text: int) -> bytes:
+        part = slice(int(self.bounds[text]), int(self.bounds[text + 1]))
+        return self.plain[part].tobytes() + self.flags[part].tobytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Tokens:
+        n = len(data) // 9
+        return cls(np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint8, n, 8 * n), np.array([0, n]))
+
 
 def _cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte and end of each token: letters or digits in a row; marks between digits belong to their number."""
@@ -94,7 +117,7 @@ def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def tokens(texts: pa.Array) -> Tokens:
-    """Token hashes of texts, plain and as templates, whether each is a slot, and where each text's tokens begin."""
+    """Tokens of texts, one text after another."""
     texts = pc.fill_null(texts, "")
     data, offsets = text_bytes(pc.utf8_lower(texts))
     starts, ends = _cut(data, offsets)
@@ -116,42 +139,8 @@ def tokens(texts: pa.Array) -> Tokens:
         inside[1:] = stops[first[1:]] == stops[last[:-1]]
         inside[np.searchsorted(first, cased[:-1][cased[:-1] < cased[1:]]).clip(max=len(first) - 1)] = False
         names = [capital, capital & (inside | ~_among(plain, _FUNCTION_HASHES)), capital & inside]
-    templates = [np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, plain))) for name in names]
-    return Tokens(plain, templates, [number | unit | name for name in names], np.searchsorted(starts, offsets))
-
-
-class Index:
-    """Windows of a block of items."""
-
-    def __init__(self, texts: list[str | None], window: int):
-        made = tokens(pa.array(texts, pa.string()))
-        self.plain, self.templates, self.slots, self.bounds = made
-        sizes = np.diff(self.bounds)
-        #: windows of an item; an item shorter than a window is one window of its own length, one without tokens none
-        self.count = np.where(sizes >= window, sizes - window + 1, (sizes > 0).astype(np.int64))
-        self.window = window
-        self.lengths = sorted({window} | set(sizes[(sizes > 0) & (sizes < window)].tolist()))
-        self.tables = []
-        #: hashes of all windows by length and template
-        self.shapes = {}
-        for length in self.lengths:
-            fits = np.flatnonzero(sizes >= length if length == window else sizes == length)
-            every = np.concatenate([np.arange(self.bounds[i], self.bounds[i] + self.count[i]) for i in fits] or [np.zeros(0, np.int64)]).astype(np.int64)
-            owners = np.repeat(fits, self.count[fits])
-            for space, values in enumerate((made.plain, *made.templates)):
-                hashes, at, owner = windows(values, length), every, owners
-                if space:
-                    self.shapes[length, space] = hashes
-                    literals = _literals(made.slots[space - 1], length)[at]
-                    rich = literals >= min(LITERALS, length)
-                    dense = 2 * np.bincount(owner[rich], minlength=len(sizes)) < self.count
-                    rich |= dense[owner] & (literals > 0)
-                    at, owner = at[rich], owner[rich]
-                h = hashes[at]
-                order = np.argsort(h, kind="stable")
-                sieve = np.zeros(1 << 20, dtype=bool)
-                sieve[h >> U(44)] = True
-                self.tables.append((length, space, h[order], owner[order], at[order] - self.bounds[owner[order]], sieve))
+    flags = (number * 1 + unit * 2 + names[0] * 4 + names[1] * 8 + names[2] * 16).astype(np.uint8)
+    return Tokens(plain, flags, np.searchsorted(starts, offsets))
 
 
 def _literals(slot: np.ndarray, length: int) -> np.ndarray:
@@ -161,134 +150,236 @@ def _literals(slot: np.ndarray, length: int) -> np.ndarray:
 
 def _consistent(item: np.ndarray, doc: np.ndarray) -> bool:
     """Whether slot values map one to one."""
-    there, back = {}, {}
-    for x, y in zip(item.tolist(), doc.tolist(), strict=True):
-        if there.setdefault(x, y) != y or back.setdefault(y, x) != x:
-            return False
+    for part in (slice(0, 32), slice(None)):  # most that disagree do so soon
+        there, back = {}, {}
+        for x, y in zip(item[part].tolist(), doc[part].tolist(), strict=True):
+            if there.setdefault(x, y) != y or back.setdefault(y, x) != x:
+                return False
     return True
 
 
-def _shaped(index: Index, made: Tokens, shapes: dict, text: int, item: int, shift: int, length: int, space: int, plain: set[int]) -> set[int]:
-    """Windows of an item, but for those in plain, that a template finds along an alignment; none where slots disagree."""
-    base, head = int(index.bounds[item]), int(made.bounds[text])
-    low, high = max(0, head - shift), min(int(index.count[item]), int(made.bounds[text + 1]) - shift - length + 1)
-    same = index.shapes[length, space][base + low : base + high] == shapes[length, space][shift + low : shift + high]
-    at = low + np.flatnonzero(same)
-    slot = index.slots[space - 1]
-    rich = _literals(slot[base : base + int(index.count[item]) + length - 1], length)[at] >= min(LITERALS, length)
-    # what windows of slots add may disagree, where the others alone do not
-    for chosen in (at, at[rich]):
-        places = set(chosen.tolist()) - plain
-        if not places:
-            continue
-        span = np.unique(np.concatenate([np.arange(p, p + length) for p in places | plain]))
-        there, here = base + span, shift + span
-        slots = slot[there] & made.slots[space - 1][here]
-        if np.count_nonzero(~slots) >= min(LITERALS, length) and _consistent(index.plain[there][slots], made.plain[here][slots]):
-            return places
-    return set()
-
-
-def matches(index: Index, texts: pa.Array) -> list[dict[int, tuple[int, bool]]]:
-    """For each text, the windows found of each item (by number) and whether they are found as they are."""
-    made = tokens(texts)
-    found: list[dict[int, tuple[int, bool]]] = [{} for _ in range(len(texts))]
-    hits = []
-    shapes = {}
-    for length, space, hashes, owner, place, sieve in index.tables:
-        if not len(hashes):
-            continue
-        h = windows(made.templates[space - 1] if space else made.plain, length)
-        if space:
-            shapes[length, space] = h
-        at = np.flatnonzero(sieve[h >> U(44)])
-        low, high = np.searchsorted(hashes, h[at]), np.searchsorted(hashes, h[at], side="right")
-        times = high - low
-        at, low, times = at[times > 0], low[times > 0], times[times > 0]
-        text = np.searchsorted(made.bounds, at, side="right") - 1
-        whole = at + length <= made.bounds[text + 1]
-        at, low, times, text = at[whole], low[whole], times[whole], text[whole]
-        entry = np.repeat(low - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-        hits.append(np.stack([np.repeat(text, times), owner[entry], np.repeat(at, times) - place[entry], place[entry], np.full(len(entry), length), np.full(len(entry), space)]))
-    if not hits:
-        return found
-    rows = np.concatenate(hits, axis=1)
-    rows = rows[:, np.lexsort((rows[5], rows[3], rows[2], rows[1], rows[0]))]
-    # one alignment after another: same text, item and distance
-    edges = np.flatnonzero(np.any(rows[:3, 1:] != rows[:3, :-1], axis=0)) + 1
-    covered: dict[tuple[int, int], tuple[set[int], bool]] = {}
-    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), rows.shape[1]], strict=True):
-        if a == b:
+def window_count(tokens_: int, window: int) -> int:
+    """Windows of an item; one shorter than a window is one window of its own length, one without tokens none."""
+    return tokens_ - window + 1 if tokens_ >= window else min(tokens_, 1)
+
+
+def window_keys(made: Tokens, space: int, length: int) -> np.ndarray:
+    """A hash of each window of `length` tokens that tells spaces and lengths apart."""
+    return mix(windows(made.space(space), length) ^ mix(np.array([8 * length + space], dtype=np.uint64)))
+
+
+def aligned(item: Tokens, doc: Tokens, window: int, coverage: float) -> tuple[int, bool]:
+    """Windows of an item found in a document by alignments, and whether any by its template; memory grows with the two lengths alone.
+
+    Alignments of most windows come first; no more are looked at once `coverage` of the windows are found.
+    """
+    m, n = len(item.plain), len(doc.plain)
+    length = min(window, m)
+    count = window_count(m, window)
+    found = np.zeros(count, dtype=bool)
+    if not count or n < length:
+        return 0, False
+    bare = [window_keys(x, 0, length) for x in (item, doc)]
+    found |= np.isin(bare[0], bare[1])
+    reshaped = False
+    seen: set[bytes] = set()
+    for space in (1, 2, 3):
+        if np.count_nonzero(found) >= coverage * count:
+            break
+        there, here = window_keys(item, space, length), window_keys(doc, space, length)
+        # slots of this reading
+        mine, other = item.slots(space - 1), doc.slots(space - 1)
+        if (reading := mine.tobytes() + other.tobytes()) in seen:
             continue
-        text, item, shift = rows[:3, a].tolist()
-        plain = set(rows[3, a:b][rows[5, a:b] == 0].tolist())
-        shaped: set[int] = set()
-        for space in set(rows[5, a:b].tolist()) - {0}:
-            also = _shaped(index, made, shapes, text, item, shift, int(rows[4, a]), space, plain)
-            shaped = also if len(also) > len(shaped) else shaped
-        known, same = covered.get((text, item), (set(), True))
-        covered[text, item] = (known | plain | shaped, same and not shaped)
-    for (text, item), (places, same) in covered.items():
-        if places:
-            found[text][item] = (len(places), same)
-    return found
-
-
-def _blocks(bench: DataFrame, window: int) -> Iterator[list[tuple[int | None, str | None]]]:
-    """Items in blocks of bounded size, by streaming the benchmark table through the driver."""
-    bound_batches(bench.sparkSession)
-    held, size = [], 0
-    for r in bench.select("item_id", "text").toLocalIterator():
-        held.append((r.item_id, r.text))
-        size += len(r.text or "") // 2 + 1
-        if size >= BLOCK_WINDOWS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+        seen.add(reading)
+        enough = (literals := _literals(mine, length)) >= min(LITERALS, length)
+        rich = enough if 2 * np.count_nonzero(enough) >= count else literals > 0
+        votes = np.zeros(m + n, dtype=np.int32)
+        order = np.argsort(here, kind="stable")
+        ranked = here[order]
+        for place in np.flatnonzero(rich).tolist():
+            low, high = np.searchsorted(ranked, there[place]), np.searchsorted(ranked, there[place], side="right")
+            votes[order[low:high] - place + m] += 1
+        shifts = np.flatnonzero(votes)
+        for at in shifts[np.argsort(-votes[shifts], kind="stable")].tolist():
+            shift = at - m
+            low, high = max(0, -shift), min(count, n - shift - length + 1)
+            equal = np.zeros(count, dtype=bool)
+            equal[low:high] = there[low:high] == here[low + shift : high + shift]
+            if not np.any(equal & ~found):
+                continue
+            as_is = np.zeros(count, dtype=bool)
+            as_is[low:high] = bare[0][low:high] == bare[1][low + shift : high + shift]
+            # what windows of slots add may disagree, where the others alone do not
+            alone = equal & (enough | as_is)
+            for chosen in (equal, alone) if np.count_nonzero(alone) < np.count_nonzero(equal) else (equal,):
+                if not np.any(chosen & ~as_is):
+                    continue
+                ends = np.zeros(m + 1, dtype=np.int32)
+                ends[:count] += chosen
+                ends[length : length + count] -= chosen
+                span = np.flatnonzero(np.cumsum(ends[:m]))
+                slots = mine[span] & other[span + shift]
+                if np.count_nonzero(~slots) >= min(LITERALS, length) and _consistent(item.plain[span[slots]], doc.plain[span[slots] + shift]):
+                    reshaped |= bool(np.any(chosen & ~found))
+                    found |= chosen
+                    break
+            if np.count_nonzero(found) >= coverage * count:
+                break
+    return int(np.count_nonzero(found)), reshaped
+
+
+def _item_rows(bench: DataFrame, window: int) -> DataFrame:
+    """A row for each item (kind 0: item, item_id, n windows, tokens), and for each of its windows and spaces (kind 1: item, key, times it occurs as n, of which length and space)."""
+    schema = "kind int, item long, item_id long, n long, tokens binary, key long, length int, space int"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item = TaskContext.get().partitionId() << 36
+        for part in slices(batches, "text", 1 << 20):
+            rows = []
+            made = tokens(part.column("text"))
+            for text, item_id in enumerate(part.column("item_id").cast(pa.int64()).to_pylist()):
+                one = Tokens.from_bytes(made.to_bytes(text))
+                size = len(one.plain)
+                count, length = window_count(size, window), min(window, size)
+                rows.append((0, item, item_id, count, made.to_bytes(text), None, length, None))
+                for space in range(4 if count else 0):
+                    keys = window_keys(one, space, length)
+                    if space:  # windows that align by a template
+                        literals = _literals(one.slots(space - 1), length)
+                        rich = literals >= min(LITERALS, length)
+                        keys = keys[rich if 2 * np.count_nonzero(rich) >= count else literals > 0]
+                    rows += [(1, item, None, k, None, key, length, space) for key, k in zip(*(x.tolist() for x in np.unique(keys.view(np.int64), return_counts=True)), strict=True)]
+                item += 1
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return bench.select("item_id", "text").mapInArrow(run, schema)
+
+
+def probes(keys: np.ndarray, power: int) -> Iterator[np.ndarray]:
+    """A key's places in a filter of 2 ** power bits."""
+    for k in range(PROBES):
+        yield (keys if not k else mix(keys + U(k))) >> U(64 - power)
+
+
+def _filter(items: DataFrame) -> tuple[int, np.ndarray]:
+    """The power of two of its bits, and the filter of all keys as 64-bit words, merged by Spark."""
+    power = min(FILTER_POWER, max(16, (FILTER_BITS * items.filter("kind = 1").count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            keys = np.asarray(part.column("key")).view(np.uint64)
+            at = np.unique(np.concatenate(list(probes(keys, power))))
+            word, first = np.unique(at >> U(6), return_index=True)
+            bits = np.bitwise_or.reduceat(U(1) << (at & U(63)), first) if len(first) else at
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64), pa.int64()), pa.array(bits.view(np.int64), pa.int64())], names=["word", "bits"])
+
+    made = items.filter("kind = 1").select("key").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << (power - 6), dtype=np.int64)  # at most 2 ** (FILTER_POWER - 6) rows
+    words[np.asarray(made.column("word"))] = np.asarray(made.column("bits"))
+    return power, words.view(np.uint64)
+
+
+def _hit_rows(docs: DataFrame, lengths: list[int], power: int, words: np.ndarray) -> DataFrame:
+    """Of each document that may hold a window: doc (a number of its own), doc_id, a digest of the text, tokens and the keys that pass the filter."""
+    schema = "doc long, doc_id long, digest binary, tokens binary, keys array<long>"
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("shingles")
+        filled = shared.value
+        number = TaskContext.get().partitionId() << 36
+        for part in slices(batches, "text", 2 << 20):
+            made = tokens(part.column("text"))
+            texts, keys = [], []
+            for length in lengths:
+                for space in range(4):
+                    h = window_keys(made, space, length)
+                    at = np.arange(len(h))
+                    for k in range(PROBES):
+                        probe = (h[at] if not k else mix(h[at] + U(k))) >> U(64 - power)
+                        at = at[(filled[probe >> U(6)] >> (probe & U(63)) & U(1)).astype(bool)]
+                    text = np.searchsorted(made.bounds, at, side="right") - 1
+                    whole = at + length <= made.bounds[text + 1]
+                    texts.append(text[whole])
+                    keys.append(h[at[whole]])
+            text, key = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (texts, keys))
+            order = np.lexsort((key, text))
+            text, key = text[order], key[order].view(np.int64)
+            new = np.ones(len(text), dtype=bool)
+            new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+            text, key = text[new], key[new]
+            hit, first = np.unique(text, return_index=True)
+            some = part.take(pa.array(hit, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(number + np.arange(len(hit)), pa.int64()),
+                    some.column("doc_id").cast(pa.int64()),
+                    some.column("digest").cast(pa.binary()),
+                    pa.array([made.to_bytes(i) for i in hit.tolist()], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(key, pa.int64())),
+                ],
+                names=[x.split()[0] for x in schema.split(", ")],
+            )
+            number += len(hit)
+
+    return docs.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")).mapInArrow(run, schema)
+
+
+def _found(docs: DataFrame, bench: DataFrame, window: int, coverage: float, scratch: Scratch) -> DataFrame:
+    """doc_id, digest (of the text), item_id, n_windows, coverage and reparameterised of each contaminated document and item."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    items = scratch.table(_item_rows(bench, window), "op7-items", file_count(bench))
+    lengths = sorted(r.length for r in items.filter("kind = 0 and n > 0").select("length").distinct().collect())  # at most `window` of them
+    hits = scratch.table(_hit_rows(docs, lengths, *_filter(items)), "op7-hits", file_count(docs))
+    item = items.filter("kind = 0 and n > 0").select("item", "item_id", F.col("n").alias("count"), F.col("tokens").alias("item_tokens"))
+    shared = hits.select("doc", F.explode("keys").alias("key")).join(items.filter("kind = 1").select("key", "item", "n", "space"), "key")
+    plain, shaped = F.when(F.col("space") == 0, F.col("n")), F.col("space") > 0
+    pairs = shared.groupBy("doc", "item").agg(F.coalesce(F.sum(plain), F.lit(0)).alias("n_windows"), F.max(shaped).alias("shaped"))
+    pairs = scratch.table(pairs.join(item.select("item", "count"), "item"), "op7-pairs", file_count(docs))
+    as_is = pairs.filter(F.col("n_windows") >= coverage * F.col("count")).select("doc", "item", "n_windows", F.lit(False).alias("reparameterised"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            rows = defaultdict(list)
+            for doc, number, mine, other in zip(*(part.column(c).to_pylist() for c in ("doc", "item", "tokens", "item_tokens")), strict=True):
+                n, reshaped = aligned(Tokens.from_bytes(other), Tokens.from_bytes(mine), window, coverage)
+                if reshaped and n >= coverage * window_count(len(other) // 9, window):
+                    for name, value in zip(("doc", "item", "n_windows", "reparameterised"), (doc, number, n, True), strict=True):
+                        rows[name].append(value)
+            kinds = {"doc": pa.int64(), "item": pa.int64(), "n_windows": pa.int64(), "reparameterised": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c], k) for c, k in kinds.items()], names=list(kinds))
+
+    open_pairs = pairs.filter(F.col("shaped") & (F.col("n_windows") < coverage * F.col("count"))).select("doc", "item")
+    open_pairs = open_pairs.join(item.select("item", "item_tokens"), "item").join(hits.select("doc", "tokens"), "doc")
+    again = open_pairs.mapInArrow(look, "doc long, item long, n_windows long, reparameterised boolean")
+    both = scratch.table(as_is.unionByName(again), "op7-found", file_count(docs))
+    rows = both.join(item.select("item", "item_id", "count"), "item").join(hits.select("doc", "doc_id", "digest"), "doc")
+    return rows.select("doc_id", "digest", "item_id", "n_windows", F.round(F.col("n_windows") / F.col("count"), 6).alias("coverage"), "reparameterised")
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, n_windows (of the item, found), coverage (their share) and reparameterised, a row per contaminated document and item.
 
-    docs needs doc_id and text, bench item_id and text; other columns are ignored. Null and empty texts match nothing;
-    null ids are kept; repeated rows give repeated results; empty tables give an empty result.
+    docs needs doc_id and text, bench item_id and text; other columns are ignored. n_windows counts windows found as
+    they are where these suffice; else windows found by alignments, until they suffice. Null and empty texts match
+    nothing; null ids are kept; repeated rows give repeated results; empty tables give an empty result. The result is a
+    table in the shared folder.
     """
-    schema = "doc_id long, item_id long, n_windows long, coverage double, reparameterised boolean"
-    spark = docs.sparkSession
-    out = None
-    for block in _blocks(bench, window):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            forget_others("shingles")
-            names = [x[0] for x in shared.value]
-            index = Index([x[1] for x in shared.value], window)
-            for part in slices(batches, "text", 2 << 20):
-                rows = []
-                for doc, found in zip(part.column("doc_id").to_pylist(), matches(index, part.column("text")), strict=True):
-                    rows += [(doc, names[i], n, round(n / int(index.count[i]), 6), not same) for i, (n, same) in sorted(found.items()) if n >= coverage * index.count[i]]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "n_windows", "coverage", "reparameterised"])
-
-        part = docs.select("doc_id", F.col("text")).mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+    scratch = Scratch(docs.sparkSession)
+    return scratch.keep(_found(docs, bench, window, coverage, scratch).drop("digest"), "op7-rows", file_count(docs))
 
 
 def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of docs that no item contaminates, with all their columns."""
-    spark = docs.sparkSession
-    for block in _blocks(bench, window):
-        shared = spark.sparkContext.broadcast([x[1] for x in block])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            forget_others("shingles")
-            index = Index(shared.value, window)
-            for part in slices(batches, "text", 2 << 20):
-                keep = [not any(n >= coverage * index.count[i] for i, (n, _) in found.items()) for found in matches(index, part.column("text"))]
-                yield part.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """The rows of docs that no item contaminates, with all their columns.
+
+    A row goes by its text alone: rows that repeat a contaminated text all go, whatever their ids; null and empty texts
+    stay; null ids and repeated rows stay as they are; an empty benchmark leaves docs as they are.
+    """
+    scratch = Scratch(docs.sparkSession)
+    bad = scratch.keep(_found(docs, bench, window, coverage, scratch).select("digest").distinct(), "op7-bad", max(2, file_count(docs) // 4))
+    return docs.join(bad, F.unhex(F.md5(docs["text"].cast("binary"))) == bad["digest"], "left_anti")

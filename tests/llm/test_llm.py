@@ -379,8 +379,8 @@ def test_decontamination_names_that_open_sentences(spark):
     assert got == {(1, 1): True, (3, 2): True, (6, 1): False, (7, 1): True}
 
 
-def test_benchmark_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 10)
+def test_full_filter_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "FILTER_POWER", 7)
     own = ["ash", "birch", "cedar", "elm", "fir", "oak"]
     bench = spark.createDataFrame([(i, f"item {w} has some words that are its own {w} and some more of them") for i, w in enumerate(own)], "item_id long, text string")
     docs = documents(spark, [(i, f"pre item {w} has some words that are its own {w} and some more of them post") for i, w in enumerate(own)])
@@ -388,6 +388,56 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert decontam.clean(docs, bench).count() == 0
 
 
+def test_repeated_items_and_rows(spark):
+    bench = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, ITEM)], "item_id long, text string")
+    docs = documents(spark, [(5, ITEM), (5, ITEM), (None, ITEM), (None, "clean"), (6, "clean"), (6, "clean")])
+    rows = [(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()]
+    assert collections.Counter(rows) == {(5, 1): 4, (5, 2): 2, (None, 1): 2, (None, 2): 1}
+    assert sorted(((r.doc_id, r.text) for r in decontam.clean(docs, bench).collect()), key=repr) == [(6, "clean"), (6, "clean"), (None, "clean")]
+
+
+def test_reparameterised_plants_in_a_table(spark):
+    """Items asked again with other values are found, those whose values disagree are not: the slots decide every row."""
+    rng = random.Random(3)
+    names, units = ["Tom", "Ann", "Bob", "Eve", "Jim", "Pam", "Kim", "Lee"], ["kg", "miles", "dollars", "hours"]
+    words = [f"zu{i}ne".replace(str(i), "abcdefghij"[i % 10] * (i // 10 + 1)) for i in range(60)]
+
+    def item(k):
+        body = " ".join(rng.choices(words, k=5))
+        return f"{{0}} has {{2}} {units[k % 4]} of {body} and {{1}} has {{3}} of them when {{0}} gives {body} {{2}} to {{1}}, how many has {{1}} with {{3}} now?"
+
+    shapes = [item(k) for k in range(12)]
+    bench = spark.createDataFrame([(k, x.format("Tom", "Ann", 5, 7)) for k, x in enumerate(shapes)], "item_id long, text string")
+    cases, want = [], set()
+    for k, x in enumerate(shapes):
+        a, b = rng.sample(names, 2)
+        cases.append((10 * k, f"before {x.format(a, b, 11 + k, 90 + k)} after"))
+        want.add((10 * k, k, True))
+        mixed = x.replace("{2} to {1}", "41 to {0}").replace("{1} with {3}", "{0} with 43")
+        cases.append((10 * k + 1, f"before {mixed.format(a, b, 11 + k, 90 + k)} after"))
+        cases.append((10 * k + 2, "before " + x.format("Tom", "Ann", 5, 7)))
+        want.add((10 * k + 2, k, False))
+    got = {(r.doc_id, r.item_id, r.reparameterised) for r in decontam.contaminated(documents(spark, cases), bench).collect()}
+    assert got == want
+    assert {r.doc_id % 10 for r in decontam.clean(documents(spark, cases), bench).collect()} == {1}
+
+
+def test_repetitive_texts_take_bounded_memory(spark):
+    """A 50,000-word text of one phrase against a 5,000-word item of it: memory grows with the lengths, not their product."""
+    import tracemalloc
+
+    item = decontam.tokens(pa.array(["if Tom has 5 kg of it then Ann has 6 kg of it " * 360]))
+    doc = decontam.tokens(pa.array(["if Bob has 7 kg of it then Eve has 7 kg of it " * 3600]))
+    tracemalloc.start()
+    n, _ = decontam.aligned(item, doc, decontam.WINDOW, decontam.COVERAGE)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n < 100 and peak < 200 << 20
+    docs = documents(spark, [(1, "one two three four five six seven eight " * 6000), (2, "other words")])
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight " * 600)], "item_id long, text string")
+    assert [(r.doc_id, r.coverage) for r in decontam.contaminated(docs, bench).collect()] == [(1, 1.0)]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_decontamination_whole_table(spark):
     docs = [(r.doc_id, (r.text or "").lower()) for r in common.table(spark, DATA, "documents").collect()]

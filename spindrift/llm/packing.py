@@ -1,11 +1,12 @@
 """Sequence packing by Karmarkar-Karp multiway differencing.
 
-Documents are tokenised where they lie. A document's full windows become sequences of their own; the rests of
-GROUP documents at a time are packed into near-equal windows: every rest starts as a partial partition, and the
-two partials with the largest imbalance are merged with opposing loads until one is left. Where a window exceeds
-the capacity, the excess is cut off and poured into windows with room; if none has room the window count rises
-(without cutting, it rises until the differencing itself fits). There is no shuffle and no global state: a group
-never spans partitions, memory is bounded by GROUP windows, and a retried task gives the same sequences.
+Documents are tokenised where they lie. A document's full windows become sequences of their own; its rest is cut into
+pieces of a quarter window at most, and GROUP pieces at a time are packed into near-equal windows: every piece starts as
+a partial partition, and the two partials with the largest imbalance are merged with opposing loads until one is left.
+Where a window exceeds the capacity, the window count rises and the differencing starts again; as pieces are small
+against a window, it seldom rises more than once, and padding stays below some hundredths. (With cut=True the excess is
+cut off instead and poured into windows with room.) There is no shuffle and no global state: a group never spans
+partitions, memory is bounded by GROUP windows, and a retried task gives the same sequences.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import DataFrame
 from .common import bound_batches, slices
 from .tokens import encoder
 
-#: Rests that are packed together.
-GROUP = 512
+#: Pieces that are packed together, and how many of the largest fill a window.
+GROUP = 1024
+PARTS = 4
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -98,13 +100,15 @@ def pack(sizes: list[int], capacity: int, cut: bool = True) -> list[list[tuple[i
     return [w for w in out if w]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, cut: bool = True, group: int = GROUP) -> DataFrame:
-    """Pieces of all documents in sequences of at most `capacity` ids (SCHEMA).
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, cut: bool = False, group: int = GROUP) -> DataFrame:
+    """Pieces of all documents in sequences of at most `capacity` ids (SCHEMA); with `cut`, overflowing windows are cut instead of opening more.
 
     docs needs doc_id and text; other columns, whatever their names, are ignored. A null or empty text is the end id
     alone; a null doc_id is kept as null; repeated rows are packed as often as they occur; no row, no piece.
     """
 
+    piece = max(1, capacity // PARTS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         end = np.array([end_id], dtype="<u4").tobytes()
@@ -134,10 +138,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
                 full = total - total % capacity
                 for start in range(0, full, capacity):
                     rows.append((doc, start, capacity, zlib.crc32(ids[4 * start : 4 * (start + capacity)]), total, next(numbers), 0))
-                if full < total:
-                    waiting.append((doc, full, total, ids[4 * full :]))
-                if len(waiting) >= group:
-                    settle()
+                for start in range(full, total, piece):
+                    waiting.append((doc, start, total, ids[4 * start : 4 * min(total, start + piece)]))
+                    if len(waiting) >= group:
+                        settle()
             yield flush()
         settle()
         yield flush()

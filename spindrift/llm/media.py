@@ -64,13 +64,15 @@ def _png(b: bytes, at: int) -> int:
 
 def _jpeg(b: bytes, at: int) -> int:
     p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
+    while p + 2 <= len(b) and b[p] == 0xFF:
         mark = b[p + 1]
         if mark == 0xD9:
             return p + 2 - at
         if mark == 0xFF or 0xD0 <= mark <= 0xD8 or mark == 1:
             p += 1 if mark == 0xFF else 2
             continue
+        if p + 4 > len(b):
+            return 0
         p += 2 + struct.unpack_from(">H", b, p + 2)[0]
         if mark == 0xDA:  # entropy-coded data up to the next marker
             while True:
@@ -131,14 +133,75 @@ def _riff(b: bytes, at: int) -> int:
     return size if p in (at + size, at + size + 1) else 0
 
 
+def _crc(poly: int, bits: int) -> list[int]:
+    """Table of a most-significant-bit-first cyclic redundancy check."""
+    made = []
+    for value in range(256):
+        value <<= bits - 8
+        for _ in range(8):
+            value = value << 1 ^ (poly if value >> (bits - 1) & 1 else 0)
+            value &= (1 << bits) - 1
+        made.append(value)
+    return made
+
+
+_CRC8, _CRC16 = _crc(0x07, 8), _crc(0x8005, 16)
+
+
+def _flac_frame(b: bytes, p: int) -> tuple[int, int] | None:
+    """(samples, bytes of the header) of a FLAC frame header at p, if its check sum holds."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8 or b[p + 3] & 1:
+        return None
+    lead = b[p + 4]
+    more = 0 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() - 1
+    if not (lead < 0x80 or 1 <= more <= 6):
+        return None
+    q = p + 5 + more
+    size, rate = b[p + 2] >> 4, b[p + 2] & 15
+    extra = {6: 1, 7: 2}.get(size, 0)
+    samples = 192 if size == 1 else 576 << (size - 2) if 2 <= size <= 5 else 256 << (size - 8) if size >= 8 else int.from_bytes(b[q : q + extra], "big") + 1
+    q += extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if not size or rate == 15 or q >= len(b):
+        return None
+    check = 0
+    for x in b[p:q]:
+        check = _CRC8[check ^ x]
+    return (samples, q + 1 - p) if check == b[q] else None
+
+
 def _flac(b: bytes, at: int) -> int:
-    p, last = at + 4, False
+    """Frames are walked by their headers' check sums until STREAMINFO's samples are all there; the last one ends where its own check sum does."""
+    p, last, info = at + 4, False, b""
     while not last and p + 4 <= len(b):
         last, kind, size = bool(b[p] & 0x80), b[p] & 0x7F, int.from_bytes(b[p + 1 : p + 4], "big")
-        if p == at + 4 and (kind or size != 34):
-            return 0
+        if p == at + 4:
+            if kind or size != 34:
+                return 0
+            info = b[p + 4 : p + 38]
         p += 4 + size
-    return len(b) - at if last and p <= len(b) else 0
+    if not last or p > len(b) or len(info) < 34:
+        return 0
+    total = int.from_bytes(info[13:18], "big") & ((1 << 36) - 1)
+    longest = int.from_bytes(info[7:10], "big")
+    if not total:  # its length is written nowhere
+        return 0
+    while frame := _flac_frame(b, p):
+        samples, head = frame
+        total -= samples
+        end = min(len(b), p + longest) if longest else len(b)
+        check, q = 0, p
+        while q < end:
+            check = (check << 8 & 0xFFFF) ^ _CRC16[check >> 8 ^ b[q]]
+            q += 1
+            # a check sum over its own value is zero; a frame that isn't the last is followed by one
+            if not check and q >= p + head + 2 and (total <= 0 or _flac_frame(b, q)):
+                break
+        else:
+            return 0
+        if total <= 0:
+            return q - at
+        p = q
+    return 0
 
 
 def _ogg(b: bytes, at: int) -> int:
@@ -154,11 +217,29 @@ def _ogg(b: bytes, at: int) -> int:
     return p - at
 
 
+# Kilobits a second of MPEG audio layer III, version 1 and the others, and sampling rates by version.
+_BITRATES = ((32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160))
+_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+
+
 def _id3(b: bytes, at: int) -> int:
+    """A tag and the layer III frames behind it, by the lengths that their headers give; two at least."""
     if at + 10 > len(b) or b[at + 3] > 4 or any(x & 0x80 for x in b[at + 6 : at + 10]):
         return 0
-    end = at + 10 + (b[at + 6] << 21 | b[at + 7] << 14 | b[at + 8] << 7 | b[at + 9])
-    return len(b) - at if end + 1 < len(b) and b[end] == 0xFF and b[end + 1] & 0xE0 == 0xE0 else 0
+    p = at + 10 + (b[at + 6] << 21 | b[at + 7] << 14 | b[at + 8] << 7 | b[at + 9])
+    frames = 0
+    while p + 4 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xE6 == 0xE2:
+        version, bits, rate = b[p + 1] >> 3 & 3, b[p + 2] >> 4, b[p + 2] >> 2 & 3
+        if version == 1 or not 0 < bits < 15 or rate == 3:
+            break
+        size = (144 if version == 3 else 72) * 1000 * _BITRATES[version != 3][bits - 1] // _RATES[version][rate] + (b[p + 2] >> 1 & 1)
+        if p + size > len(b):
+            break
+        p += size
+        frames += 1
+    if frames and b[p : p + 3] == b"TAG" and p + 128 <= len(b):
+        p += 128
+    return p - at if frames > 1 else 0
 
 
 def _boxes(b: bytes, at: int) -> int:
@@ -171,21 +252,75 @@ def _boxes(b: bytes, at: int) -> int:
     return p - at if at >= 0 and p > at + 8 else 0
 
 
+def _element(b: bytes, p: int) -> tuple[int, int, int] | None:
+    """(id, first byte of the data, bytes of data or -1 if unknown) of the EBML element at p."""
+    if p >= len(b) or not b[p]:
+        return None
+    wide = 9 - b[p].bit_length()
+    name, p = int.from_bytes(b[p : p + wide], "big"), p + wide
+    if wide > 4 or p >= len(b) or not b[p]:
+        return None
+    wide = 9 - b[p].bit_length()
+    size = int.from_bytes(b[p : p + wide], "big") & ((1 << 7 * wide) - 1)
+    if p + wide > len(b):
+        return None
+    return name, p + wide, -1 if size == (1 << 7 * wide) - 1 else size
+
+
+# EBML header, document type, segment, and what a segment holds.
+_EBML, _DOCTYPE, _SEGMENT = 0x1A45DFA3, 0x4282, 0x18538067
+_PARTS = {0x114D9B74, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B, 0x1254C367, 0x1043A770, 0x1941A469, 0xEC, 0xBF}
+
+
 def _ebml(b: bytes, at: int) -> int:
-    return len(b) - at if b.find(b"webm", at, at + 64) > 0 or b.find(b"matroska", at, at + 64) > 0 else 0
+    """A header that names a document type of this format, and a segment of a length that is there (of unknown length: its parts)."""
+    head = _element(b, at)
+    if not head or head[0] != _EBML or head[2] < 0 or head[1] + head[2] > len(b):
+        return 0
+    p, end, kind = head[1], head[1] + head[2], b""
+    while p < end and (x := _element(b, p)) and x[2] >= 0:
+        if x[0] == _DOCTYPE:
+            kind = b[x[1] : x[1] + x[2]].rstrip(b"\0")
+        p = x[1] + x[2]
+    segment = _element(b, end)
+    if p != end or kind not in (b"webm", b"matroska") or not segment or segment[0] != _SEGMENT:
+        return 0
+    p = segment[1]
+    if segment[2] >= 0:
+        return p + segment[2] - at if p + segment[2] <= len(b) else 0
+    while (x := _element(b, p)) and x[0] in _PARTS:
+        if x[2] < 0 or x[1] + x[2] > len(b):
+            return 0
+        p = x[1] + x[2]
+    return p - at if p > segment[1] else 0
+
+
+class Ahead:
+    """Where needles come next in a blob; each place is looked at once for positions that rise."""
+
+    def __init__(self, blob: bytes):
+        self.blob, self.known = blob, {}
 
+    def find(self, needle: bytes, at: int) -> int:
+        """Like bytes.find."""
+        start, found = self.known.get(needle, (0, -2))
+        if found == -2 or at < start or 0 <= found < at:
+            found = self.blob.find(needle, at)
+            self.known[needle] = at, found
+        return found
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else 0
 
+def _pdf(b: bytes, at: int, ahead: Ahead) -> int:
+    end, start = ahead.find(b"%%EOF", at), ahead.find(b"startxref", at)
+    return end + 5 - at if 0 < start < end else 0
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
+
+def _zip(b: bytes, at: int, ahead: Ahead) -> int:
+    end = ahead.find(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return 0
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
-    return end + 22 + note - at if at + start + size == end and b[at + start : at + start + 4] == b"PK\x01\x02" else 0
+    return end + 22 + note - at if at + start + size == end and end + 22 + note <= len(b) and b[at + start : at + start + 4] == b"PK\x01\x02" else 0
 
 
 def _gzip(b: bytes, at: int) -> int:
@@ -205,8 +340,10 @@ def _gzip(b: bytes, at: int) -> int:
 VALIDATORS = {
     "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp, "audio/wav": _riff, "image/webp": _riff,
     "video/avi": _riff, "audio/flac": _flac, "application/ogg": _ogg, "audio/mpeg": _id3, "video/mp4": _boxes,
-    "video/webm": _ebml, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip,
+    "video/webm": _ebml, "application/gzip": _gzip,
 }
+#: Validators that look for an end mark.
+SEEKERS = {"application/pdf": _pdf, "application/zip": _zip}
 _AUTOMATON: list = []
 
 
@@ -226,9 +363,13 @@ def sniff(blob: bytes | None) -> list[Found]:
     """Confirmed media in a blob by offset, outermost only; none for null, empty or plain bytes."""
     out: list[Found] = []
     end = 0
+    ahead = Ahead(blob or b"")
     for last, (size, kind, before) in _automaton().iter(blob.decode("latin-1")) if blob else ():
         at = last + 1 - size - before
-        if at >= end and (length := VALIDATORS[kind](blob, at)) > 0:
+        if at < end or at < 0:
+            continue
+        length = SEEKERS[kind](blob, at, ahead) if kind in SEEKERS else VALIDATORS[kind](blob, at)
+        if length > 0:
             out.append(Found(at, length, kind))
             end = at + length
     return sorted(out)
@@ -238,7 +379,7 @@ def correct_type(declared: str | None, found: list[Found]) -> str:
     """The type of what starts the blob; without one the declared type is kept only if no signature stands for it."""
     if found and not found[0].offset:
         return found[0].kind
-    return "application/octet-stream" if declared is None or declared in VALIDATORS else declared
+    return "application/octet-stream" if declared is None or declared in VALIDATORS or declared in SEEKERS else declared
 
 
 def to_payload(text: str | None) -> tuple[int, bytes]:
@@ -269,36 +410,57 @@ def store(payload: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines, 1)) + chunk(b"IEND", b"")
 
 
-def load(blob: bytes, kind: str) -> tuple[bytes, str]:
-    """(samples, shape) of media that store() wrote, from its headers."""
+def load(blob: bytes, kind: str) -> tuple[bytes, str] | None:
+    """(samples, shape) of 8-bit media, from their headers; None for what holds no plain 8-bit samples or needs a decoder.
+
+    8-bit mono WAV, 24-bit bitmaps, and PNG of 8-bit grey without filters or interlace, which store() writes.
+    """
     if kind == "audio/wav":
-        (size,) = struct.unpack_from("<I", blob, 40)
-        (rate,) = struct.unpack_from("<I", blob, 24)
-        return blob[44 : 44 + size], f"{size}@{rate}"
+        at, shape = 12, None
+        while at + 8 <= len(blob):
+            name, (size,) = blob[at : at + 4], struct.unpack_from("<I", blob, at + 4)
+            if name == b"fmt " and size >= 16:
+                coding, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", blob, at + 8)
+                shape = rate if (coding, channels, bits) == (1, 1, 8) else None
+            elif name == b"data":
+                return (blob[at + 8 : at + 8 + size], f"{size}@{shape}") if shape else None
+            at += 8 + size + (size & 1)
+        return None
     if kind == "image/bmp":
         start, width, height = *struct.unpack_from("<I", blob, 10), *struct.unpack_from("<ii", blob, 18)
+        if struct.unpack_from("<H", blob, 28)[0] != 24:
+            return None
         line = width * 3
         step = -(-line // 4) * 4
         order = range(-height) if height < 0 else range(height - 1, -1, -1)
         return b"".join(blob[start + i * step : start + i * step + line] for i in order), f"{width}x{abs(height)}"
     if kind == "image/png":
         at, data, shape = 8, [], (0, 0)
-        while at < len(blob):
+        while at + 12 <= len(blob):
             (size,) = struct.unpack_from(">I", blob, at)
             name = blob[at + 4 : at + 8]
             if name == b"IHDR":
                 shape = struct.unpack_from(">II", blob, at + 8)
+                if blob[at + 16 : at + 21] != b"\x08\0\0\0\0":
+                    return None
             elif name == b"IDAT":
                 data.append(blob[at + 8 : at + 8 + size])
             at += 12 + size
-        lines = zlib.decompress(b"".join(data))
+        try:
+            lines = zlib.decompress(b"".join(data))
+        except zlib.error:
+            return None
         step = shape[0] + 1
+        if len(lines) != step * shape[1] or any(lines[::step]):
+            return None
         return b"".join(lines[i + 1 : i + step] for i in range(0, len(lines), step)), f"{shape[0]}x{shape[1]}"
-    raise ValueError(f"no reader for {kind}")
+    return None
 
 
-def features(samples: bytes, kind: str, shape: str, found: list[Found]) -> str:
-    """Type, shape, mean, deviation and entropy of 8-bit samples, and how many embedded media were confirmed."""
+def features(samples: bytes | None, kind: str, shape: str, embedded: int) -> str:
+    """Type, shape, mean, deviation and entropy of 8-bit samples, and how many embedded media were confirmed; the type and that number alone without samples."""
+    if samples is None:
+        return f"{kind};embedded={embedded}"
     counts = np.bincount(np.frombuffer(samples, dtype=np.uint8), minlength=256)
     n = max(1, len(samples))
     values = np.arange(256)
@@ -306,7 +468,7 @@ def features(samples: bytes, kind: str, shape: str, found: list[Found]) -> str:
     mean = total / n
     share = counts[counts > 0] / n
     deviation = math.sqrt(max(0.0, squares / n - mean * mean))
-    return f"{kind};{shape};mean={mean:.3f};dev={deviation:.3f};entropy={-float(share @ np.log2(share)):.3f};embedded={len(found) - 1}"
+    return f"{kind};{shape};mean={mean:.3f};dev={deviation:.3f};entropy={-float(share @ np.log2(share)):.3f};embedded={embedded}"
 
 
 def to_media(docs: DataFrame) -> DataFrame:
@@ -328,7 +490,12 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def inspect(media: DataFrame) -> DataFrame:
-    """What sniffing and reading back finds in the rows of to_media(); a null blob gives nulls and the type of no media."""
+    """What sniffing and reading back finds in each row (doc_id, n_bytes, declared, media), such as those of to_media().
+
+    A null blob gives nulls and the type of no media. Payload columns are null where the blob is not 8-bit media that
+    load() reads; its size, digest and a feature of its type and embedded media are given all the same. Null ids are
+    kept, repeated rows stay, an empty table gives an empty one.
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared string, kind string"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -338,11 +505,13 @@ def inspect(media: DataFrame) -> DataFrame:
             for doc, n, declared, blob in zip(*(part.column(x).to_pylist() for x in ("doc_id", "n_bytes", "declared", "media")), strict=True):
                 found = sniff(blob)
                 kind = correct_type(declared, found)
-                if blob is None or not found:
-                    rows.append((doc, n, None, None, None, None if blob is None else len(blob), None, None, declared, kind))
+                if blob is None:
+                    rows.append((doc, n, None, None, None, None, None, None, declared, kind))
                     continue
-                samples, shape = load(blob, kind)
-                rows.append((doc, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), features(samples, kind, shape, found), declared, kind))
+                whole = bool(found) and not found[0].offset
+                samples, shape = (load(blob, kind) if whole else None) or (None, "")
+                payload = (None, None, None) if samples is None else (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]))
+                rows.append((doc, n, *payload, len(blob), hashlib.sha256(blob).hexdigest(), features(samples, kind, shape, len(found) - whole), declared, kind))
             text = {"payload_sha256", "media_sha256", "feature", "declared", "kind"}
             columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if x in text else pa.int64()) for x, c in zip(names, columns, strict=True)], names=names)
@@ -351,7 +520,11 @@ def inspect(media: DataFrame) -> DataFrame:
 
 
 def carve(media: DataFrame) -> DataFrame:
-    """doc_id, offset, length, kind and bytes of each confirmed medium in a blob, embedded ones included."""
+    """doc_id, offset, length, kind and bytes of each confirmed medium in a blob, embedded ones included.
+
+    media needs doc_id and media; other columns are ignored. A null or plain blob gives no row, a null doc_id is kept,
+    repeated rows give repeated results, an empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "media", 8 << 20):

@@ -73,6 +73,18 @@ def test_pack_is_a_partition(sizes, cut):
         assert all(len(p) == 1 for p in seen.values())
 
 
+def test_the_window_count_rises_with_little_padding():
+    rng = random.Random(4)
+    for top in (100, 400, 2048):
+        sizes = [rng.randint(1, top) for _ in range(600)]
+        pieces = [min(512, s - at) for s in sizes for at in range(0, s, 512)]
+        windows = packing.pack(pieces, 2048, cut=False)
+        assert sum(n for w in windows for _, _, n in w) == sum(sizes) and all(sum(n for _, _, n in w) <= 2048 for w in windows)
+        assert len(windows) <= 1.02 * sum(sizes) / 2048 + 1
+    # where whole items are kept together, the count rises above what their sum needs
+    assert len(packing.pack([60, 60, 60], 100, cut=False)) == 3
+
+
 def test_differencing_is_near_equal():
     rng = random.Random(3)
     sizes = [rng.randint(1, 400) for _ in range(300)]
@@ -622,6 +634,112 @@ def test_media_table(spark):
     assert media.store_and_read(documents(spark, [(1, "a")]).limit(0)).count() == 0
 
 
+def remainder(data, poly, bits):
+    """CRC by long division, bit by bit."""
+    value = 0
+    for byte in data:
+        for k in range(7, -1, -1):
+            top = value >> (bits - 1) & 1 ^ byte >> k & 1
+            value = (value << 1 & (1 << bits) - 1) ^ (poly if top else 0)
+    return value
+
+
+def flac(frames):
+    head = b"fLaC" + bytes([0x80, 0, 0, 34]) + struct.pack(">HH", 16, 16) + b"\0" * 6
+    rate, total = 44100, 16 * frames
+    head += (rate << 44 | 0 << 41 | 15 << 36 | total).to_bytes(8, "big") + b"\0" * 16
+    out = b""
+    for k in range(frames):
+        frame = bytes([0xFF, 0xF8, 0x70, 0x08, k]) + struct.pack(">H", 15)
+        frame += bytes([remainder(frame, 0x07, 8)]) + b"\0" + struct.pack(">H", 1000 + k)
+        out += frame + struct.pack(">H", remainder(frame, 0x8005, 16))
+    return head + out
+
+
+def mp3(frames):
+    body = bytes([0xFF, 0xFB, 0x90, 0x00])  # 128 kbit/s at 44.1 kHz: 417 bytes a frame
+    return b"ID3\3\0\0\0\0\0\5" + b"xxxxx" + (body + b"\1" * 413) * frames
+
+
+def webm(known):
+    head = bytes.fromhex("1A45DFA3") + bytes([0x80 | 7]) + bytes.fromhex("4282") + bytes([0x84]) + b"webm"
+    parts = bytes.fromhex("1549A966") + bytes([0x83]) + b"abc" + bytes.fromhex("1F43B675") + bytes([0x85]) + b"defgh"
+    return head + bytes.fromhex("18538067") + (bytes([0x80 | len(parts)]) if known else b"\x01" + b"\xff" * 7) + parts
+
+
+def test_lengths_are_confirmed():
+    """Audio and video end where their own lengths say, so what is embedded behind them is found too."""
+    tail = b"plain text " + media.store(b"z" * 384) + b" more"
+    for kind, b in [("audio/flac", flac(3)), ("audio/mpeg", mp3(3)), ("audio/mpeg", mp3(2) + b"TAG" + b"t" * 125), ("video/webm", webm(True)), ("video/webm", webm(False))]:
+        found = media.sniff(b"??" + b + tail)
+        assert [(f.kind, f.offset, f.length) for f in found][0] == (kind, 2, len(b)) and found[1].kind == "image/png" and len(found) == 2
+        assert media.sniff(b[:-1] if kind != "audio/mpeg" else b[:440]) == []
+    broken = bytearray(flac(2))
+    broken[-1] ^= 1
+    for junk in (bytes(broken), b"\x1aE\xdf\xa3 junk webm junk and more of it", flac(0) + b"plain text", b"ID3\3\0\0\0\0\0\0\xff\xe0text", b"fLaC" + b"\0" * 50):
+        assert media.sniff(junk) == []
+
+
+def test_many_marks_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert media.sniff(b"%PDF-1.4 " * 200_000) == [] and media.sniff(b"PK\x03\x04 zip " * 200_000) == []
+    assert media.sniff(b"PK\x03\x04 zip " * 100_000 + b"PK\x05\x06" + b"\0" * 18) == []
+    assert time.perf_counter() - start < 10
+
+
+def test_every_type_is_inspected(spark):
+    import io
+    import wave
+
+    grey, stereo = media.store(b"a" * 384), io.BytesIO()
+    with wave.open(stereo, "wb") as w:
+        w.setnchannels(2), w.setsampwidth(2), w.setframerate(8000), w.writeframes(b"\1\2\3\4" * 9)
+    filtered = bytearray(zlib.decompress(grey[41:-16]))
+    filtered[0] = 1
+    other = grey[:33] + struct.pack(">I", len(zlib.compress(bytes(filtered)))) + b"IDAT" + zlib.compress(bytes(filtered)) + b"\0\0\0\0" + grey[-12:]
+    blobs = [b"\xff\xd8\xff\xe0\0\4ab\xff\xda\0\4cd\1\2\xff\0\3\xff\xd9", b"text " + grey, b"", b"plain", None, flac(2), stereo.getvalue(), other, grey]
+    rows = spark.createDataFrame([(i, len(b or b""), "image/jpeg", b, "clash") for i, b in enumerate(blobs)], "doc_id long, n_bytes long, declared string, media binary, feature string")
+    got = {r.doc_id: r for r in media.inspect(rows).collect()}
+    assert [got[i].kind for i in range(9)] == ["image/jpeg", *["application/octet-stream"] * 4, "audio/flac", "audio/wav", "image/png", "image/png"]
+    assert [got[i].payload_bytes for i in range(9)] == [None] * 8 + [384] and got[8].payload_sha256 == hashlib.sha256(b"a" * 384).hexdigest()
+    assert got[0].feature == "image/jpeg;embedded=0" and got[1].feature == "application/octet-stream;embedded=1" and got[4].media_sha256 is None
+    assert all(got[i].media_sha256 == hashlib.sha256(blobs[i]).hexdigest() for i in range(9) if blobs[i] is not None)
+    assert media.inspect(rows.limit(0)).count() == 0 and media.carve(rows.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_media_of_a_table_by_other_readers(spark):
+    """Stored forms and features of a whole table, decoded by the standard library and by hand."""
+    import io
+    import statistics
+    import wave
+
+    docs = common.table(spark, DATA, "documents")
+    blobs = {r.doc_id: bytes(r.media) for r in media.to_media(docs).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in q.op10_media(spark, DATA).collect():
+        raw = texts[r.doc_id].encode()
+        want = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+        blob = blobs[r.doc_id]
+        if blob[:4] == b"RIFF":
+            with wave.open(io.BytesIO(blob)) as w:
+                samples, kind, shape = w.readframes(w.getnframes()), "audio/wav", f"{len(want)}@{w.getframerate()}"
+        elif blob[:2] == b"BM":
+            assert struct.unpack_from("<ii", blob, 18) == (64, -len(want) // 192)
+            samples, kind, shape = blob[54:], "image/bmp", f"64x{len(want) // 192}"
+        else:
+            lines = zlib.decompress(blob[41:-16])
+            samples, kind, shape = b"".join(lines[i + 1 : i + 193] for i in range(0, len(lines), 193)), "image/png", f"192x{len(want) // 192}"
+        assert samples == want and (r.media_bytes, r.media_sha256) == (len(blob), hashlib.sha256(blob).hexdigest())
+        counts = collections.Counter(want)
+        entropy = -sum(n / len(want) * np.log2(n / len(want)) for n in counts.values())
+        assert re.fullmatch(re.escape(f"{kind};{shape};") + r"mean=([\d.]+);dev=([\d.]+);entropy=([\d.]+);embedded=0", r.feature)
+        numbers = [float(x) for x in re.findall(r"=([\d.]+)", r.feature)[:3]]
+        assert np.allclose(numbers, [statistics.fmean(want), statistics.pstdev(want), entropy], atol=2e-3)
+
+
 # -- chat ---------------------------------------------------------------------------------------------------------------
 
 

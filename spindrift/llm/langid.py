@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, bound_batches, forget_others, slices, text_bytes
+from .common import CACHES, bound_batches, file_count, forget_others, materialize, slices, text_bytes
 
 DIMENSIONS = 1024
 #: Letters in an n-gram.
@@ -25,8 +25,8 @@ SYMBOLS = 1024
 SEED = 20250131
 #: n-gram vectors that a worker remembers before it starts again (1 KB each).
 GRAM_CACHE = 32_000
-#: Distinct languages that training may return to the driver; more is an error, as prototypes are broadcast.
-MAX_LANGUAGES = 2_000
+#: Prototypes that are broadcast at once (8 KB each); more languages take more passes over the documents.
+BLOCK_LANGUAGES = 2_000
 #: A text of at least CERTAIN letters whose best cosine is lower resembles no language: four standard deviations (1 /
 #: sqrt(DIMENSIONS)) of the cosine to an unlike text. Shorter texts of a known language may score as low.
 REJECT_BELOW = 0.125
@@ -114,11 +114,12 @@ def profiles() -> Profiles:
     return _PROFILES[0]
 
 
-def train(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Prototypes by language of all rows with a text and a non-null lang.
+def train(docs: DataFrame) -> DataFrame:
+    """Prototypes (lang, part: sums as bytes), a row for each language of all rows with a text and a non-null lang.
 
     Bundles are added up within each task, then by language over tasks, so that one language may hold any share of
-    the rows. Texts without a letter add nothing; an empty table gives no prototype.
+    the rows. Texts without a letter add nothing; an empty table gives no prototype. The result is a table in the
+    shared folder.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,50 +143,56 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
     parts = docs.select("lang", "text").filter("lang is not null and text is not null").mapInArrow(run, schema)
     # sums of task sums: a salted round keeps what one task reads small
     merged = parts.withColumn("salt", F.spark_partition_id() % 16).repartition("lang", "salt").select("lang", "part").mapInArrow(merge, schema)
-    found: dict[str, np.ndarray] = {}
-    rows = merged.limit(16 * MAX_LANGUAGES + 1).collect()
-    if len(rows) > 16 * MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    for lang, part in sorted((r.lang, bytes(r.part)) for r in rows):
-        found[lang] = found.get(lang, 0.0) + np.frombuffer(part)
-    return found
+    return materialize(merged.repartition("lang").mapInArrow(merge, schema), "op8-prototypes", file_count(docs))
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def _blocks(prototypes: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Languages in order and their prototypes at unit length, BLOCK_LANGUAGES at a time."""
+    langs: list[str] = []
+    rows: list[np.ndarray] = []
+    for r in prototypes.orderBy("lang").toLocalIterator():
+        langs.append(r.lang)
+        rows.append((found := np.frombuffer(r.part)) / (np.linalg.norm(found) or 1.0))
+        if len(langs) == BLOCK_LANGUAGES:
+            yield langs, np.array(rows)
+            langs, rows = [], []
+    if langs:
+        yield langs, np.array(rows)
+
+
+def identify(docs: DataFrame, prototypes: DataFrame, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with two columns more: the language of the nearest prototype, and its cosine cut to 0..1, by all of the text.
 
     `und` with score 0 where the text is null, empty or without a letter, or where there is no prototype. Ties go to
     the language first in order. All columns of docs are kept but those of the two names.
     """
-    langs = sorted(prototypes)
-    unit = np.array([prototypes[x] / (np.linalg.norm(prototypes[x]) or 1.0) for x in langs], dtype=np.float32).reshape(len(langs), DIMENSIONS)
-    spark = docs.sparkSession
-    bound_batches(spark)
-    shared = spark.sparkContext.broadcast((langs, unit))
+    bound_batches(docs.sparkSession)
     docs = docs.drop(*names)
+    found = docs.withColumns({names[0]: F.lit("und"), names[1]: F.lit(-1.0)})
+    for langs, unit in _blocks(prototypes):
+        found = _nearest(found, langs, unit, names)
+    return found.withColumn(names[1], F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), names[1])), 6))
+
+
+def _nearest(docs: DataFrame, langs: list[str], unit: np.ndarray, names: tuple[str, str]) -> DataFrame:
+    """docs whose last two columns are the language and cosine so far, and of this block where it is nearer."""
+    shared = docs.sparkSession.sparkContext.broadcast((langs, unit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, matrix = shared.value
         made = profiles()
         for part in slices(batches, "text", 2 << 20):
-            best, score = [], []
-            for bundle in made.bundles(part.column("text")):
+            best, score = (part.column(x).to_pylist() for x in names)
+            for i, bundle in enumerate(made.bundles(part.column("text"))):
                 norm = float(np.linalg.norm(bundle)) if bundle is not None else 0.0
-                if not norm or not known:
-                    best.append("und")
-                    score.append(0.0)
-                    continue
-                cosine = matrix @ (bundle / norm)
-                i = int(np.argmax(cosine))
-                best.append(known[i])
-                score.append(round(min(1.0, max(0.0, float(cosine[i]))), 6))
-            columns = [*part.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *names])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+                if norm:
+                    cosine = np.round(matrix @ (bundle.astype(np.float64) / norm), 9)  # so that ties are ties
+                    k = int(np.argmax(cosine))
+                    if best[i] == "und" or float(cosine[k]) > score[i]:
+                        best[i], score[i] = known[k], float(cosine[k])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(best, pa.string()), pa.array(score, pa.float64())], names=part.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fold(doc_id: Column) -> Column:

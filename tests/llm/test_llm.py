@@ -473,10 +473,55 @@ def test_language_accuracy(spark):
 def test_language_edges(spark):
     train = documents(spark, [(1, "the cat and the dog")]).select("doc_id", "text", F.lit("en").alias("lang")).union(documents(spark, [(2, "der hund und die katze"), (3, None), (4, "123")]).select("doc_id", "text", F.lit("de")))
     made = langid.train(train)
-    assert set(made) == {"en", "de"}
+    assert {r.lang for r in made.collect()} == {"en", "de"}
     got = {(r.doc_id, r.lang_pred, r.score > 0) for r in langid.identify(documents(spark, [*AWKWARD[:4], (20, "the cat"), (21, "12 !!"), (22, "und die katze")], "clash"), made).collect()}
     assert {(1, "und", False), (2, "und", False), (3, "und", False), (20, "en", True), (21, "und", False), (22, "de", True)} <= got
-    assert langid.train(train.limit(0)) == {} and langid.identify(train, {}).filter("lang_pred <> 'und'").count() == 0
+    none = langid.train(train.limit(0))
+    assert none.count() == 0 and langid.identify(train, none).filter("lang_pred <> 'und' or score <> 0").count() == 0
+
+
+def test_languages_in_blocks_and_ties(spark, monkeypatch):
+    rows = [(i, text, lang) for i, (text, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("the cat and the dog", "ab"), ("el perro y el gato", "es"), ("le chat et le chien", "fr")])]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(train, langid.train(train)).collect()}
+    assert whole[0][0] == whole[2][0] == "ab" and [whole[i][0] for i in (1, 3, 4)] == ["de", "es", "fr"]  # ties go to the first in order
+    monkeypatch.setattr(langid, "BLOCK_LANGUAGES", 2)
+    assert {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(train, langid.train(train)).collect()} == whole
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_languages_are_brute_force(spark):
+    """Prototypes, cosines and predictions of a table, recomputed n-gram by n-gram."""
+    p = langid.Profiles()
+    grams: dict = {}
+
+    def bundle(text):
+        symbols, last = [0], True
+        for c in text or "":
+            letter = c.isalpha()
+            if letter or last:
+                symbols.append(int(p.symbol[ord(c)]) if letter else 0)
+            last = letter
+        symbols = [0, *symbols[2 if len(symbols) > 1 and not symbols[1] else 1 :], 0]
+        total = np.zeros(langid.DIMENSIONS)
+        for g, n in collections.Counter(zip(symbols, symbols[1:], symbols[2:], strict=False)).items():
+            if g not in grams:
+                grams[g] = np.prod([p.letters[s][p.places[k]].astype(float) for k, s in enumerate(g)], axis=0)
+            total += n * grams[g]
+        return total
+
+    docs = common.table(spark, DATA, "documents").collect()
+    made = {r.doc_id: bundle(r.text) for r in docs if any(c.isalpha() for c in r.text or "")}
+    sums = collections.defaultdict(float)
+    for r in docs:
+        if r.doc_id in made and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            sums[r.lang] += made[r.doc_id] / np.linalg.norm(made[r.doc_id])
+    for r in q.op8_language_id(spark, DATA).collect():
+        if r.doc_id not in made:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosines = {lang: float(made[r.doc_id] @ v / np.linalg.norm(made[r.doc_id]) / np.linalg.norm(v)) for lang, v in sums.items()}
+        assert abs(max(0.0, max(cosines.values())) - r.score) < 1e-4 and cosines[r.lang_pred] > max(cosines.values()) - 1e-4
 
 
 def test_bundle_is_bound_and_permuted():
@@ -959,7 +1004,30 @@ def test_pipeline_drops_unlearned_scripts(spark):
     known = common.table(spark, DATA, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     docs = known.unionByName(spark.createDataFrame([(-i, t, None, "s", len(t)) for i, t in enumerate(made, 1)], DOCS))
     kept = [r.doc_id for r in cp.language(spark, docs, DATA).collect()]
-    assert not [i for i in kept if i < 0] and len(kept) == known.filter(r"text rlike '\\p{L}'").count()
+    assert not [i for i in kept if i < 0] and len(made) == 40 and len(kept) == known.filter(r"text rlike '\\p{L}'").count()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_what_each_stage_drops(spark):
+    """Planted rows fall at the stage meant for them, and nothing else does."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(1)
+    good = [(i, r.text) for i, r in enumerate(common.table(spark, DATA, "documents").filter("lang = 'en' and length(text) > 400").dropDuplicates(["text"]).orderBy("doc_id").limit(12).collect())]
+    first = {a for a, _, c in brute_components(good) if a == c}
+    items = [r.text for r in common.table(spark, DATA, "benchmark").orderBy("item_id").limit(3).collect()]
+    good = [(i, t) for i, t in good if i in first and not any(r.text.lower() in t.lower() for r in common.table(spark, DATA, "benchmark").collect())]
+    foreign = [(100 + i, "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(200))) for i in range(3)] + [(110, "12 34 !!"), (111, ""), (112, None)]
+    copies = [(200 + i, t) for i, t in good[:4]]
+    leaks = [(300 + i, f"{good[5][1].split('.')[0]} number {i}. {x}") for i, x in enumerate(items)]
+    docs = documents(spark, good + foreign + copies + leaks)
+    dropped, before = [], {i for i, _ in good + foreign + copies + leaks}
+    for _, stage in cp.STAGES[:-1]:
+        docs = common.materialize(stage(spark, docs, DATA), "test")
+        now = {r.doc_id for r in docs.collect()}
+        dropped.append(before - now)
+        before = now
+    assert dropped == [{i for i, _ in foreign}, {i for i, _ in copies}, {i for i, _ in leaks}] and before == {i for i, _ in good}
 
 
 def test_pipeline_stages_take_awkward_rows(spark):

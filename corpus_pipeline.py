@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import decontam, jaccard, langid, packing
-from spindrift.llm.common import few_files, materialize, table
+from spindrift.llm.common import Scratch, few_files, table
 from spindrift.llm.tokens import default_tokenizer
 
 
+#: Ids that are broadcast at most (8 bytes each, some 100 MB as a hash table on an executor).
+BROADCAST_IDS = 2_000_000
+
+
 def unused(docs: DataFrame, name: str) -> str:
     """The name, with underscores in front until no column has it."""
     while name.lower() in {c.lower() for c in docs.columns}:
@@ -24,37 +28,45 @@ def unused(docs: DataFrame, name: str) -> str:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language: those without a letter, or unlike every language, go.
 
-    Unlike is a best cosine below langid.REJECT_BELOW, or for texts too short to tell (below langid.CERTAIN letters) none above 0.
-
-    Where no row has a lang, nothing is known of languages and only documents without a letter go.
+    Unlike is a best cosine below langid.REJECT_BELOW. Texts of fewer than langid.CERTAIN letters are too short to tell
+    and stay. Where no row has a lang, nothing is known of languages and only documents without a letter go. Null and
+    empty texts have no letter and go; null ids, ties and repeated rows go by their text as any other.
     """
     prototypes = langid.train(docs)
-    if not prototypes:
+    if prototypes.isEmpty():
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     pred, score = unused(docs, "_lang_pred"), unused(docs, "_score")
     found = langid.identify(docs, prototypes, (pred, score))
     short = F.length(F.regexp_replace("text", r"\P{L}+", "")) < langid.CERTAIN
-    known = (F.col(score) >= langid.REJECT_BELOW) | (F.col(score) > 0) & short
+    known = (F.col(score) >= langid.REJECT_BELOW) | short
     return few_files(found.filter((F.col(pred) != "und") & known).select(*docs.columns), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, the one of the smallest doc_id; rows without a doc_id stay."""
-    rows = unused(docs, "_rows")
-    first = jaccard.jaccard_components(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias(rows))
-    # ids are the build side, so that texts are shuffled once and never sorted, but for those of repeated ids
-    joined = docs.join(first.hint("shuffle_hash"), "doc_id")
-    kept = joined.filter(F.col(rows) == 1).unionByName(joined.filter(F.col(rows) > 1).dropDuplicates(["doc_id"]))
+    """One document of each near-duplicate component, the one of the smallest doc_id.
+
+    Of rows that repeat a doc_id one stays (any of them), rows without a doc_id all do, and so do documents without a
+    word, as they are near-duplicates of nothing.
+    """
+    found = jaccard.jaccard_components(docs)
+    kept = docs.join(_kept_ids(docs, found.filter("doc_id = component_id").select("doc_id").distinct()), "doc_id", "left_semi")
+    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
     return few_files(kept.select(*docs.columns).unionByName(docs.filter("doc_id is null")), docs)
 
 
+def _kept_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ids, broadcast if they are few by count, so that texts are not shuffled; else the build side of the shuffled join."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, as it is or with other values; each row goes by its text alone (nulls and empty texts stay)."""
     return few_files(decontam.clean(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents left, in sequences of at most 2048 ids."""
+    """All documents left, in sequences of at most 2048 ids (null and empty texts as the end id alone, repeated rows each)."""
     return few_files(packing.pack_documents(docs, default_tokenizer(), capacity=2048, end_id=1), docs)
 
 
@@ -64,9 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs.select("doc_id", "text", "lang", "source", "n_chars"), "pipeline")
-    return docs
+    for _, stage in STAGES[:-1]:
+        after = scratch.table(stage(spark, docs, sf_dir).select("doc_id", "text", "lang", "source", "n_chars"), "pipeline")
+        scratch.drop(docs)
+        docs = after
+    return scratch.keep(STAGES[-1][1](spark, docs, sf_dir), "pipeline")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN_DIR: dict[str, str] = {}
 #: Bytes of an Arrow batch between the JVM and Python: batches of long texts hold fewer rows.
 BATCH_BYTES = 4 << 20
+#: Rows of a batch of a Parquet scan.
+SCAN_ROWS = 512
 #: Bytes of input below which no table derived from it gets one more file.
 LEAST_FILE = 32 << 20
 #: What a Python worker remembers between tasks, by operator: how to forget it.
@@ -25,11 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes, unless the session bounds them more tightly."""
+    """Bounds Arrow batches by bytes and the scan's batches by rows, unless the session bounds them more tightly.
+
+    A scan keeps arrays as large as the texts of its largest batch, so batches of few rows bound what long texts take.
+    The settings stay with the session, as plans are run after the operator returns.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key).rstrip("bB")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key)) > SCAN_ROWS:
+        spark.conf.set(key, str(SCAN_ROWS))
 
 
 def forget_others(name: str) -> None:
@@ -37,6 +47,16 @@ def forget_others(name: str) -> None:
     for other, forget in CACHES.items():
         if other != name:
             forget()
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system, which allocators keep from task to task otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries do without
+        pass
 
 
 def shared_dir(spark: SparkSession) -> str:

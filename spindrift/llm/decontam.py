@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, file_count, forget_others, slices, text_bytes
+from .common import Scratch, bound_batches, file_count, forget_others, give_back, slices, text_bytes
 from .htmltext import STOPWORDS
 from .shingles import U, mix, token_hashes, windows
 
@@ -292,7 +292,7 @@ def _hit_rows(docs: DataFrame, lengths: list[int], power: int, words: np.ndarray
         forget_others("shingles")
         filled = shared.value
         number = TaskContext.get().partitionId() << 36
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 1 << 20):
             made = tokens(part.column("text"))
             texts, keys = [], []
             for length in lengths:
@@ -325,6 +325,7 @@ def _hit_rows(docs: DataFrame, lengths: list[int], power: int, words: np.ndarray
                 names=[x.split()[0] for x in schema.split(", ")],
             )
             number += len(hit)
+        give_back()
 
     return docs.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")).mapInArrow(run, schema)
 
@@ -353,6 +354,7 @@ def _found(docs: DataFrame, bench: DataFrame, window: int, coverage: float, scra
                         rows[name].append(value)
             kinds = {"doc": pa.int64(), "item": pa.int64(), "n_windows": pa.int64(), "reparameterised": pa.bool_()}
             yield pa.RecordBatch.from_arrays([pa.array(rows[c], k) for c, k in kinds.items()], names=list(kinds))
+        give_back()
 
     open_pairs = pairs.filter(F.col("shaped") & (F.col("n_windows") < coverage * F.col("count"))).select("doc", "item")
     open_pairs = open_pairs.join(item.select("item", "item_tokens"), "item").join(hits.select("doc", "tokens"), "doc")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, file_count, forget_others, slices
+from .common import Scratch, bound_batches, file_count, forget_others, give_back, slices
 from .shingles import U, mix, shingle_sets
 
 WORDS = 5
@@ -52,9 +52,9 @@ TILE = 2048
 #: Tiles of up to so many rows are compared many at once.
 SMALL_TILE = 24
 #: Postings that a task holds before it sends them, that a range of hashes holds about, and that are read at once.
-FLUSH = 2_000_000
-RANGE = 2_000_000
-CHUNK = 4_000_000
+FLUSH = 1_000_000
+RANGE = 1_000_000
+CHUNK = 2_000_000
 #: Slots of the filter by which texts of candidates are picked (1 MB, whatever the input).
 SLOTS = (1 << 23) - 15
 TEXT_SLICE = 2 << 20
@@ -128,6 +128,7 @@ def set_profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 held, size, rows = [], 0, 0
         if held:
             yield frequent(held, rows)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, key long, bitmap binary")
 
@@ -199,14 +200,21 @@ def _post_blocks(docs: DataFrame, heavy: np.ndarray, bits: int, words: int, perc
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def send() -> pa.RecordBatch:
+        def send() -> Iterator[pa.RecordBatch]:
             h, owner = (np.concatenate([x[k] for x in held]) for k in range(2))
             held.clear()
             order = np.argsort(h)
             h, owner = h[order], owner[order]
             edges = np.searchsorted(h >> U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            blocks = {r: pack_block(h[a:b] << U(bits), owner[a:b]) for r, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a}
-            return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array(list(blocks.values()), pa.binary())], names=["range", "block"])
+            names, blocks, held_bytes = [], [], 0
+            for r, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                if b > a:
+                    names.append(r)
+                    blocks.append(pack_block(h[a:b] << U(bits), owner[a:b]))
+                    held_bytes += len(blocks[-1])
+                if names and (held_bytes >= TEXT_SLICE or r + 1 == 1 << bits):
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blocks, pa.binary())], names=["range", "block"])
+                    names, blocks, held_bytes = [], [], 0
 
         for part in slices(batches, "text", TEXT_SLICE):
             flat, counts = shingle_sets(part.column("text"), words)
@@ -223,10 +231,11 @@ def _post_blocks(docs: DataFrame, heavy: np.ndarray, bits: int, words: int, perc
                 held.append((h, keys[owner >> 1] | (owner & 1).astype(np.uint64)))
                 size += len(h)
             if size >= FLUSH:
-                yield send()
+                yield from send()
                 size = 0
         if size:
-            yield send()
+            yield from send()
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "range int, block binary")
 
@@ -306,8 +315,8 @@ def candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         held[:] = [later]
         made = np.concatenate([pairs, members], axis=1).view(np.int64)
         kind = np.repeat([0, 1], [pairs.shape[1], members.shape[1]])
-        for at in range(0, len(kind), 250_000):
-            part = slice(at, at + 250_000)
+        for at in range(0, len(kind), 100_000):
+            part = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(kind[part], pa.int32()), pa.array(made[0, part], pa.int64()), pa.array(made[1, part], pa.int64())], names=["kind", "a", "b"])
 
     for batch in batches:
@@ -325,6 +334,8 @@ def candidate_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 size = 0
     if held:
         yield from settle()
+    held.clear()
+    give_back()
 
 
 def most_apart(total: np.ndarray, percent: int) -> np.ndarray:
@@ -417,6 +428,7 @@ def tile_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         open_rows.append([x[cut:] for x in now])
     if open_rows:
         yield from settle([np.concatenate([x[k] for x in open_rows]) for k in range(8)])
+    give_back()
 
 
 def _second_round(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -467,6 +479,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             flat, counts = shingle_sets(part.column("text"), words)
             ends = np.cumsum(counts)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([flat[b - n : b].tobytes() for b, n in zip(ends.tolist(), counts.tolist(), strict=True)], pa.binary())], names=["doc", "set"])
+        give_back()
 
     found = docs.select("doc_id", "text").mapInArrow(run, "doc long, set binary")
     return found.join(wanted.hint("shuffle_hash"), "doc", "left_semi")
@@ -489,6 +502,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
                 both = int((y[at] == x).sum()) if len(y) else 0
                 keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     left = sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b"))

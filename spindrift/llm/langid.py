@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, bound_batches, file_count, forget_others, materialize, slices, text_bytes
+from .common import CACHES, bound_batches, file_count, forget_others, give_back, materialize, slices, text_bytes
 
 DIMENSIONS = 1024
 #: Letters in an n-gram.
@@ -191,6 +191,7 @@ def _nearest(docs: DataFrame, langs: list[str], unit: np.ndarray, names: tuple[s
                     if best[i] == "und" or float(cosine[k]) > score[i]:
                         best[i], score[i] = known[k], float(cosine[k])
             yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(best, pa.string()), pa.array(score, pa.float64())], names=part.schema.names)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

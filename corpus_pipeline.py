@@ -49,15 +49,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     word, as they are near-duplicates of nothing.
     """
     found = jaccard.jaccard_components(docs)
-    kept = docs.join(_kept_ids(docs, found.filter("doc_id = component_id").select("doc_id").distinct()), "doc_id", "left_semi")
+    ids = found.filter("doc_id = component_id").select("doc_id").distinct()
+    if ids.count() <= BROADCAST_IDS:  # texts are not shuffled
+        first, given = unused(docs, "_first"), F.col(unused(docs, "_id"))
+        ids = F.broadcast(ids.select(F.col("doc_id").alias(unused(docs, "_id")), F.lit(True).alias(first)))
+        kept = docs.join(ids, docs["doc_id"] == given, "left").filter(docs["doc_id"].isNull() | F.col(first)).select(*[docs[c] for c in docs.columns])
+    else:
+        kept = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
     if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return few_files(kept.select(*docs.columns).unionByName(docs.filter("doc_id is null")), docs)
-
-
-def _kept_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The ids, broadcast if they are few by count, so that texts are not shuffled; else the build side of the shuffled join."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    return few_files(kept, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

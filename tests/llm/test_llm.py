@@ -1008,10 +1008,12 @@ def test_pipeline_drops_unlearned_scripts(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-def test_what_each_stage_drops(spark):
+@pytest.mark.parametrize("broadcast", [2_000_000, 0])
+def test_what_each_stage_drops(spark, monkeypatch, broadcast):
     """Planted rows fall at the stage meant for them, and nothing else does."""
     import corpus_pipeline as cp
 
+    monkeypatch.setattr(cp, "BROADCAST_IDS", broadcast)
     rng = random.Random(1)
     good = [(i, r.text) for i, r in enumerate(common.table(spark, DATA, "documents").filter("lang = 'en' and length(text) > 400").dropDuplicates(["text"]).orderBy("doc_id").limit(12).collect())]
     first = {a for a, _, c in brute_components(good) if a == c}

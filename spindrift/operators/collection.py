@@ -1,14 +1,17 @@
 """Collections as Parquet tables: schema catalog, validation, inserts and upserts, tombstones, change-log folds, migration.
 
-A collection is a folder of immutable versions; a change writes the next version and then moves a pointer, so readers
-always see a whole table. The catalog is a small JSON table, one row per collection, field and tenant.
+A collection is a folder of immutable files and numbered commits. A change writes its own rows alone (added, replaced or
+deleted ones) and then the commit of the next number, which fails if another writer has made it; readers fold the changes
+since the last compaction, so they always see a whole table. The catalog is a small JSON file for each collection.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -124,6 +127,10 @@ def assign_ids(new: DataFrame, next_id: int, order: list[str]) -> DataFrame:
     return numbered(new, order, "id").withColumn("id", F.col("id") + F.lit(next_id))
 
 
+class Conflict(ValueError):
+    """Another writer has made the commit."""
+
+
 class Manager:
     """Collections of tenants under one folder."""
 
@@ -188,43 +195,89 @@ class Manager:
         schema.metadata |= metadata
         self._write(json.dumps(asdict(schema)), name, "schema.json")
 
+    def _commits(self, name: str) -> list[int]:
+        p, fs = self._path(name, "commits")
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(p)) if fs.exists(p) else []
+
     def version(self, name: str) -> int:
-        return int(self._read(name, "current") or 0)
+        return max(self._commits(name), default=0)
+
+    def _commit(self, name: str, df: DataFrame, version: int, kind: str = "base") -> None:
+        """Rows of a change (kind: base, add, change), then its commit, which only one writer can make."""
+        folder = f"v{version}-{uuid.uuid4().hex[:12]}"
+        deleted = F.lit(False) if "_deleted" not in df.columns else F.col("_deleted")
+        df.withColumn("_deleted", deleted).write.parquet(self._path(name, folder)[0].toString())
+        p, fs = self._path(name, "commits", str(version))
+        fs.mkdirs(p.getParent())
+        try:
+            stream = fs.create(p, False)  # never over another one
+        except Exception as e:  # noqa: BLE001  (file systems raise what they like)
+            fs.delete(self._path(name, folder)[0], True)
+            raise Conflict(f"version {version} of {name} exists") from e
+        stream.write(json.dumps({"folder": folder, "kind": kind}).encode())
+        stream.close()
 
-    def _commit(self, name: str, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(self._path(name, f"v{version}")[0].toString())
-        self._write(str(version), name, "current")
+    def _history(self, name: str, version: int | None) -> list[tuple[int, dict]]:
+        """Commits from the last base up to a version."""
+        kept = [n for n in self._commits(name) if version is None or n <= version]
+        out: list[tuple[int, dict]] = []
+        for n in reversed(kept):
+            out.insert(0, (n, json.loads(self._read(name, "commits", str(n)))))
+            if out[0][1]["kind"] == "base":
+                return out
+        raise KeyError(f"{name} has no version {version}")
 
     def docs(self, name: str, version: int | None = None) -> DataFrame:
-        """The current (or an older) version of a collection."""
-        schema = self.schema(name)
-        return self.spark.read.schema(schema.ddl()).parquet(self._path(name, f"v{self.version(name) if version is None else version}")[0].toString())
+        """The current (or an older) version of a collection: of an id that a change names, the rows of its last change."""
+        history = self._history(name, version)
+        ddl = self.schema(name).ddl()
+        parts = [self.spark.read.schema(ddl + ", _deleted boolean").parquet(self._path(name, h["folder"])[0].toString()).withColumn("_v", F.lit(n)) for n, h in history]
+        rows = reduce(DataFrame.unionByName, parts)
+        changed = [p.select("id", "_v") for p, (_, h) in zip(parts, history, strict=True) if h["kind"] == "change"]
+        if changed:  # additions alone need no join
+            last = reduce(DataFrame.unionByName, changed).groupBy("id").agg(F.max("_v").alias("_last"))
+            rows = rows.join(last, "id", "left").filter(F.col("_last").isNull() | (F.col("_v") >= F.col("_last"))).filter(~F.col("_deleted"))
+        return rows.select([c for c in parts[0].columns if c not in ("_deleted", "_v")])
 
     def add(self, name: str, new: DataFrame, order: list[str] | None = None) -> None:
         """Append rows; without an id they get the next ones, in the given order. All rows are validated first, none is added otherwise."""
-        schema, docs = self.schema(name), self.docs(name)
+        schema, docs, version = self.schema(name), self.docs(name), self.version(name)
         if "id" not in new.columns:
             new = assign_ids(new, (docs.agg(F.max("id")).first()[0] or 0) + 1, order or new.columns[:1])
         bad = invalid_rows(new, schema).select("id", "reason").limit(1).collect()
         if bad:
             raise ValueError(f"row {bad[0].id}: {bad[0].reason}")
-        self._commit(name, docs.unionByName(new.select(docs.columns)), self.version(name) + 1)
+        self._commit(name, new.select(docs.columns), version + 1, "add")
 
     def upsert(self, name: str, new: DataFrame) -> None:
-        """Rows replace those of the same id (bulk insert does so, too)."""
-        docs = self.docs(name)
-        self._commit(name, upsert(docs, new.select(docs.columns)), self.version(name) + 1)
+        """Rows replace those of the same id (bulk insert does so, too); only they are written."""
+        version = self.version(name)
+        self._commit(name, new.select(self.docs(name).columns), version + 1, "change")
 
     def delete(self, name: str, ids: DataFrame) -> None:
-        self._commit(name, without(self.docs(name), ids), self.version(name) + 1)
+        """Tombstones for the ids; only they are written."""
+        version, docs = self.version(name), self.docs(name)
+        gone = ids.select(F.col("id").cast("long").alias("id")).distinct()
+        blank = [F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns if c != "id"]
+        self._commit(name, gone.select("id", *blank, F.lit(True).alias("_deleted")), version + 1, "change")
 
     def compact(self, name: str, keep: int = 1) -> list[str]:
-        """Drop all versions but the last `keep`."""
-        p, fs = self._path(name)
-        versions = sorted((s.getPath().getName() for s in fs.listStatus(p) if re.match(r"^v\d+$", s.getPath().getName())), key=lambda x: int(x[1:]))
-        gone = versions[: -keep or None]
-        for v in gone:
-            fs.delete(self._path(name, v)[0], True)
+        """Write the current version as a base of its own (same number, same rows) and drop all versions but the last `keep`; the names of what went."""
+        commits = self._commits(name)
+        number, held = self._history(name, None)[-1]
+        if held["kind"] != "base":
+            folder = f"v{number}-{uuid.uuid4().hex[:12]}"
+            self.docs(name).withColumn("_deleted", F.lit(False)).write.parquet(self._path(name, folder)[0].toString())
+            self._write(json.dumps({"folder": folder, "kind": "base"}), name, "commits", str(number))
+        # an older version that is kept needs its own base and all from there on
+        first = self._history(name, commits[-min(keep, len(commits))])[0][0]
+        (p, fs), gone = self._path(name), []
+        for n in [n for n in self._commits(name) if n < first]:
+            fs.delete(self._path(name, json.loads(self._read(name, "commits", str(n)))["folder"])[0], True)
+            fs.delete(self._path(name, "commits", str(n))[0], True)
+            gone.append(f"v{n}")
+        if held["kind"] != "base":
+            fs.delete(self._path(name, held["folder"])[0], True)
         return gone
 
     def stats(self) -> DataFrame:

@@ -6,20 +6,19 @@ checkpoint() in the cluster's checkpoint folder.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from ..session import shared_dir
+from .collection import numbered
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df checkpointed in the shared folder (spark.checkpoint.dir; one of our own only where that is unset)."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     held = df.persist()  # a checkpoint runs its plan twice
     done = held.checkpoint()
     held.unpersist()
@@ -182,8 +181,18 @@ def edges_to(edges: DataFrame, node: str) -> DataFrame:
 
 
 def csr(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, first (offset of its neighbours) and neighbours, in id order: compressed rows of the adjacency matrix."""
-    near = edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
-    rows = nodes.select("id").distinct().join(near, "id", "left").select("id", F.coalesce("neighbours", F.array().cast("array<string>")).alias("neighbours"))
-    sizes = rows.select("id", F.size("neighbours").cast("long").alias("n"))
-    return rows.join(sizes.select("id", (F.sum("n").over(Window.orderBy("id")) - F.col("n")).alias("first")), "id")
+    """id, first (offset of its neighbours) and neighbours, in id order: compressed rows of the adjacency matrix.
+
+    Offsets come from one edge list numbered in (src, dst) order, range by range, so no task holds the graph; a row's
+    neighbours are one cell, as the form asks for.
+    """
+    known = nodes.select("id").distinct()
+    rows = numbered(edges.select("src", "dst").join(known.withColumnRenamed("id", "src"), "src", "left_semi"), ["src", "dst"])
+    near = rows.groupBy(F.col("src").alias("id")).agg(F.min("n").alias("first"), F.sort_array(F.collect_list("dst")).alias("neighbours"))
+    # a node without edges starts where the next one with edges does: ids and edge ends are numbered together
+    marks = known.withColumn("dst", F.lit(None).cast("string")).unionByName(rows.select(F.col("src").alias("id"), "dst"))
+    places = numbered(marks, ["id", "dst"], "at").filter("dst is null")
+    ranks = numbered(known, ["id"], "rank")
+    starts = places.join(ranks, "id").select("id", (F.col("at") - F.col("rank")).alias("start"))
+    out = starts.join(near, "id", "left")
+    return out.select("id", F.coalesce("neighbours", F.array().cast("array<string>")).alias("neighbours"), F.coalesce("first", "start").alias("first"))

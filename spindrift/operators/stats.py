@@ -71,7 +71,7 @@ def audit(events: DataFrame, start: Column | None = None, end: Column | None = N
     rows = events
     for use, test in ((start, lambda: F.col("ts") >= start), (end, lambda: F.col("ts") <= end), (subject, lambda: F.col("subject") == subject), (kinds, lambda: F.col("type").isin(kinds)), (min_severity, lambda: F.col("severity") >= min_severity), (outcome, lambda: F.col("outcome") == outcome), (ip, lambda: F.col("ip") == ip)):
         rows = rows.filter(test()) if use is not None else rows
-    return rows.orderBy(F.desc("ts"), F.desc("id")).offset(offset).limit(min(limit, 10_000)), rows.count()
+    return rows.orderBy(F.desc("ts"), F.desc("id")).offset(offset).limit(limit), rows.count()
 
 
 # -- id sets ------------------------------------------------------------------------------------------------------------

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from ..functions import vectors as v
 from ..operators import collection as cl
 from ..operators import feedback as fb
 from ..operators import distribution, graph, indexes, ivf, kg, migration, quantize, search, stats
-from ..session import table
+from ..session import scratch_path, table
 from ..sources import files
 from ..streaming import changes as ch
 from .search_queries import Q0, vector_of
@@ -347,7 +345,7 @@ def move_collection(spark, d):
 @query()
 def stream_changelog(spark, d):
     """The change log applied as a stream of files, version by version."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spindrift-")) + f"/changes-{np.random.default_rng().integers(1 << 60)}"
+    root = scratch_path(spark, "changes")
     rows = _log(spark, d).selectExpr("seq", "op", "id", "cast(value as string) as doc", "cast(null as map<string,string>) as meta", "cast(null as array<float>) as vec", "'c' as coll", "'t' as tenant", "seq as time")
     rows.repartition(4, F.col("seq") % 4).write.json(f"{root}/log")
     ch.follow(ch.read_changes(spark, f"{root}/log", 2), f"{root}/table", f"{root}/checkpoint").awaitTermination()

@@ -247,6 +247,34 @@ def test_manager(spark, tmp_path):
     assert m.list() == []
 
 
+def test_writers_append_and_conflicts_are_seen(spark, tmp_path):
+    m = cl.Manager(spark, f"file://{tmp_path}/root")
+    m.create(cl.Schema("c", [cl.VectorField("v", 1)]))
+    rows = lambda *xs: spark.createDataFrame([(i, [float(x)], "{}") for i, x in xs], "id long, v array<float>, metadata string")
+    m.add("c", rows((1, 1), (2, 2), (3, 3)))
+    m.upsert("c", rows((2, 20), (4, 40)))
+    m.delete("c", spark.createDataFrame([(3,), (3,), (9,)], "id long"))
+    m.add("c", rows((5, 5)))
+    m.upsert("c", rows((3, 30)))
+    got = lambda v=None: {r.id: r.v[0] for r in m.docs("c", v).collect()}
+    assert got() == {1: 1.0, 2: 20.0, 3: 30.0, 4: 40.0, 5: 5.0} and got(1) == {1: 1.0, 2: 2.0, 3: 3.0} and got(3) == {1: 1.0, 2: 20.0, 4: 40.0}
+    written = [x for x in (tmp_path / "root" / "default" / "c").iterdir() if x.name.startswith("v5-")]
+    assert spark.read.parquet(f"file://{written[0]}").count() == 1  # a change writes its own rows
+    with pytest.raises(cl.Conflict):  # another writer was first
+        m._commit("c", rows((7, 7)), 5, "add")
+    assert m.compact("c", keep=2) == [] and got() == {1: 1.0, 2: 20.0, 3: 30.0, 4: 40.0, 5: 5.0} and got(4) == {1: 1.0, 2: 20.0, 4: 40.0, 5: 5.0}
+    assert m.compact("c") == ["v0", "v1", "v2", "v3", "v4"] and got() == {1: 1.0, 2: 20.0, 3: 30.0, 4: 40.0, 5: 5.0}
+    with pytest.raises(KeyError):
+        m.docs("c", 2)
+
+
+def test_csr_offsets(spark):
+    nodes = spark.createDataFrame([(c,) for c in "abcdef"], "id string")
+    edges = spark.createDataFrame([("b", "a"), ("b", "c"), ("e", "a"), ("b", "a"), ("x", "a")], "src string, dst string")
+    got = {r.id: (r.first, list(r.neighbours)) for r in graph.csr(nodes, edges).collect()}
+    assert got == {"a": (0, []), "b": (0, ["a", "a", "c"]), "c": (3, []), "d": (3, []), "e": (3, ["a"]), "f": (4, [])}
+
+
 def test_binary_sources(spark, tmp_path):
     rows = np.arange(12, dtype=np.float32).reshape(4, 3)
     (tmp_path / "a.fvecs").write_bytes(files.fvecs_bytes(rows))

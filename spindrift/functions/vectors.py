@@ -6,6 +6,8 @@ and `dim`. Expressions stay on the JVM, so Catalyst can push filters below them
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -14,10 +16,16 @@ from pyspark.sql import functions as F
 Vector = Column | str | list
 
 
+def constant(values, kind: str = "array<double>") -> Column:
+    """Numbers as one literal, nested as `kind` says: the optimizer folds it, so a plan has one node whatever their number."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def vec(v: Vector) -> Column:
     """A vector column, a column's name or a literal list as array<double>."""
     if isinstance(v, (list, tuple)):
-        return F.array(*[F.lit(float(x)) for x in v])
+        values = [float(x) for x in v]
+        return constant(values) if all(map(math.isfinite, values)) else F.array(*[F.lit(x) for x in values])
     return (F.col(v) if isinstance(v, str) else v).cast("array<double>")
 
 

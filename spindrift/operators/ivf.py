@@ -27,9 +27,13 @@ def initial_centroids(df: DataFrame, k: int, id_col: str = "id", vector: str = "
     return [[float(x) for x in r[vector]] for r in rows]
 
 
+def _book(centroids: list[list[float]]) -> Column:
+    return v.constant([[float(x) for x in c] for c in centroids], "array<array<double>>")
+
+
 def assign(df: DataFrame, centroids: list[list[float]], metric: str = "l2_squared", vector: str = "embedding", name: str = "cluster_id") -> DataFrame:
     """df with its nearest centroid's number, the first of equals."""
-    book = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
+    book = _book(centroids)
     near = F.transform(book, lambda c, i: F.struct(v.rounded(v.DISTANCES[metric](vector, c), 9).alias("d"), i.alias("i")))
     return df.withColumn(name, F.array_min(near)["i"].cast("long"))
 
@@ -82,7 +86,7 @@ def search(index: DataFrame, centroids: list[list[float]], query: list[float], k
 
 def search_batch(index: DataFrame, centroids: list[list[float]], queries: DataFrame, k: int, nprobe: int = 10, metric: str = "l2_squared", query_id: str = "query_id", query_vector: str = "query", id_col: str = "id", vector: str = "embedding") -> DataFrame:
     """Many queries: each is exploded to its probed clusters and joined with the rows of those clusters only; hot clusters are split by adaptive execution."""
-    book = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
+    book = _book(centroids)
     near = F.slice(F.array_sort(F.transform(book, lambda c, i: F.struct(v.rounded(v.DISTANCES[metric](query_vector, c), 9).alias("d"), i.alias("i")))), 1, nprobe)
     asked = queries.select(query_id, query_vector, F.explode(near).alias("p")).select(query_id, query_vector, F.col("p.i").cast("long").alias("cluster_id"))
     rows = index.join(asked, "cluster_id").select(query_id, id_col, v.rounded(v.DISTANCES[metric](vector, query_vector)).alias("distance"))
@@ -129,18 +133,25 @@ def binary_search(index: DataFrame, centroids: list[list[float]], thresholds: di
 
 
 def fit_pq(df: DataFrame, m: int, k: int, rounds: int = LLOYD_ROUNDS, id_col: str = "id", vector: str = "embedding") -> quantize.Codebook:
-    """A codebook of m subspaces by k-means in each."""
-    width = df.select(F.size(vector).alias("n")).first().n // m
-    books = []
-    for j in range(m):
-        part = df.select(id_col, F.slice(v.vec(vector), j * width + 1, width).alias("part"))
-        books.append(kmeans(part, k, rounds, id_col, "part"))
-    return quantize.Codebook(np.array(books))
+    """A codebook of m subspaces by k-means over all rows in each, all subspaces in one job a round; an empty cluster becomes a zero vector."""
+    start = np.array(initial_centroids(df, k, id_col, vector))
+    width = start.shape[1] // m
+    centroids = start[:, : m * width].reshape(len(start), m, width).transpose(1, 0, 2)
+    for _ in range(rounds):
+        rows = df.select(quantize.Codebook(centroids).encode(vector).alias("codes"), v.vec(vector).alias("vector")).select("codes", F.posexplode("vector").alias("pos", "x"))
+        means = rows.groupBy("pos", F.get("codes", F.floor(F.col("pos") / width).cast("int")).alias("c")).agg(v.rounded(F.avg("x"), 9).alias("mean"))
+        after = np.zeros_like(centroids)
+        for r in means.filter(F.col("pos") < m * width).collect():  # m * width * k numbers
+            after[r.pos // width, r.c, r.pos % width] = r.mean
+        if np.array_equal(after, centroids):
+            break
+        centroids = after
+    return quantize.Codebook(centroids)
 
 
 def residuals(index: DataFrame, centroids: list[list[float]], vector: str = "embedding") -> DataFrame:
     """index with each row's vector less its centroid."""
-    book = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
+    book = _book(centroids)
     return index.withColumn("residual", F.zip_with(v.vec(vector), F.get(book, F.col("cluster_id").cast("int")), lambda x, c: x - c))
 
 

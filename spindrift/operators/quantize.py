@@ -18,7 +18,8 @@ from ..functions import vectors as v
 
 
 def _lits(values) -> Column:
-    return F.array(*[F.lit(float(x)) for x in values])
+    return v.constant([float(x) for x in values])
+
 
 
 # -- half floats: mantissas are cut off, subnormal halves are zero, overflow is infinite --------------------------------
@@ -143,14 +144,14 @@ class Codebook:
         codes = []
         for j in range(self.m):
             part = F.slice(x, j * self.width + 1, self.width)
-            book = F.array(*[_lits(c) for c in self.centroids[j]])
+            book = v.constant(self.centroids[j].tolist(), "array<array<double>>")
             near = F.transform(book, _to(part))
             codes.append(F.array_min(near)["i"])
         return F.array(*codes)
 
     def decode(self, codes: str | Column) -> Column:
         codes = F.col(codes) if isinstance(codes, str) else codes
-        return F.flatten(F.array(*[F.get(F.array(*[_lits(c) for c in self.centroids[j]]), F.get(codes, j)) for j in range(self.m)]))
+        return F.flatten(F.array(*[F.get(v.constant(self.centroids[j].tolist(), "array<array<double>>"), F.get(codes, j)) for j in range(self.m)]))
 
     def table(self, query: list[float]) -> np.ndarray:
         """Squared distance of each subquery to each centroid."""
@@ -170,7 +171,7 @@ class Codebook:
         low = table.min(axis=1, keepdims=True)
         scale = np.maximum(table.max(axis=1, keepdims=True) - low, 1e-30).max() / 255.0
         small = np.floor((table - low) / scale + 0.5).astype(int)
-        looked = [F.get(F.array(*[F.lit(int(x)) for x in row]), F.get(codes, j)) for j, row in enumerate(small)]
+        looked = [F.get(v.constant(row.tolist(), "array<int>"), F.get(codes, j)) for j, row in enumerate(small)]
         return sum(looked[1:], looked[0]) * F.lit(float(scale)) + F.lit(float(low.sum()))
 
 

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as v
 
-MAX_TOP_K = 1000
 #: Values (queries x dimensions) of a block of queries that is broadcast at once.
 QUERY_VALUES = 1_000_000
 #: Distances that a task holds at once.

@@ -71,29 +71,47 @@ def rescore(spark, d):
     return quantize.binary_search(e, vector_of(e, 0), quantize.binary_train(e), 10, rescore=100, id_col="vec_id")
 
 
-@query()
+@query("""SELECT vec_id, list_max(list_transform(embedding, lambda x: abs(x - (CASE WHEN abs(x) < pow(2.0, -14) THEN 0.0
+  ELSE sign(x) * floor(abs(x::DOUBLE) / pow(2.0, floor(log2(abs(x::DOUBLE))) - 10)) * pow(2.0, floor(log2(abs(x::DOUBLE))) - 10) END)::FLOAT)::FLOAT)) AS worst FROM embeddings""")
 def quant_fp16(spark, d):
     e = _embeddings(spark, d).select("vec_id", "embedding", quantize.fp16_encode("embedding").alias("code"))
     return e.select("vec_id", F.transform(F.arrays_zip(F.col("embedding").alias("a"), quantize.fp16_decode("code").alias("b")), lambda p: F.abs(p["a"] - p["b"])).alias("e")).select("vec_id", F.array_max("e").alias("worst"))
 
 
-def _fixed_book(e: DataFrame, m: int, k: int) -> quantize.Codebook:
-    """Codebook of the first k rows' subvectors: no fit, so that SQL can follow."""
-    rows = sorted((r.vec_id, list(r.embedding)) for r in e.filter(F.col("vec_id") < k).collect())
-    return quantize.Codebook(np.array([r[1] for r in rows], dtype=np.float64).reshape(k, m, -1).transpose(1, 0, 2))
+#: Rounds of the fits below, few enough for SQL to follow.
+FIT_ROUNDS = 3
 
 
-def _pq_sql(m: int, k: int) -> str:
+def _fit_sql(m: int, k: int, rounds: int = FIT_ROUNDS) -> str:
+    """k-means of each of m subspaces over all rows, round by round: parts (vec_id, j, part), book (j, c, centre) and codes (vec_id, j, code)."""
     w = 64 // m
-    return f"""s AS (SELECT vec_id, unnest(range({m})) AS j, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), parts AS (SELECT vec_id, j, x[(j * {w} + 1):(j * {w} + {w})] AS part FROM s),
-book AS (SELECT j, vec_id AS c, part AS centre FROM parts WHERE vec_id < {k}),
-codes AS (SELECT vec_id, j, arg_min(c, struct_pack(d := d, c := c)) AS code FROM (SELECT p.vec_id, p.j, b.c, round(list_sum(list_transform(list_zip(part, centre), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS d FROM parts p JOIN book b USING (j)) GROUP BY vec_id, j)"""
+    steps = [
+        "n AS (SELECT count(*) AS n FROM embeddings)",
+        "r AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings)",
+        f"parts AS MATERIALIZED (SELECT vec_id, r, j, x[(j * {w} + 1):(j * {w} + {w})] AS part FROM (SELECT *, unnest(range({m})) AS j FROM r))",
+        f"b0 AS MATERIALIZED (SELECT j, r // (n // {k}) AS c, part AS centre FROM parts, n WHERE r % (n // {k}) = 0 AND r < {k} * (n // {k}))",
+    ]
+    near = "(SELECT vec_id, j, arg_min(c, struct_pack(d := d, c := c)) AS code FROM (SELECT p.vec_id, p.j, b.c, round(list_sum(list_transform(list_zip(part, centre), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS d FROM parts p JOIN {book} b USING (j)) GROUP BY vec_id, j)"
+    for t in range(rounds):
+        steps.append(f"a{t} AS MATERIALIZED {near.format(book=f'b{t}')}")
+        steps.append(f"u{t} AS (SELECT j, code AS c, unnest(range({w})) AS pos, unnest(part) AS v FROM parts JOIN a{t} USING (vec_id, j))")
+        steps.append(f"m{t} AS (SELECT j, c, list(mean ORDER BY pos) AS centre FROM (SELECT j, c, pos, round(avg(v), 9) + 0.0 AS mean FROM u{t} GROUP BY ALL) GROUP BY j, c)")
+        steps.append(f"b{t + 1} AS MATERIALIZED (SELECT b.j, b.c, coalesce(m.centre, list_transform(range({w}), lambda i: 0.0::DOUBLE)) AS centre FROM b{t} b LEFT JOIN m{t} m USING (j, c))")
+    return ", ".join([*steps, f"book AS MATERIALIZED (SELECT * FROM b{rounds})", f"codes AS MATERIALIZED {near.format(book='book')}"])
+
+
+def _pq_sql(m: int, k: int) -> str:
+    return _fit_sql(m, k) + ", s AS (SELECT vec_id, j, x FROM parts JOIN r USING (vec_id))"
+
+
+def _book(e: DataFrame, m: int, k: int) -> quantize.Codebook:
+    return ivf.fit_pq(e, m, k, FIT_ROUNDS, "vec_id")
 
 
 @query(f"WITH {_pq_sql(8, 32)} SELECT vec_id, j::INT AS pos, code::INT AS code FROM codes")
 def pq_encode(spark, d):
     e = _embeddings(spark, d)
-    return e.select("vec_id", F.posexplode(_fixed_book(e, 8, 32).encode("embedding")).alias("pos", "code"))
+    return e.select("vec_id", F.posexplode(_book(e, 8, 32).encode("embedding")).alias("pos", "code"))
 
 
 ADC = "adc AS (SELECT c.vec_id, round(sum(list_sum(list_transform(list_zip(q.part, b.centre), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) + 0.0 AS distance FROM codes c JOIN book b ON b.j = c.j AND b.c = c.code JOIN (SELECT j, part FROM parts WHERE vec_id = 40) q ON q.j = c.j GROUP BY c.vec_id)"
@@ -102,14 +120,14 @@ ADC = "adc AS (SELECT c.vec_id, round(sum(list_sum(list_transform(list_zip(q.par
 @query(f"WITH {_pq_sql(8, 32)}, {ADC}, t AS (SELECT *, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM adc) SELECT vec_id, distance, rank FROM t WHERE rank <= 20")
 def pq_adc(spark, d):
     e = _embeddings(spark, d)
-    book = _fixed_book(e, 8, 32)
+    book = _book(e, 8, 32)
     return quantize.pq_search(e.select("vec_id", book.encode("embedding").alias("codes")), book, vector_of(e, 40), 20, "vec_id")
 
 
-@query(f"WITH {_pq_sql(16, 16)}, n AS (SELECT vec_id, j // 2 AS pos, sum(code * CASE j % 2 WHEN 0 THEN 1 ELSE 16 END) AS code FROM codes GROUP BY ALL) SELECT vec_id, pos::INT AS pos, code::INT AS code FROM n")
+@query(f"WITH {_pq_sql(16, 16)}, nib AS (SELECT vec_id, j // 2 AS pos, sum(code * CASE j % 2 WHEN 0 THEN 1 ELSE 16 END) AS code FROM codes GROUP BY ALL) SELECT vec_id, pos::INT AS pos, code::INT AS code FROM nib")
 def pq4_encode(spark, d):
     e = _embeddings(spark, d)
-    book = _fixed_book(e, 16, 16)
+    book = _book(e, 16, 16)
     packed = e.select("vec_id", quantize.pack_nibbles(book.encode("embedding"), 16).alias("packed"))
     back = packed.select("vec_id", "packed", quantize.unpack_nibbles(F.col("packed"), 16).alias("codes"))
     again = back.select("vec_id", quantize.pack_nibbles(F.col("codes"), 16).alias("packed"))
@@ -119,14 +137,17 @@ def pq4_encode(spark, d):
 @query(f"WITH {_pq_sql(16, 16)}, {ADC}, t AS (SELECT *, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM adc) SELECT vec_id, distance, rank FROM t WHERE rank <= 20")
 def pq4_adc(spark, d):
     e = _embeddings(spark, d)
-    book = _fixed_book(e, 16, 16)
+    book = _book(e, 16, 16)
     return quantize.pq_search(e.select("vec_id", book.encode("embedding").alias("codes")), book, vector_of(e, 40), 20, "vec_id")
 
 
-@query()
+@query(f"""WITH {_pq_sql(16, 16)}, {ADC}, t AS (SELECT b.j, b.c, list_sum(list_transform(list_zip(q.part, b.centre), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM book b JOIN parts q ON q.j = b.j WHERE q.vec_id = 40),
+lows AS (SELECT j, min(d) AS low, max(d) - min(d) AS wide FROM t GROUP BY j), scale AS (SELECT greatest(max(wide), 1e-30) / 255.0::DOUBLE AS scale, sum(low) AS base FROM lows),
+small AS (SELECT t.j, t.c, floor((d - low) / scale + 0.5) AS q FROM t JOIN lows USING (j), scale)
+SELECT a.vec_id, a.distance AS exact, round(s.q * scale + base, 6) + 0.0 AS quantised FROM adc a JOIN (SELECT vec_id, sum(q) AS q FROM codes k JOIN small ON small.j = k.j AND small.c = k.code GROUP BY vec_id) s USING (vec_id), scale""")
 def pq4_fast_scan(spark, d):
     e = _embeddings(spark, d)
-    book = _fixed_book(e, 16, 16)
+    book = _book(e, 16, 16)
     coded = e.select("vec_id", book.encode("embedding").alias("codes"))
     q = vector_of(e, 40)
     return coded.select("vec_id", v.rounded(book.adc("codes", q)).alias("exact"), v.rounded(book.fast_scan("codes", q)).alias("quantised"))
@@ -134,14 +155,12 @@ def pq4_fast_scan(spark, d):
 
 # -- clustering ---------------------------------------------------------------------------------------------------------
 
-CENTRES = """n AS (SELECT count(*) AS n FROM embeddings), r AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings),
-c AS (SELECT r // (n // 8) AS cluster_id, x AS centre FROM r, n WHERE r % (n // 8) = 0 AND r < 8 * (n // 8)),
-a AS (SELECT vec_id, arg_min(cluster_id, struct_pack(d := d, c := cluster_id)) AS cluster_id FROM (SELECT r.vec_id, c.cluster_id, round(list_sum(list_transform(list_zip(x, centre), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) AS d FROM r, c) GROUP BY vec_id)"""
+CENTRES = f"{_fit_sql(1, 8)}, c AS (SELECT c AS cluster_id, centre FROM book), a AS (SELECT vec_id, code AS cluster_id FROM codes)"
 
 
 def _index(spark, d) -> tuple[DataFrame, list[list[float]], DataFrame]:
     e = _embeddings(spark, d)
-    centres = ivf.initial_centroids(e, 8, "vec_id")
+    centres = ivf.kmeans(e, 8, FIT_ROUNDS, "vec_id")
     return e, centres, ivf.assign(e, centres)
 
 
@@ -292,10 +311,10 @@ def set_or(spark, d):
     return stats.set_or(_sets(spark, d))
 
 
-@query("SELECT user_id FROM events WHERE event_type = 'click' AND value > 8 EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 8")
+@query("SELECT user_id FROM events WHERE event_type = 'click' EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND user_id % 3 = 0")
 def set_difference(spark, d):
-    e = table(spark, d, "events").filter("value > 8")
-    return stats.set_difference(e.filter("event_type = 'click'").select("user_id"), e.filter("event_type = 'error'").select("user_id"))
+    e = table(spark, d, "events")
+    return stats.set_difference(e.filter("event_type = 'click'").select("user_id"), e.filter("event_type = 'error' and user_id % 3 = 0").select("user_id"))
 
 
 # -- changes ------------------------------------------------------------------------------------------------------------
@@ -349,9 +368,8 @@ def stream_changelog(spark, d):
     rows = _log(spark, d).selectExpr("seq", "op", "id", "cast(value as string) as doc", "cast(null as map<string,string>) as meta", "cast(null as array<float>) as vec", "'c' as coll", "'t' as tenant", "seq as time")
     rows.repartition(4, F.col("seq") % 4).write.json(f"{root}/log")
     ch.follow(ch.read_changes(spark, f"{root}/log", 2), f"{root}/table", f"{root}/checkpoint").awaitTermination()
-    versions = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/table").getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/table"))
-    last = max(int(s.getPath().getName()[1:]) for s in versions)
-    return spark.read.parquet(f"{root}/table/v{last}").filter("op <> 'delete'").select("id", "seq", F.col("doc").cast("double").alias("value"))
+    ch.compact(spark, f"{root}/table")
+    return ch.state_of(spark, f"{root}/table").filter("op <> 'delete'").select("id", "seq", F.col("doc").cast("double").alias("value"))
 
 
 SQL["stream_changelog"] = f"WITH {LOG}, l AS (SELECT id, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM log GROUP BY id) SELECT id, seq, value FROM l WHERE op <> 'delete'"

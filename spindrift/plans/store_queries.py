@@ -16,11 +16,12 @@ from ..functions import text as tx
 from ..functions import vectors as v
 from ..operators import collection as cl
 from ..operators import feedback as fb
-from ..operators import fusion, graph, kg, quantize, recommend, search, sparse, stats
+from ..operators import fusion, graph, kg, quantize, recommend, request, search, sparse, stats
 from ..session import scratch_path, table
 from ..sources import files
 from ..streaming import changes as ch
 from .engine_queries import BOOSTS, FEED, KG, _feed, _kg
+from .search_queries import SPARSE_QUERY, _sparse_sql, vector_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -298,6 +299,33 @@ def page_by_token(spark, d):
     return search.page(docs, offset, 20)
 
 
+@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), q AS (SELECT x AS q FROM e WHERE vec_id = 0), s AS (SELECT vec_id, label, round(1.0 - list_cosine_similarity(x, q), 6) + 0.0 AS distance FROM e, q WHERE label IN (1, 2)),
+t AS (SELECT vec_id, label, round(1.0 / (1.0 + distance), 6) + 0.0 AS score, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM s) SELECT vec_id, label, score, rank, 64 AS dim FROM t WHERE rank > 5 AND rank <= 15""")
+def request_dense(spark, d):
+    """The search entry: one dense query, a filter, the second part of a page, vectors shown."""
+    e = table(spark, d, "embeddings")
+    asked = request.Request(dense=vector_of(e, 0), filter={"label": {"$in": [1, 2]}}, offset=5, limit=10, include_vectors=True)
+    return request.run(e, asked, id_col="vec_id").select("vec_id", "label", "score", "rank", F.size("embedding").alias("dim"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), q AS (SELECT vec_id // 50 AS query_id, x AS q FROM e WHERE vec_id IN (0, 50)),
+s AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(x, q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) + 0.0 AS distance FROM e, q), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, distance, rank FROM t WHERE rank <= 5""")
+def request_batch(spark, d):
+    """The search entry: several dense queries at once."""
+    e = table(spark, d, "embeddings")
+    asked = request.Request(dense=[vector_of(e, 0), vector_of(e, 50)], top_k=5, metric="l2_squared")
+    return request.run(e, asked, id_col="vec_id").select("query_id", "vec_id", "distance", "rank")
+
+
+@query(_sparse_sql("SELECT doc_id, sum(qv * tf) AS s FROM p JOIN q USING (term) JOIN documents d USING (doc_id) WHERE d.lang = 'en' GROUP BY doc_id"))
+def request_sparse(spark, d):
+    """The search entry: a sparse query over postings, filtered before it is scored."""
+    docs = table(spark, d, "documents")
+    asked = request.Request(sparse=SPARSE_QUERY, top_k=25, filter={"lang": "en"})
+    return request.run(docs, asked, sparse.hashed_postings(docs, 1024), id_col="doc_id").select("doc_id", "score", "rank")
+
+
 @query("SELECT 'bm25' AS list, 0.25::DOUBLE AS weight UNION ALL SELECT 'dense', 0.75")
 def fusion_weights(spark, d):
     """Weights validated and brought to a sum of 1."""

@@ -5,6 +5,7 @@ The first two are the engine's own; windows on events are an addition to it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -30,19 +31,37 @@ def apply_batch(state: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def follow(changes: DataFrame, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Apply a stream of changes to versions of a table; tombstones stay in it until compaction."""
-    spark = changes.sparkSession
+    """Apply a stream of changes to a table: each batch writes the last change of its own ids alone; see state_of and compact."""
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        path = f"{table}/v{number}"
-        before = f"{table}/v{number - 1}"
-        state = spark.read.parquet(before) if number else batch.limit(0)
-        apply_batch(state, batch).write.mode("overwrite").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        cl.latest(batch).write.mode("overwrite").parquet(f"{table}/v{number}")  # the same batch again replaces itself
 
-    writer = changes.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
 
 
+def _parts(spark: SparkSession, table: str) -> list[str]:
+    """Folders of a followed table: batches (v) and bases."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().toString() for x in fs.listStatus(p) if re.match(r"(v|base)\d+$", x.getPath().getName()) and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS")))
+
+
+def state_of(spark: SparkSession, table: str) -> DataFrame:
+    """The last change of every id (tombstones included, until compaction drops none of them: later changes go by seq)."""
+    return cl.latest(spark.read.parquet(*_parts(spark, table)))
+
+
+def compact(spark: SparkSession, table: str) -> None:
+    """Fold what is there into one base. A base and its batches together say the same, so an interrupted run does no harm."""
+    parts = _parts(spark, table)
+    number = 1 + max(int(re.search(r"\d+$", x)[0]) for x in parts)
+    state_of(spark, table).write.parquet(f"{table}/base{number}")
+    for x in parts:
+        p = spark._jvm.org.apache.hadoop.fs.Path(x)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class BoostState(StatefulProcessor):
     """The boost of one (target, query) key: deltas in time order within a batch, clamped at each step."""
 

@@ -14,7 +14,7 @@ from spindrift.functions import text as tx
 from spindrift.functions import vectors as v
 from spindrift.operators import collection as cl
 from spindrift.operators import feedback as fb
-from spindrift.operators import fusion, graph, ivf, kg, quantize, recommend, search, sparse
+from spindrift.operators import fusion, graph, ivf, kg, quantize, recommend, request, search, sparse
 from spindrift.sources import files
 from spindrift.streaming import changes as ch
 
@@ -268,6 +268,41 @@ def test_writers_append_and_conflicts_are_seen(spark, tmp_path):
         m.docs("c", 2)
 
 
+def test_search_entry(spark):
+    rows = [(i, [float(i % 5), float(i % 3) + 1], "a" if i % 2 else "b") for i in range(1, 30)]
+    docs = spark.createDataFrame(rows, "id long, embedding array<float>, kind string")
+    postings = spark.createDataFrame([(i, i % 4, 1.0 + i) for i in range(1, 30)], "id long, term int, tf double")
+    ask = lambda **x: request.run(docs, request.Request(**x), postings).orderBy("rank").collect()
+    both = ask(dense=[1.0, 1.0], sparse={1: 2.0, 2: 1.0}, top_k=6)
+    near, found = ask(dense=[1.0, 1.0], top_k=12), ask(sparse={1: 2.0, 2: 1.0}, top_k=12)
+    score = {}
+    for ranked in (near, found):
+        for r in ranked:
+            score[r.id] = score.get(r.id, 0.0) + 1 / (60 + r["rank"] - 1)
+    best = sorted(((-round(s, 9), i) for i, s in score.items()))[:6]
+    assert [r.id for r in both] == [i for _, i in best] and "embedding" not in both[0]
+    assert {r.kind for r in ask(dense=[1.0, 1.0], filter={"kind": "a"}, top_k=9)} == {"a"}
+    assert ask(dense=[1.0, 1.0], filter={"kind": "none"}) == [] and len(ask(dense=[[1.0, 1.0], [2.0, 1.0]], top_k=3)) == 6
+    for bad in ({}, {"dense": [[1.0]], "sparse": {1: 1.0}}, {"dense": [1.0], "top_k": 0}, {"dense": [1.0], "weights": {"dense": -1.0}}):
+        with pytest.raises(ValueError):
+            request.Request(**bad).validate()
+
+
+def test_followed_table_is_appended(spark, tmp_path):
+    table = f"file://{tmp_path}/t"
+    rows = lambda *xs: spark.createDataFrame(list(xs), "id string, seq long, op string, doc string")
+    log = f"file://{tmp_path}/log"
+    rows(("a", 1, "insert", "x"), ("b", 2, "insert", "y")).coalesce(1).write.json(log + "/1")
+    full = spark.createDataFrame([], files.LOG_SCHEMA)
+    for n, batch in enumerate([rows(("a", 1, "insert", "x"), ("b", 2, "insert", "y")), rows(("a", 3, "upsert", "z"), ("a", 4, "delete", None)), rows(("c", 5, "insert", "w"))]):
+        cl.latest(full.unionByName(batch, allowMissingColumns=True)).write.parquet(f"{table}/v{n}")
+    got = lambda: sorted((r.id, r.seq, r.op) for r in ch.state_of(spark, table).collect())
+    want = [("a", 4, "delete"), ("b", 2, "insert"), ("c", 5, "insert")]
+    assert got() == want
+    ch.compact(spark, table)
+    assert got() == want and [x.name for x in (tmp_path / "t").iterdir()] == ["base3"]
+
+
 def test_csr_offsets(spark):
     nodes = spark.createDataFrame([(c,) for c in "abcdef"], "id string")
     edges = spark.createDataFrame([("b", "a"), ("b", "c"), ("e", "a"), ("b", "a"), ("x", "a")], "src string, dst string")

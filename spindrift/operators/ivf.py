@@ -6,12 +6,18 @@ rows with the probed clusters, so a table partitioned by cluster_id is pruned to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from . import quantize
+from . import search as search_
 from .collection import numbered
 
 #: Rows of a table from which fitting is left to Spark ML's k-means.
@@ -85,13 +91,56 @@ def search(index: DataFrame, centroids: list[list[float]], query: list[float], k
 
 
 def search_batch(index: DataFrame, centroids: list[list[float]], queries: DataFrame, k: int, nprobe: int = 10, metric: str = "l2_squared", query_id: str = "query_id", query_vector: str = "query", id_col: str = "id", vector: str = "embedding") -> DataFrame:
-    """Many queries: each is exploded to its probed clusters and joined with the rows of those clusters only; hot clusters are split by adaptive execution."""
-    book = _book(centroids)
-    near = F.slice(F.array_sort(F.transform(book, lambda c, i: F.struct(v.rounded(v.DISTANCES[metric](query_vector, c), 9).alias("d"), i.alias("i")))), 1, nprobe)
-    asked = queries.select(query_id, query_vector, F.explode(near).alias("p")).select(query_id, query_vector, F.col("p.i").cast("long").alias("cluster_id"))
-    rows = index.join(asked, "cluster_id").select(query_id, id_col, v.rounded(v.DISTANCES[metric](vector, query_vector)).alias("distance"))
+    """query_id, id (both long), distance and rank of the k nearest rows of every query in the clusters it probes.
+
+    Queries go in blocks through the driver, as those of an exact batch do. A task takes its rows cluster by cluster and
+    multiplies them with the queries that probe the cluster; it sends at most k rows per query on.
+    """
+    near = F.slice(F.array_sort(F.transform(_book(centroids), lambda c, i: F.struct(v.rounded(v.DISTANCES[metric](query_vector, c), 9).alias("d"), i.alias("i")))), 1, nprobe)
+    asked = queries.select(query_id, query_vector, F.transform(near, lambda p: p["i"]).alias("cells"))
+    schema = f"{query_id} long, {id_col} long, distance double"
+    spark = index.sparkSession
+
+    def against(block: list) -> DataFrame:
+        cells: dict[int, list[int]] = {}
+        for n, r in enumerate(block):
+            for c in r["cells"]:
+                cells.setdefault(c, []).append(n)
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in block], dtype=np.int64), np.array([r[1] for r in block], dtype=np.float64), {c: np.array(x) for c, x in cells.items()}))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, matrix, askers = shared.value
+            best_d, best_i = np.full((len(names), k), np.inf), np.full((len(names), k), -1, dtype=np.int64)
+            for batch in batches:
+                batch = batch.filter(pc.equal(pc.fill_null(pc.list_value_length(batch.column(vector)), -1), matrix.shape[1]))
+                if not batch.num_rows:
+                    continue
+                rows = np.asarray(batch.column(vector).flatten(), dtype=np.float64).reshape(-1, matrix.shape[1])
+                there, cell = (np.asarray(batch.column(c).cast(pa.int64())) for c in (id_col, "cluster_id"))
+                for c in np.unique(cell).tolist():
+                    if c not in askers:
+                        continue
+                    mine, who = np.flatnonzero(cell == c), askers[c]
+                    step = max(1, search_.TILE_VALUES // len(who))
+                    for at in range(0, len(mine), step):
+                        part = mine[at : at + step]
+                        d, i = search_._nearest(search_._distances(matrix[who], rows[part], metric), there[part], k)
+                        best_d[who], best_i[who] = search_._nearest(np.concatenate([best_d[who], d], axis=1), np.concatenate([best_i[who], i], axis=1), k)
+            query, place = np.nonzero(np.isfinite(best_d))
+            yield pa.RecordBatch.from_arrays([pa.array(names[query]), pa.array(best_i[query, place]), pa.array(best_d[query, place])], names=[query_id, id_col, "distance"])
+
+        return index.filter(F.col("cluster_id").isin(list(cells))).select(id_col, "cluster_id", vector).mapInArrow(run, schema)
+
+    parts, held = [], []
+    for row in asked.toLocalIterator():
+        held.append(row)
+        if len(held) * len(row[1]) >= search_.QUERY_VALUES:
+            parts.append(against(held))
+            held = []
+    parts += [against(held)] if held else []
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_col)).cast("long")
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def cluster_sizes(index: DataFrame) -> DataFrame:

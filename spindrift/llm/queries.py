@@ -24,6 +24,28 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(table(spark, sf_dir, "conversations"))
 
 
+def chat_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as branching trees (turn t answers turn (t - 1) / 2): the two best branches of each by the length of their texts."""
+    turns = table(spark, sf_dir, "conversations")
+    parent = F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2))
+    messages = turns.select(F.col("conv_id").alias("tree"), F.col("turn").alias("node"), parent.alias("parent"), "role", "text")
+    found = chat.format_trees(messages, F.length("text"), 2)
+    return found.select(F.col("tree").alias("conv_id"), "leaf", F.col("rank").cast("long").alias("rank"), "score", "n_turns", F.sha2(F.col("formatted").cast("binary"), 256).alias("formatted_sha256"))
+
+
+BRANCHES_SQL = r"""
+WITH RECURSIVE m AS (
+  SELECT conv_id AS tree, turn AS node, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, coalesce(length(text), 0)::DOUBLE AS s,
+    '<s>[INST]' || regexp_replace(coalesce(role, ''), '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g') || '[/INST]' || regexp_replace(coalesce(text, ''), '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g') || '</s>' AS piece
+  FROM conversations),
+p(tree, node, score, n, path) AS (
+  SELECT tree, node, s, 1, piece FROM m WHERE parent IS NULL
+  UNION ALL SELECT m.tree, m.node, p.score + m.s, p.n + 1, p.path || m.piece FROM m JOIN p ON m.tree = p.tree AND m.parent = p.node)
+SELECT tree AS conv_id, node AS leaf, row_number() OVER (PARTITION BY tree ORDER BY score DESC, n DESC, node) AS rank, score, n::BIGINT AS n_turns, sha256(path) AS formatted_sha256
+FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.tree = p.tree AND m.parent = p.node) QUALIFY rank <= 2
+"""
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document: five-word shingles, similarity of 0.8 or more."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
@@ -89,8 +111,8 @@ FROM sets d LEFT JOIN classes c ON c.s = list_sort(d.s) LEFT JOIN roots r ON r.n
 
 def queries() -> dict[str, Query]:
     found = (op1_licenses, op2_chat, op3_jaccard, op4_packing, op5_token_files, op6_html, op7_decontamination, op8_language_id, op9_sharding, op10_media)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in (*found, chat_branches)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.ORACLE_SQL, "op2_chat": chat.ORACLE_SQL, "op3_jaccard": JACCARD_SQL, "op9_sharding": sharding.ORACLE_SQL}
+    return {"op1_licenses": licenses.ORACLE_SQL, "op2_chat": chat.ORACLE_SQL, "chat_branches": BRANCHES_SQL, "op3_jaccard": JACCARD_SQL, "op9_sharding": sharding.ORACLE_SQL}

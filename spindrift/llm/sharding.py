@@ -59,12 +59,19 @@ def place(rows: DataFrame, key: Column, shards: list[str], slots: int = SLOTS) -
     """
     spark = rows.sparkSession
     rows = rows.withColumns({"slot": slot_of(key, slots)}).drop("shard")
-    table = lookup(spark, shards, slots).withColumnRenamed("slot", "_slot_of_table")
-    return rows.join(F.broadcast(table), F.col("slot") == F.col("_slot_of_table"), "left").drop("_slot_of_table")
+    other = "_slot"
+    while other.lower() in {c.lower() for c in rows.columns}:
+        other = "_" + other
+    table = lookup(spark, shards, slots).withColumnRenamed("slot", other)
+    return rows.join(F.broadcast(table), F.col("slot") == F.col(other), "left").drop(other)
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
-    """One folder per shard, null keys in one of their own; rows are dealt by shard and a salt, so no task holds a whole shard."""
+    """One folder per shard, null keys in one of their own; rows are dealt by shard and a salt, so no task holds a whole shard.
+
+    Repeated rows are written as often as they occur; other columns, long texts and nulls are written as they are; an
+    empty table makes a folder without shards.
+    """
     placed.repartition("shard", F.pmod(F.xxhash64(*[c for c in placed.columns if c != "shard"]), F.lit(8))).write.partitionBy("shard").parquet(path)
 
 

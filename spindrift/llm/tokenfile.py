@@ -165,7 +165,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document in the files at `path`, from their boundaries and ids."""
+    """doc_id, start, n_tokens and ids_crc32 of each document in the files at `path`, from their boundaries and ids.
+
+    Null doc_ids come back as null, repeated rows as often as they were written; a folder without blocks gives no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -931,6 +931,17 @@ def test_licenses_of_documents_without_an_id(spark):
     assert got == [(12, "s/1/2", "MIT", "own"), (13, "s/1/3", "MIT", "inherited"), (None, None, None, "none")]
 
 
+def test_placing_rows_with_clashing_columns(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "k long, _slot string").withColumns({"slot": F.lit("x"), "shard": F.lit("x"), "__slot": F.lit("y")})
+    got = sharding.place(rows, F.col("k").cast("string"), ["s0", "s1"], 101).collect()
+    assert len(got) == 3
+    assert len({(r["slot"], r["shard"]) for r in got if r["k"] is not None}) == 1 and [r["shard"] for r in got if r["k"] is None] == [None]
+    placed = sharding.place(rows, F.col("k").cast("string"), ["s0", "s1"], 101)
+    sharding.write_shards(placed.select("k", "shard"), f"file://{tmp_path}/a")
+    sharding.write_shards(placed.select("k", "shard").limit(0), f"file://{tmp_path}/b")
+    assert spark.read.parquet(f"file://{tmp_path}/a").count() == 3
+
+
 def test_sharding_table():
     names = [f"s{i}" for i in range(10)]
     table = sharding.fill(names, 1009)

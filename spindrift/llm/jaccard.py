@@ -18,9 +18,11 @@ Two sets are linked when 100 * |x & y| >= PERCENT * |x | y|. No link is lost, no
     made grows with the postings alone; groups of the same members are one group.
 4.  A candidate's sizes and the bit count of its two bitmaps' difference bound the overlap from above; pairs that
     pass are settled by exact intersection of the sorted shingle arrays.
-5.  Members of a group that the links found so far do not yet bring into one component are compared in a second round:
+5.  Members of a group that the links found so far do not yet bring into one component are compared in further rounds:
     those outside the group's largest component with all others, in tiles of a bounded size, by sizes and bitmaps
-    before a row is made.
+    before a row is made. As one link joins two components, a member gives only its few most alike others in a tile;
+    groups in which one had more come again with the components that these links made, and with a higher limit, until
+    none is cut short. So every pair that could join two components is tested, and those that no longer can make no row.
 6.  Components by alternating large-star and small-star rounds over the links.
 
 Shingles are 64-bit hashes; two different ones agree with probability 2^-64 (sets with 2^-63).
@@ -51,6 +53,9 @@ COUNT_WINDOW = 4_000_000
 TILE = 2048
 #: Tiles of up to so many rows are compared many at once.
 SMALL_TILE = 24
+#: Pairs that a member gives in a tile in the first of the rounds across components, and how the limit grows by round.
+FIRST_PAIRS = 4
+MORE_PAIRS = 32
 #: Postings that a task holds before it sends them, that a range of hashes holds about, and that are read at once.
 FLUSH = 1_000_000
 RANGE = 1_000_000
@@ -362,10 +367,11 @@ def _bitmap_bound(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     return found.mapInArrow(run, "a long, b long")
 
 
-def across_components(left: np.ndarray, doc: np.ndarray, component: np.ndarray, n: np.ndarray, raw: np.ndarray, percent: int) -> Iterator[np.ndarray]:
-    """Of one tile: pairs of different components that sizes and bitmaps (rows of bytes) allow, left rows with all others.
+def across_components(left: np.ndarray, doc: np.ndarray, component: np.ndarray, n: np.ndarray, raw: np.ndarray, percent: int, most: int | None = None) -> Iterator[tuple[np.ndarray, bool]]:
+    """Of one tile: pairs of different components that sizes and bitmaps (rows of bytes) allow, left rows with all others, and whether some were left out.
 
-    left is 0 for rows on the tile's left side alone, 1 for those on its right side alone, 2 for those on both.
+    left is 0 for rows on the tile's left side alone, 1 for those on its right side alone, 2 for those on both. Of more
+    than `most` pairs of a left row the most alike are given.
     """
     right = np.flatnonzero(left > 0)
     # bit counts of differences by a product of +-1 vectors, exact in single precision
@@ -378,11 +384,18 @@ def across_components(left: np.ndarray, doc: np.ndarray, component: np.ndarray,
         apart = ((wide - signs[x] @ against) / 2).astype(np.int64)[i, j]
         i, j = x[i], right[j]
         fits = (apart <= most_apart(n[i] + n[j], percent)) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
-        yield np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])])[:, fits]
+        i, j, cut = i[fits], j[fits], False
+        if most is not None and len(i):
+            order = np.lexsort((apart[fits] / (n[i] + n[j]), i))
+            i, j = i[order], j[order]
+            first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+            kept = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < most
+            i, j, cut = i[kept], j[kept], not kept.all()
+        yield np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]), cut
 
 
 def across_small(tile: np.ndarray, left: np.ndarray, doc: np.ndarray, component: np.ndarray, n: np.ndarray, raw: np.ndarray, percent: int) -> Iterator[np.ndarray]:
-    """The same of many small tiles at once, by the distance of rows in a tile."""
+    """All pairs of many small tiles at once, by the distance of rows in a tile."""
     words = np.ascontiguousarray(raw).view(np.uint64)
     k = 1
     while len(i := np.flatnonzero(tile[k:] == tile[:-k])):
@@ -393,8 +406,8 @@ def across_small(tile: np.ndarray, left: np.ndarray, doc: np.ndarray, component:
         k += 1
 
 
-def tile_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of the tiles (g, i, j), whose rows follow one another."""
+def tile_pairs(batches: Iterator[pa.RecordBatch], percent: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Of the tiles (g, i, j), whose rows follow one another: pairs (kind 0: a < b), and the groups of tiles that had more than `most` for a row (kind 1: g, g)."""
     names = ["g", "i", "j", "left", "doc", "component", "n"]
 
     def rows(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -406,13 +419,18 @@ def tile_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         tile[1:] = np.cumsum(np.any([x[1:] != x[:-1] for x in held[:3]], axis=0))
         size = np.bincount(tile)
         small = size[tile] <= SMALL_TILE
-        found = list(across_small(tile[small], *(x[small] for x in held[3:]), percent)) if small.any() else []
+        found = [(0, pairs) for pairs in across_small(tile[small], *(x[small] for x in held[3:]), percent)] if small.any() else []
         ends = np.cumsum(size)
+        short = set()
         for t in np.flatnonzero(size > SMALL_TILE).tolist():
-            found += across_components(*(x[ends[t] - size[t] : ends[t]] for x in held[3:]), percent)
-        for pairs in found:
+            for pairs, cut in across_components(*(x[ends[t] - size[t] : ends[t]] for x in held[3:]), percent, most):
+                found.append((0, pairs))
+                if cut:
+                    short.add(int(held[0][ends[t] - 1]))
+        found.append((1, np.array([sorted(short)] * 2, dtype=np.int64)))
+        for kind, pairs in found:
             if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(pairs.shape[1], kind), pa.int32()), pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["kind", "a", "b"])
 
     open_rows: list[list[np.ndarray]] = []
     for batch in batches:
@@ -431,8 +449,8 @@ def tile_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
     give_back()
 
 
-def _second_round(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components of the groups (g, doc, component).
+def _across(members: DataFrame, nodes: DataFrame, percent: int, most: int) -> DataFrame:
+    """Pairs across components of the groups (g, doc, component), and the groups that have more, see tile_pairs.
 
     Rows of a group's largest component need not meet each other: the m others are dealt over blocks that meet one
     another and the blocks of the large component, so a group of n rows makes some n * m / TILE rows of tiles.
@@ -456,7 +474,7 @@ def _second_round(members: DataFrame, nodes: DataFrame, percent: int) -> DataFra
     rows = rows.select("g", "doc", "component", F.explode(F.when(F.col("is_major"), as_major).otherwise(as_minor)).alias("t"))
     rows = rows.select("g", "t.i", "t.j", "t.left", "doc", "component").join(nodes.select(F.col("rep").alias("doc"), "n", "bitmap"), "doc")
     rows = rows.select("g", "i", "j", "left", "doc", "component", "n", "bitmap").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    return rows.mapInArrow(lambda batches: tile_pairs(batches, percent), "a long, b long").distinct()
+    return rows.mapInArrow(lambda batches: tile_pairs(batches, percent, most), "kind int, a long, b long").distinct()
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -564,15 +582,25 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     links = settle(possible)
     labels = components(links, scratch, "op3-components", few)
 
-    members = found.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("key")).join(nodes.select("key", F.col("rep").alias("doc")), "key")
-    members = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("g", "doc", F.coalesce("component", "doc").alias("component"))
-    open_groups = members.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("g")
-    members = scratch.table(members.join(open_groups, "g", "left_semi").distinct(), "op3-members", few)
-    if not members.isEmpty():
-        across = scratch.table(_second_round(members, nodes, percent).join(possible, ["a", "b"], "left_anti"), "op3-possible", few)
+    def still_open(members: DataFrame) -> DataFrame:
+        """(g, doc, component) of the groups (g, doc) whose members are not yet in one component."""
+        rows = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("g", "doc", F.coalesce("component", "doc").alias("component"))
+        groups = rows.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("g")
+        return scratch.table(rows.join(groups, "g", "left_semi").distinct(), "op3-members", few)
+
+    members = still_open(found.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("key")).join(nodes.select("key", F.col("rep").alias("doc")), "key").select("g", "doc"))
+    tested, most = possible, FIRST_PAIRS
+    while not members.isEmpty():
+        made = scratch.table(_across(members, nodes, percent, most), "op3-across", few)
+        across = scratch.table(made.filter("kind = 0").select("a", "b").join(tested, ["a", "b"], "left_anti"), "op3-possible", few)
         more = settle(across)
         if not more.isEmpty():
-            labels = components(links.union(more), scratch, "op3-components", few)
+            labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch, "op3-components", few)
+        short = made.filter("kind = 1").select(F.col("a").alias("g"))
+        if short.isEmpty():
+            break
+        members = still_open(members.join(short, "g", "left_semi").select("g", "doc"))
+        tested, most = tested.union(across), most * MORE_PAIRS
 
     rows = every.join(nodes.select("key", "rep"), "key", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))

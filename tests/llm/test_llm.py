@@ -300,6 +300,47 @@ def test_tiles_are_brute_force(small, monkeypatch):
         assert {(r["a"], r["b"]) for b in jaccard.tile_pairs(iter(batches), 80) for r in b.to_pylist()} == want and want
 
 
+@pytest.mark.parametrize("most", [1, 3, 500])
+def test_tiles_give_few_pairs_a_row_and_tell_of_more(most):
+    """Of a large tile at most `most` pairs a row, the most alike; none is left out untold."""
+    rng = np.random.default_rng(3)
+    m, n = 200, np.full(200, 100)
+    raw = np.packbits((rng.random((m, 1024)) < 0.008).astype(np.uint8), axis=1)
+    rows = pa.RecordBatch.from_pydict({"g": np.full(m, 7), "i": np.zeros(m, int), "j": np.zeros(m, int), "left": np.full(m, 2), "doc": np.arange(m), "component": np.arange(m), "n": n, "bitmap": pa.array([r.tobytes() for r in raw], pa.binary())})
+    apart = np.bitwise_count(raw[:, None] ^ raw[None]).sum(axis=2, dtype=np.int64)
+    fits = (apart <= 200 - 2 * 89) & ~np.eye(m, dtype=bool)
+    got = [r for b in jaccard.tile_pairs(iter([rows]), 80, most) for r in b.to_pylist()]
+    near = {(r["a"], r["b"]) for r in got if r["kind"] == 0}
+    assert near <= {(i, j) for i, j in np.argwhere(fits).tolist() if i < j}
+    assert sum(r["kind"] == 0 for r in got) == np.minimum(fits.sum(axis=1), most).sum()
+    assert [(r["a"], r["b"]) for r in got if r["kind"] == 1] == ([(7, 7)] if (fits.sum(axis=1) > most).any() else [])
+    for i in range(m):
+        if fits[i].any():
+            best = apart[i][fits[i]].min()
+            assert any(i in pair and apart[pair] == best for pair in near)
+
+
+@pytest.mark.parametrize("first", [1, 4])
+def test_a_large_group_is_linked_with_few_pairs(spark, monkeypatch, first):
+    """Copies changed in two or three places link, and so do they with some of those changed in four, which are the pivots: the pairs tested grow with the copies, not with their square."""
+    rng = random.Random(12)
+    monkeypatch.setattr(jaccard, "FIRST_PAIRS", first)
+    base, copies = [f"w{i}" for i in range(300)], []
+    for k in range(900):
+        w = list(base)
+        for at in rng.sample(range(10, 290), 4 if k % 2 else rng.choice([2, 3])):
+            w[at] = f"n{rng.randrange(10**6)}"
+        copies.append((" ".join(w), k % 2))
+    keys = jaccard.set_keys(*shingles.shingle_sets(pa.array([t for t, _ in copies]))).tolist()
+    least = sorted(key for key, (_, far) in zip(keys, copies, strict=True) if far)[150]
+    cases = [*enumerate(t for key, (t, far) in zip(keys, copies, strict=True) if far or key > least)]
+    tested, exact = [], jaccard._exact
+    monkeypatch.setattr(jaccard, "_exact", lambda pairs, *more: tested.append(pairs.count()) or exact(pairs, *more))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(spark, cases)).collect()), key=repr)
+    assert got == brute_components(cases)
+    assert sum(tested[1:]) <= 8 * len(cases)
+
+
 def test_copies_without_an_id_hide_no_link(spark):
     words = [f"w{i}" for i in range(60)]
     text, near = " ".join(words), " ".join([*words[:-1], "other"])

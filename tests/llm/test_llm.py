@@ -320,11 +320,9 @@ def test_tiles_give_few_pairs_a_row_and_tell_of_more(most):
             assert any(i in pair and apart[pair] == best for pair in near)
 
 
-@pytest.mark.parametrize("first", [1, 4])
-def test_a_large_group_is_linked_with_few_pairs(spark, monkeypatch, first):
-    """Copies changed in two or three places link, and so do they with some of those changed in four, which are the pivots: the pairs tested grow with the copies, not with their square."""
+def spread_copies():
+    """Copies of a text changed in two or three places, which link, and those changed in four, which are the pivots of most groups and link with some of them."""
     rng = random.Random(12)
-    monkeypatch.setattr(jaccard, "FIRST_PAIRS", first)
     base, copies = [f"w{i}" for i in range(300)], []
     for k in range(900):
         w = list(base)
@@ -333,9 +331,21 @@ def test_a_large_group_is_linked_with_few_pairs(spark, monkeypatch, first):
         copies.append((" ".join(w), k % 2))
     keys = jaccard.set_keys(*shingles.shingle_sets(pa.array([t for t, _ in copies]))).tolist()
     least = sorted(key for key, (_, far) in zip(keys, copies, strict=True) if far)[150]
-    cases = [*enumerate(t for key, (t, far) in zip(keys, copies, strict=True) if far or key > least)]
+    return [*enumerate(t for key, (t, far) in zip(keys, copies, strict=True) if far or key > least)]
+
+
+def count_tested(monkeypatch):
+    """Numbers of pairs that the rounds test, filled as they run."""
     tested, exact = [], jaccard._exact
     monkeypatch.setattr(jaccard, "_exact", lambda pairs, *more: tested.append(pairs.count()) or exact(pairs, *more))
+    return tested
+
+
+@pytest.mark.parametrize("first", [1, 4])
+def test_a_large_group_is_linked_with_few_pairs(spark, monkeypatch, first):
+    """The pairs tested grow with the copies, not with their square."""
+    monkeypatch.setattr(jaccard, "FIRST_PAIRS", first)
+    cases, tested = spread_copies(), count_tested(monkeypatch)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(spark, cases)).collect()), key=repr)
     assert got == brute_components(cases)
     assert sum(tested[1:]) <= 8 * len(cases)
@@ -1094,3 +1104,13 @@ def test_pipeline_stages_take_awkward_rows(spark):
         for d in (docs, docs.limit(0)):
             out = stage(spark, d, DATA)
             assert out.count() >= 0 and (k == 3 or out.columns == docs.columns)
+
+
+def test_near_duplicates_of_a_large_group_test_few_pairs(spark, monkeypatch):
+    """The stage keeps the first of each component, and the pairs tested grow with the copies."""
+    import corpus_pipeline as cp
+
+    cases, tested = spread_copies(), count_tested(monkeypatch)
+    kept = {r.doc_id for r in cp.near_duplicates(spark, documents(spark, cases), DATA).collect()}
+    assert kept == {i for i, _, c in brute_components(cases) if i == c}
+    assert sum(tested[1:]) <= 8 * len(cases)

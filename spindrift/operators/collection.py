@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 NAME = re.compile(r"^[A-Za-z0-9_-]{1,64}$")
 MAX_DIM, MAX_BATCH, MAX_KEYS, MAX_VALUE = 65_536, 10_000, 100, 10_000
 
@@ -113,13 +115,20 @@ def update_metadata(docs: DataFrame, changes: dict[str, str], where: Column | No
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
-    """df with each row's place (from 0) in the given order: ranges are sorted and numbered side by side, and moved by the sizes of those before."""
+    """df with each row's place (from 0) in the given order: ranges are sorted and numbered side by side, and moved by the sizes of those before.
+
+    Ranges are written once, so that sizes are of the very ranges that are moved: in two plans, other samples cut them and adaptive
+    execution joins up others.
+    """
+    path = scratch_path(df.sparkSession, "ranges")
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    parts.write.parquet(path)
     # the id holds the partition above bit 33 and the row in it below
-    rows = parts.withColumns({"_p": F.shiftright("_at", 33), "_r": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at")
+    kept = df.sparkSession.read.schema(parts.schema).parquet(path)
+    rows = kept.withColumns({"_p": F.shiftright("_at", 33), "_r": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at")
     sizes = rows.groupBy("_p").agg(F.count("*").alias("_n"))
     bases = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))  # a row per range
-    return rows.join(bases, "_p").withColumn(name, (F.col("_b") + F.col("_r")).cast("long")).drop("_p", "_r", "_b")
+    return rows.join(F.broadcast(bases), "_p").withColumn(name, (F.col("_b") + F.col("_r")).cast("long")).drop("_p", "_r", "_b")
 
 
 def assign_ids(new: DataFrame, next_id: int, order: list[str]) -> DataFrame:

@@ -444,3 +444,16 @@ def test_term_hashes_agree(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string")
     rows = df.select("w", tx.term_hash(F.col("w")).alias("a"), tx.term_hashes("w").alias("b")).collect()
     assert all(r.a == r.b for r in rows) and len({r.a for r in rows}) == 6
+
+
+def test_numbered_over_many_ranges(spark, tmp_path):
+    spark.range(300_000).selectExpr("id", "pmod(xxhash64(id), 1000) as ts", "repeat('x', 40) as more").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = cl.assign_ids(rows, 1000, ["ts", "id"]).select("ts", "id", "more").toPandas()
+        kept = cl.numbered(rows, ["ts", "id"]).select("ts", F.col("id").alias("key"), "n").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(got["id"]) == list(range(1000, 301_000))
+    assert kept.sort_values(["ts", "key"])["n"].tolist() == list(range(300_000))

@@ -548,7 +548,7 @@ def feedback_record(spark, d):
 def stream_boosts(spark, d):
     """Boosts as the keyed state of a stream of deltas: what the last update of each key says."""
     root = scratch_path(spark, "boosts")
-    fb.deltas(*_feed(spark, d)).select("target_id", "query_hash", F.col("ts").cast("timestamp").alias("ts"), "feedback_id", "delta").coalesce(1).write.parquet(f"{root}/in")
+    fb.deltas(*_feed(spark, d)).select("target_id", "query_hash", F.col("ts").cast("timestamp").alias("ts"), "feedback_id", "delta").write.parquet(f"{root}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     ch.boost_stream(stream).writeStream.outputMode("update").option("checkpointLocation", f"{root}/cp").foreachBatch(lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{root}/out")).trigger(availableNow=True).start().awaitTermination()

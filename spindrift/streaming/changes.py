@@ -5,8 +5,12 @@ The first two are the engine's own; windows on events are an addition to it.
 
 from __future__ import annotations
 
+import contextlib
+import heapq
+import pickle
 import re
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -62,6 +66,48 @@ def compact(spark: SparkSession, table: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Deltas of a key that a task holds at once, of a run on disk that it reads at once, and runs that it keeps.
+HELD, READ, RUNS = 200_000, 1024, 64
+
+
+def _read(run) -> Iterator[tuple]:
+    run.seek(0)
+    with contextlib.suppress(EOFError):
+        while True:
+            yield from pickle.load(run)
+
+
+def _run(steps: Iterable[tuple]):
+    """A temporary file of sorted steps, READ at a time."""
+    run, part = tempfile.TemporaryFile(), []
+    for step in steps:
+        part.append(step)
+        if len(part) == READ:
+            pickle.dump(part, run, -1)
+            part = []
+    pickle.dump(part, run, -1)
+    return run
+
+
+def in_order(frames: Iterable[pd.DataFrame]) -> Iterator[float]:
+    """Deltas by time, feedback id and size. At most HELD of them are held: more are sorted in runs on disk and merged."""
+    runs, held = [], []
+    for f in frames:
+        held.extend(zip(f["ts"].to_numpy("datetime64[ns]").view("int64").tolist(), f["feedback_id"], f["delta"].tolist(), strict=True))
+        if len(held) >= HELD:
+            runs.append(_run(sorted(held)))
+            held = []
+        if len(runs) == RUNS:
+            whole = _run(heapq.merge(*map(_read, runs)))
+            for run in runs:
+                run.close()
+            runs = [whole]
+    for _, _, d in heapq.merge(*map(_read, runs), sorted(held)):
+        yield d
+    for run in runs:
+        run.close()
+
+
 class BoostState(StatefulProcessor):
     """The boost of one (target, query) key: deltas in time order within a batch, clamped at each step."""
 
@@ -70,8 +116,7 @@ class BoostState(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         boost, n = self.state.get() if self.state.exists() else (1.0, 0)
-        steps = sorted((ts, i, d) for f in rows for ts, i, d in zip(f["ts"], f["feedback_id"], f["delta"], strict=True))
-        for _, _, d in steps:
+        for d in in_order(rows):
             boost, n = max(fb.LOW, min(fb.HIGH, boost + d)), n + 1
         self.state.update((boost, n))
         yield pd.DataFrame({"target_id": [key[0]], "query_hash": [key[1]], "boost": [boost], "count": [n], "confidence": [n / (n + 5)]})

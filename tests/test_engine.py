@@ -457,3 +457,32 @@ def test_numbered_over_many_ranges(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sorted(got["id"]) == list(range(1000, 301_000))
     assert kept.sort_values(["ts", "key"])["n"].tolist() == list(range(300_000))
+
+
+def test_boost_input_is_not_one_task(spark, monkeypatch, tmp_path):
+    from spindrift.plans import store_queries
+
+    made = []
+    monkeypatch.setattr(store_queries, "scratch_path", lambda s, tag: made.append(str(tmp_path / tag)) or made[-1])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        store_queries.QUERIES["stream_boosts"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(list((tmp_path / "boosts" / "in").glob("*.parquet"))) > 1
+
+
+def test_deltas_in_order_hold_few(monkeypatch):
+    monkeypatch.setattr(ch, "HELD", 50)
+    monkeypatch.setattr(ch, "READ", 7)
+    monkeypatch.setattr(ch, "RUNS", 3)
+    rng = np.random.default_rng(5)
+    f = pd.DataFrame({"ts": pd.to_datetime(rng.integers(0, 40, 1003), unit="s"), "feedback_id": [f"f{i}" for i in rng.integers(0, 30, 1003)], "delta": rng.normal(size=1003)})
+    seen = [0]
+
+    def frames():
+        for at in range(0, len(f), 20):
+            seen[0] += 1
+            yield f[at : at + 20]
+
+    assert list(ch.in_order(frames())) == f.sort_values(["ts", "feedback_id", "delta"])["delta"].tolist() and seen[0] == 51

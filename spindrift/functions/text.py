@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,25 +212,51 @@ def extraction_chunks(text: str | None, size: int = 2000, overlap: int = 200) ->
     return out + [(len(out), start, held.decode("utf-8", "ignore"))] if held else out
 
 
+#: Bytes of chunks that a worker holds before it sends them on.
+PIECE = 1 << 20
+
+
+def _cut(docs: DataFrame, key: str, text: str, cut: Callable[[str | None], Iterator[tuple]], columns: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """key and the columns of every row that `cut` makes of a text: a text at a time, sent on whenever PIECE bytes of chunks are there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            rows: list[tuple] = []
+            size = 0
+
+            def piece(keys: pa.Array = batch.column(0)) -> pa.RecordBatch:
+                cells = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), columns.values(), strict=True)]
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *cells], names=[key, *columns])
+
+            for i, t in enumerate(batch.column(1)):
+                for row in cut(t.as_py()):
+                    at.append(i)
+                    rows.append(row)
+                    size += 64 + len(row[-1])
+                    if size >= PIECE:
+                        yield piece()
+                        at, rows, size = [], [], 0
+            if rows:
+                yield piece()
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {schema}")
+
+
 def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2000, overlap: int = 200) -> DataFrame:
     """key, index, offset, chunk_id and chunk of every text, for extraction. Null texts have none."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, i, o, c, t) for k, t in zip(f[key], f[text], strict=True) for i, o, c in extraction_chunks(t, size, overlap)]
-            yield pd.DataFrame(rows, columns=[key, "index", "offset", "chunk", "whole"])
+    def cut(t: str | None) -> Iterator[tuple]:
+        whole = hashlib.sha256((t or "").encode())  # chunk_id of each chunk goes on from here, so that no chunk carries its text along
+        for i, o, c in extraction_chunks(t, size, overlap):
+            named = whole.copy()
+            named.update(f":{i}".encode())
+            yield i, o, named.hexdigest()[:16], c
 
-    kind = dict(docs.dtypes)[key]
-    rows = docs.select(key, text).mapInPandas(run, f"{key} {kind}, index int, offset int, chunk string, whole string")
-    return rows.select(key, "index", "offset", chunk_id(F.col("whole"), F.col("index")).alias("chunk_id"), "chunk")
+    columns = {"index": pa.int32(), "offset": pa.int32(), "chunk_id": pa.string(), "chunk": pa.string()}
+    return _cut(docs, key, text, cut, columns, "index int, offset int, chunk_id string, chunk string")
 
 
 def chunk_for_embedding(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
     """key, index and chunk of every text, for embedding."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, i, c) for k, t in zip(f[key], f[text], strict=True) for i, c in enumerate(embedding_chunks(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "index", "chunk"])
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, index int, chunk string")
+    return _cut(docs, key, text, lambda t: enumerate(embedding_chunks(t, size, overlap)), {"index": pa.int32(), "chunk": pa.string()}, "index int, chunk string")

@@ -486,3 +486,24 @@ def test_deltas_in_order_hold_few(monkeypatch):
             yield f[at : at + 20]
 
     assert list(ch.in_order(frames())) == f.sort_values(["ts", "feedback_id", "delta"])["delta"].tolist() and seen[0] == 51
+
+
+def test_chunks_leave_in_pieces(spark, monkeypatch):
+    long = "One two three. " * 40_000
+    docs = spark.createDataFrame([(1, long), (2, None), (3, ""), (4, "Ab. Cd."), (None, "Ef.")], "doc_id long, text string").coalesce(1)
+    chunks = tx.chunk(docs)
+    assert "whole" not in plan_of(chunks)
+    got = chunks.withColumn("t", F.when(F.col("doc_id") == 1, F.lit(long)).when(F.col("doc_id") == 4, F.lit("Ab. Cd.")).otherwise(F.lit("Ef."))).withColumn("own", tx.chunk_id(F.col("t"), F.col("index"))).drop("t").collect()
+    assert all(r.own == r.chunk_id for r in got)
+    assert sorted((r.doc_id or 0, r["index"], r.offset, r.chunk) for r in got) == sorted((k, *c) for k, t in ((1, long), (4, "Ab. Cd."), (0, "Ef.")) for c in tx.extraction_chunks(t))
+
+
+def test_extractor_sees_few_chunks(spark):
+    from spindrift.operators import kg
+
+    def sizes(texts):
+        return pd.DataFrame({"nodes": [[{"id": str(len(texts)), "name": "n", "type": "t", "description": ""}] for _ in texts], "edges": [[] for _ in texts]})
+
+    docs = spark.range(2000).selectExpr("id as doc_id", "repeat('Some words of a text. ', 10) as text").coalesce(1)
+    found = kg.extract(docs, sizes).select(F.explode("graph.nodes").alias("n")).select(F.col("n.id").cast("int").alias("n")).agg(F.max("n").alias("most"), F.count("*").alias("all")).first()
+    assert found.most <= 256 and found.all == 2000

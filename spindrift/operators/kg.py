@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,13 +14,13 @@ from . import graph
 
 #: Chunks of fewer bytes, trimmed, aren't worth a call.
 LEAST_BYTES = 50
+#: Chunks of a call of the extractor, whose graphs a worker holds at once.
+CALL = 256
 GRAPH = "struct<nodes:array<struct<id:string,name:string,type:string,description:string>>,edges:array<struct<src:string,dst:string,rel:string,weight:double>>>"
 
 
 def capitalised(texts: pd.Series) -> pd.Series:
     """An offline extractor: runs of capitalised words are nodes, neighbours in a text are linked."""
-    import re
-
     def one(t: str | None) -> dict:
         names = list(dict.fromkeys(re.findall(r"\b[A-Z]\w+(?: [A-Z]\w+)*", t or "")))
         ids = [n.lower().replace(" ", "_") for n in names]
@@ -31,7 +32,16 @@ def capitalised(texts: pd.Series) -> pd.Series:
 def extract(docs: DataFrame, extractor: Callable[[pd.Series], pd.DataFrame] = capitalised, size: int = 2000, overlap: int = 200) -> DataFrame:
     """doc_id, chunk number and graph of every chunk that is long enough."""
     chunks = tx.chunk(docs, size=size, overlap=overlap).filter(F.octet_length(F.trim("chunk")) >= LEAST_BYTES)
-    return chunks.select("doc_id", "index", F.pandas_udf(extractor, GRAPH.removeprefix("struct<")[:-1])("chunk").alias("graph"))
+    nodes, edges = re.match(r"struct<nodes:(.*),edges:(.*)>$", GRAPH).groups()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), CALL):
+                part = f[at : at + CALL].reset_index(drop=True)
+                yield pd.concat([part[["doc_id", "index"]], extractor(part["chunk"])[["nodes", "edges"]]], axis=1)
+
+    made = chunks.select("doc_id", "index", "chunk").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, index int, nodes {nodes}, edges {edges}")
+    return made.select("doc_id", "index", F.struct("nodes", "edges").alias("graph"))
 
 
 def tables(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,23 +40,45 @@ def term_hash(term: Column) -> Column:
     return F.aggregate(points, F.lit(5381).cast("long"), lambda h, c: (h * 33 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-@F.pandas_udf(T.LongType())
-def term_hashes(terms: pd.Series) -> pd.Series:
-    """term_hash of many terms at once, a character place at a time over the whole batch."""
-    sizes = terms.str.len().fillna(-1).to_numpy(dtype=np.int64)
+def hash_terms(terms: pd.Series) -> np.ndarray:
+    """term_hash of many terms at once, a character place at a time over the whole batch; of a null 5381."""
+    sizes = terms.str.len().fillna(-1).to_numpy(dtype=np.int64) if len(terms) else np.zeros(0, dtype=np.int64)
     points = np.frombuffer("".join(t for t in terms if t is not None).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     starts = np.concatenate(([0], np.cumsum(np.maximum(sizes, 0))[:-1]))
     h = np.full(len(terms), 5381, dtype=np.uint64)
     for k in range(int(sizes.max(initial=0))):
-        on = sizes > k
+        on = np.flatnonzero(sizes > k)
         h[on] = (h[on] * np.uint64(33) + points[starts[on] + k]) & np.uint64(0xFFFFFFFF)
-    return pd.Series(h.astype(np.int64)).where(sizes >= 0, None).astype("Int64")
+    return h.astype(np.int64)
+
+
+@F.pandas_udf(T.LongType())
+def term_hashes(terms: pd.Series) -> pd.Series:
+    """term_hash of many terms at once; a null stays one."""
+    return pd.Series(hash_terms(terms)).where(terms.notna().to_numpy(), None).astype("Int64")
 
 
 def term_bucket(term: Column, dim: int) -> Column:
     return (term_hashes(term) % F.lit(dim)).cast("int")
 
 
+def term_counts(words: Column, dim: int) -> Column:
+    """Hashed terms i, ascending, with their counts n, of an array of words; words that share a bucket add up. Counted in the row, a word of a batch is hashed once."""
+
+    @F.arrow_udf("array<struct<i:int,n:bigint>>")
+    def count(lists: pa.Array) -> pa.Array:
+        known = lists.flatten().dictionary_encode()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        buckets = hash_terms(known.dictionary.to_pandas()) % dim
+        at = np.repeat(np.arange(len(lists), dtype=np.int64), sizes) * dim + buckets[known.indices.to_numpy(zero_copy_only=False)]
+        at, n = np.unique(at, return_counts=True)
+        ends = np.searchsorted(at, np.arange(len(lists) + 1, dtype=np.int64) * dim).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array((at % dim).astype(np.int32)), pa.array(n.astype(np.int64))], names=["i", "n"])
+        return pa.ListArray.from_arrays(pa.array(ends), pairs)
+
+    return count(words)
+
+
 def query_hash(query: Column) -> Column:
     return F.substring(F.sha2(query.cast("binary"), 256), 1, 16)
 

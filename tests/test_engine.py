@@ -507,3 +507,24 @@ def test_extractor_sees_few_chunks(spark):
     docs = spark.range(2000).selectExpr("id as doc_id", "repeat('Some words of a text. ', 10) as text").coalesce(1)
     found = kg.extract(docs, sizes).select(F.explode("graph.nodes").alias("n")).select(F.col("n.id").cast("int").alias("n")).agg(F.max("n").alias("most"), F.count("*").alias("all")).first()
     assert found.most <= 256 and found.all == 2000
+
+
+def test_postings_without_shuffle(spark):
+    from spindrift.operators import migration
+
+    rows = [(1, "Der Hund und der Hund, été 日本語"), (2, None), (3, ""), (4, "the of"), (5, "hund katze maus " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = docs.select("doc_id", F.explode(tx.tokenize_terms(F.col("text"), tx.STOPWORDS)).alias("w"))
+    for dim in (7, 1024):
+        want = {(r.doc_id, r.t): r.n for r in words.groupBy("doc_id", (tx.term_hash(F.col("w")) % dim).cast("int").alias("t")).agg(F.count("*").cast("double").alias("n")).collect()}
+        made = sparse.hashed_postings(docs, dim)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        assert {(r.doc_id, r.term): r.tf for r in made.collect()} == want
+        twice = sparse.hashed_postings(docs.union(docs), dim).collect()
+        assert {(r.doc_id, r.term): r.tf for r in twice} == {k: 2 * n for k, n in want.items()} and len(twice) == len(want)
+        held = migration.sparse_vectors(docs, dim).collect()
+        assert {r.doc_id: dict(zip(r.keywords.indices, r.keywords["values"], strict=True)) for r in held} == {k: {t: n for (i, t), n in want.items() if i == k} for k, _ in rows}
+    both = docs.withColumns({"embedding": F.array(F.lit(1.0)), "meta": F.create_map(F.lit("a"), F.lit("b"))})
+    made = migration.to_collection(both, 7)
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString() and made.count() == 5
+    assert sorted(map(str, made.select("keywords").collect())) == sorted(map(str, migration.sparse_vectors(docs.union(docs.limit(0)), 7).select("keywords").collect()))

@@ -18,14 +18,24 @@ def postings_of(df: DataFrame, id_col: str = "doc_id", sparse: str = "keywords")
 def hashed_postings(docs: DataFrame, dim: int, stopwords: list[str] | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, term, tf) of texts by hashed terms; terms that share a bucket add up."""
     tokens = tx.tokenize_terms(F.col(text), tx.STOPWORDS if stopwords is None else stopwords)
-    # words are counted, then hashed: a hash per distinct word of a text
-    words = docs.select(id_col, F.explode(tokens).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n"))
-    return words.groupBy(id_col, tx.term_bucket(F.col("word"), dim).alias("term")).agg(F.sum("n").cast("double").alias("tf"))
+    # a text's terms are counted in its row; only texts of one id have to meet
+    rows = docs.select(id_col, F.explode(tx.term_counts(tokens, dim)).alias("p")).select(id_col, F.col("p.i").alias("term"), F.col("p.n").alias("n"))
+    if repeated(docs, id_col):
+        rows = rows.groupBy(id_col, "term").agg(F.sum("n").alias("n"))
+    return rows.select(id_col, "term", F.col("n").cast("double").alias("tf"))
+
+
+def repeated(docs: DataFrame, id_col: str) -> bool:
+    """Whether an id (or a missing one) stands in more than one row: a pass over the ids alone."""
+    return bool(docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").limit(1).collect())
 
 
 def store(postings: DataFrame, path: str) -> DataFrame:
-    """Postings as a table in term order, read back: a search's terms are pushed down to the row groups that hold them."""
-    postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(path)
+    """Postings as a table, a term in one file and files in term order, read back: a search's terms are pushed down to the row groups that hold them.
+
+    Terms are dealt by hash: cutting ranges would compute the postings once more for its sample.
+    """
+    postings.repartition("term").sortWithinPartitions("term").write.parquet(path)
     return postings.sparkSession.read.schema(postings.schema).parquet(path)
 
 

@@ -82,6 +82,46 @@ def _nearest(distances: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray
     return np.take_along_axis(distances, order, 1), np.take_along_axis(ids, order, 1)
 
 
+def _close(block: np.ndarray, rows: np.ndarray, edge: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Places (query, row) of pairs that may be as near as the query's edge: a product and one comparison a pair; None if they are many.
+
+    The margin is far above what rounding to six places and the product's own rounding can move.
+    """
+    a, b = (block * block).sum(1), (rows * rows).sum(1)
+    if not (np.isfinite(a).all() and np.isfinite(b).all() and np.isfinite(edge).all()):
+        return None
+    reach = edge + 2e-6
+    top = (reach * reach if metric == "l2" else reach) + 1e-9 * (a + b.max(initial=0.0))
+    # |q|^2 + |x|^2 - 2 q x <= top
+    low = (block @ rows.T) * 2.0
+    low -= b[None, :]
+    at = np.flatnonzero(low >= (a - top)[:, None])
+    return None if len(at) > low.size // 16 else np.divmod(at, low.shape[1])
+
+
+def _merged(best_d: np.ndarray, best_i: np.ndarray, close: tuple[np.ndarray, np.ndarray], block: np.ndarray, rows: np.ndarray, ids: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """The best so far with the close pairs among them, whose distances are computed in full."""
+    q, r = close
+    if not len(q):
+        return best_d, best_i
+    k = best_d.shape[1]
+    d = np.empty(len(q))
+    for at in range(0, len(q), 1 << 16):  # the pairs' vectors side by side
+        x, y = block[q[at : at + (1 << 16)]], rows[r[at : at + (1 << 16)]]
+        squares = ((x - y) ** 2).sum(1)
+        d[at : at + (1 << 16)] = np.round(squares if metric == "l2_squared" else np.sqrt(squares), 6) + 0.0
+    lines = np.unique(q)
+    names = np.concatenate([q, np.repeat(lines, k)])
+    d, i = np.concatenate([d, best_d[lines].ravel()]), np.concatenate([ids[r], best_i[lines].ravel()])
+    order = np.lexsort((i, d, names))
+    names = names[order]
+    first = np.searchsorted(names, lines)
+    take = order[(first[:, None] + np.arange(k)).ravel()]
+    best_d, best_i = best_d.copy(), best_i.copy()
+    best_d[lines], best_i[lines] = d[take].reshape(-1, k), i[take].reshape(-1, k)
+    return best_d, best_i
+
+
 def knn_batch(queries: DataFrame, df: DataFrame, k: int, metric: str = "cosine", query_id: str = "query_id", query_vector: str = "query", id_col: str = "id", vector: str = "embedding") -> DataFrame:
     """query_id, id (both long), distance and rank of the k nearest rows of every query.
 
@@ -109,7 +149,11 @@ def knn_batch(queries: DataFrame, df: DataFrame, k: int, metric: str = "cosine",
                 there = np.asarray(batch.column(id_col).cast(pa.int64()))
                 step = max(1, TILE_VALUES // len(names))
                 for at in range(0, len(rows), step):
-                    d, i = _nearest(_distances(matrix, rows[at : at + step], metric), there[at : at + step], k)
+                    tile, here = rows[at : at + step], there[at : at + step]
+                    if best_d.shape[1] == k and metric in ("l2", "l2_squared") and (close := _close(matrix, tile, best_d[:, -1], metric)) is not None:
+                        best_d, best_i = _merged(best_d, best_i, close, matrix, tile, here, metric)
+                        continue
+                    d, i = _nearest(_distances(matrix, tile, metric), here, k)
                     best_d, best_i = _nearest(np.concatenate([best_d, d], axis=1), np.concatenate([best_i, i], axis=1), k)
             n = best_d.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], names=[query_id, id_col, "distance"])

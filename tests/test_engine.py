@@ -528,3 +528,18 @@ def test_postings_without_shuffle(spark):
     made = migration.to_collection(both, 7)
     assert "Join" not in made._jdf.queryExecution().executedPlan().toString() and made.count() == 5
     assert sorted(map(str, made.select("keywords").collect())) == sorted(map(str, migration.sparse_vectors(docs.union(docs.limit(0)), 7).select("keywords").collect()))
+
+
+@pytest.mark.parametrize("metric", ["l2", "l2_squared"])
+def test_close_pairs_leave_the_nearest(metric):
+    rng = np.random.default_rng(6)
+    block, rows = rng.integers(0, 5, (40, 6)).astype(float), rng.integers(0, 5, (900, 6)).astype(float)
+    ids = rng.permutation(900)
+    best = search._nearest(search._distances(block, rows[:300], metric), ids[:300], 4)
+    for at in range(300, 900, 300):
+        tile = rows[at : at + 300]
+        close = search._close(block, tile, best[0][:, -1], metric)
+        assert close is not None and len(close[0]) < 40 * 300
+        best = search._merged(*best, close, block, tile, ids[at : at + 300], metric)
+    want = search._nearest(search._distances(block, rows, metric), ids, 4)
+    assert (best[0] == want[0]).all() and (best[1] == want[1]).all()
